@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import op8_exact_dedup
+from .html_extraction import op7_html_extraction
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import op6_source_mixing
 from .packing import op5_best_fit_packing
+from .secret_scan import op3_secret_scan
 from .simhash import op10_simhash
 from .token_output import op2_token_output
 from .toxicity import op1_toxicity
-
-OPERATORS = [op1_toxicity, op2_token_output, op5_best_fit_packing, op6_source_mixing, op8_exact_dedup, op10_simhash]
+from .transport_stream import op4_transport_stream
+from .url_filter import op9_url_filter
+
+OPERATORS = [
+    op1_toxicity,
+    op2_token_output,
+    op3_secret_scan,
+    op4_transport_stream,
+    op5_best_fit_packing,
+    op6_source_mixing,
+    op7_html_extraction,
+    op8_exact_dedup,
+    op9_url_filter,
+    op10_simhash,
+]
 
 EXACT_DEDUP_SQL = """
 SELECT doc_id,

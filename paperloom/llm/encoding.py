@@ -19,6 +19,9 @@ import numpy as np
 #: White space other than space and newline.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Byte-level vocabularies write bytes that don't print as the letters from U+0100 on.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: Punctuation that no contraction begins with.
 CLOSING = ".,;:!?"
 
@@ -35,8 +38,8 @@ class Stretches(dict):
         if found is None:
             word = stretch.rstrip(CLOSING)
             if word and len(word) < len(stretch) and word[-1].isalpha():
-                # letters end a pre-token where punctuation begins
-                return self.kept(stretch, self[word] + self.tail(stretch[len(word) :]))
+                # letters end a pre-token where punctuation begins; only the word is kept
+                return self[word] + self.tail(stretch[len(word) :])
             found = self.encode(self.prefix + stretch)
         return self.kept(stretch, found)
 
@@ -59,7 +62,7 @@ class Stretches(dict):
 class Encoder:
     """``ids_bytes(text)``: the ids of a text as little-endian unsigned 32-bit integers, without special tokens."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 800_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -75,8 +78,16 @@ class Encoder:
             and not any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") or x["content"].strip(CLOSING) != x["content"] for x in added)
         )
         self.newline = self.whole("\n")
-        self.first = Stretches(self.whole, "", most // 3, longest)
-        self.rest = Stretches(self.whole, " ", most, longest)
+        one = self.word if LITTLE and self.by_stretch else self.whole
+        self.first = Stretches(one, "", most // 3, longest)
+        self.rest = Stretches(one, " ", most, longest)
+
+    def word(self, text: str) -> bytes:
+        """Ids of a stretch. Latin letters behind at most a space are one pre-token: the model alone then does."""
+        body = text[1:] if text[:1] == " " else text
+        if body.isalpha() and max(body) < "\u0250":
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        return self.whole(text)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids

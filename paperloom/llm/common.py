@@ -76,9 +76,9 @@ def salts_of(key: Column, hot: list) -> Column:
 
 def join_one(many: DataFrame, one: DataFrame, key: str, hot: list, spread: str, how: str = "left") -> DataFrame:
     """Join rows to a table with one row a key. Hot keys are salted on the many side and replicated SALTS times on the other."""
-    left = many.withColumn("_salt", salt_for(F.col(key), hot, F.col(spread)))
-    right = one.withColumn("_salt", F.explode(salts_of(F.col(key), hot)))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    left = many.withColumn("_pl_salt", salt_for(F.col(key), hot, F.col(spread)))
+    right = one.withColumn("_pl_salt", F.explode(salts_of(F.col(key), hot)))
+    return left.join(right, [key, "_pl_salt"], how).drop("_pl_salt")
 
 
 def default_tokenizer() -> str:

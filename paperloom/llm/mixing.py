@@ -40,38 +40,38 @@ def poisson_table(rate: Column) -> Column:
 
 
 def rates(documents: DataFrame, weights: dict[str, float] | None, alpha: float, default: float, size: float) -> DataFrame:
-    """_source, _n, _rate: mean copies of each document. Without weights, targets are as n ** alpha."""
-    counts = documents.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("_source")).agg(F.count("*").alias("_n"))
+    """_pl_source, _n, _rate: mean copies of each document. Without weights, targets are as n ** alpha."""
+    counts = documents.groupBy(F.coalesce(F.col("source"), F.lit("")).alias("_pl_source")).agg(F.count("*").alias("_n"))
     if weights is None:
         weight = F.pow(F.col("_n").cast("double"), F.lit(alpha))
     else:
         weight = F.lit(float(default))
         for name, value in weights.items():
-            weight = F.when(F.col("_source") == name, F.lit(float(value))).otherwise(weight)
+            weight = F.when(F.col("_pl_source") == name, F.lit(float(value))).otherwise(weight)
     weighed = counts.withColumn("_weight", weight)
     total, mass = weighed.agg(F.sum("_n"), F.sum("_weight")).first()
     if not total or not mass:
-        return weighed.select("_source", "_n", F.lit(0.0).alias("_rate"))
+        return weighed.select("_pl_source", "_n", F.lit(0.0).alias("_rate"))
     rate = F.col("_weight") / F.lit(float(mass)) * F.lit(float(total) * size) / F.col("_n")
-    return weighed.select("_source", "_n", rate.alias("_rate"))
+    return weighed.select("_pl_source", "_n", rate.alias("_rate"))
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, default: float = 1.0, size: float = 1.0, seed: int = 17) -> DataFrame:
     """Documents with ``_pl_copy`` (from 0) and ``_pl_order``, globally shuffled: partitions and rows are in this order."""
-    by_source = rates(documents, weights, alpha, default, size).withColumn("_table", poisson_table(F.col("_rate")))
-    many = documents.withColumn("_source", F.coalesce(F.col("source"), F.lit("")))
+    by_source = rates(documents, weights, alpha, default, size).withColumn("_pl_table", poisson_table(F.col("_rate")))
+    many = documents.withColumn("_pl_source", F.coalesce(F.col("source"), F.lit("")))
     sources = by_source.cache()
     if sources.count() <= BROADCAST_SOURCES:
-        joined = many.join(F.broadcast(sources.select("_source", "_table")), "_source")
+        joined = many.join(F.broadcast(sources.select("_pl_source", "_pl_table")), "_pl_source")
     else:
-        hot = common.hot_keys(sources, "_source", "_n", documents.count())
-        joined = common.join_one(many, sources.select("_source", "_table"), "_source", hot, "doc_id", "inner")
+        hot = common.hot_keys(sources, "_pl_source", "_n", documents.count())
+        joined = common.join_one(many, sources.select("_pl_source", "_pl_table"), "_pl_source", hot, "doc_id", "inner")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = digest_number(13, F.lit(f"{seed}"), key) / F.lit(float(1 << 52))
-    counted = joined.withColumn("_u", u).withColumn("_copies", F.expr("size(filter(_table, c -> c <= _u))"))
-    copies = counted.where("_copies > 0").withColumn("_pl_copy", F.explode(F.expr("sequence(0, _copies - 1)")))
+    counted = joined.withColumn("_pl_u", u).withColumn("_pl_copies", F.expr("size(filter(_pl_table, c -> c <= _pl_u))"))
+    copies = counted.where("_pl_copies > 0").withColumn("_pl_copy", F.explode(F.expr("sequence(0, _pl_copies - 1)")))
     placed = copies.withColumn("_pl_order", digest_number(15, F.lit(f"{seed}"), key, F.col("_pl_copy").cast("string")))
-    placed = placed.drop("_source", "_table", "_u", "_copies")
+    placed = placed.drop("_pl_source", "_pl_table", "_pl_u", "_pl_copies")
     return placed.repartitionByRange("_pl_order").sortWithinPartitions("_pl_order")
 
 

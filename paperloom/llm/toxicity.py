@@ -103,14 +103,17 @@ class TextCnn:
         return np.concatenate([e @ w[j] for w in self.weights["conv"] for j in range(w.shape[0])], axis=1)
 
     def pooled(self, table: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Max over each text's windows. ids holds the texts one after another, each followed by max(widths) pads."""
-        f, out, at = self.settings.filters, [], 0
+        """Max over each text's windows. ids holds the texts one after another, each followed by max(widths) pads.
+
+        A text's last window starts at its first pad, so that none reaches into the next text.
+        """
+        f, out, at, bounds = self.settings.filters, [], 0, windows(starts, len(ids), max(self.settings.widths)).reshape(-1)
         for w, bias in zip(self.settings.widths, self.weights["bias"], strict=True):
             acc = table[:, at : at + f][ids]
             for j in range(1, w):
                 acc[:-j] += table[:, at + j * f : at + (j + 1) * f][ids[j:]]
             at += w * f
-            out.append(np.maximum(np.maximum.reduceat(acc, starts, axis=0) + bias, 0))
+            out.append(np.maximum(np.maximum.reduceat(acc, bounds, axis=0)[::2] + bias, 0))
         return np.concatenate(out, axis=1)
 
     def scorer(self):
@@ -150,6 +153,11 @@ class TextCnn:
         return 1 / (1 + np.exp(-np.clip(logits - shift, -30, 30)))
 
 
+def windows(starts: np.ndarray, size: int, pad: int) -> np.ndarray:
+    """[n, 2]: first window of each text and the one past its last."""
+    return np.stack([starts, np.append(starts[1:], size) - pad + 1], axis=1)
+
+
 def languages(votes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Index into LANGUAGES of each text, by most votes; ties go to the earlier language."""
     n = len(FUNCTION_WORDS)
@@ -190,6 +198,8 @@ def fit(sample: list[tuple[str, int]], settings: Settings) -> TextCnn:
     emb = np.concatenate([rng.normal(0, 0.05, (settings.buckets, settings.dim)), np.zeros((1, settings.dim))]).astype(np.float32)
     fold = np.arange(len(docs)) % 5 == 4  # in hash order, so an arbitrary fifth
     train, valid = np.flatnonzero(~fold), np.flatnonzero(fold)
+    if len(docs) < 50 or len(set(y[train].tolist())) < 2:  # too few to set any aside
+        train = valid = np.arange(len(docs))
     emb[:-1, 0] = evidence(docs, rows, y, train, settings.buckets)
     d, f = settings.dim, settings.filters
     conv = [rng.normal(0, 0.3 / w, (w, d, f)).astype(np.float32) for w in settings.widths]
@@ -240,14 +250,14 @@ def step(model: TextCnn, docs, y, rows, adam) -> None:
     ids, starts = layout(docs, max(s.widths))
     used, back = np.unique(ids, return_inverse=True)
     table, f, at = model.project(rows[used]), s.filters, 0
-    ends = np.append(starts[1:], len(ids))
+    bounds = windows(starts, len(ids), max(s.widths))
     pooled, where = [], []
     for w, bias in zip(s.widths, w8["bias"], strict=True):
         acc = table[:, at : at + f][back]
         for j in range(1, w):
             acc[:-j] += table[:, at + j * f : at + (j + 1) * f][back[j:]]
         at += w * f
-        top = np.stack([acc[a:b].argmax(axis=0) + a for a, b in zip(starts, ends, strict=True)])
+        top = np.stack([acc[a:b].argmax(axis=0) + a for a, b in bounds])
         pooled.append(np.take_along_axis(acc, top, axis=0) + bias)
         where.append(top)
     z = np.concatenate(pooled, axis=1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import from_map
+from .text import from_map, once
 
 # Built-in format codes (ECMA-376 18.8.30), without those that depend on the locale.
 BUILTIN = {
@@ -41,9 +41,10 @@ def first_section(code: Column) -> Column:
 
 
 def classify(code: Column) -> Column:
-    x = F.lower(strip_literals(code))
-    kind = F.when(x.rlike("[ymdhs]"), F.when(x.rlike("[hs]"), "datetime").otherwise("date")).when(x.contains("%"), "percent").when(x.rlike("[#0]"), "number").otherwise("general")
-    return F.coalesce(F.when(code.isNotNull(), kind), F.lit("general"))
+    def kind(x: Column) -> Column:
+        return F.when(x.rlike("[ymdhs]"), F.when(x.rlike("[hs]"), "datetime").otherwise("date")).when(x.contains("%"), "percent").when(x.rlike("[#0]"), "number").otherwise("general")
+
+    return F.when(code.isNull(), "general").otherwise(once(F.lower(strip_literals(code)), kind))
 
 
 def serial_to_text(serial: Column, date1904: Column, with_time: Column) -> Column:
@@ -73,7 +74,10 @@ def affixes(code: Column) -> tuple[Column, Column]:
         x = F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]", ""), '"([^"]*)"', "$1")
         return F.trim(F.regexp_replace(F.regexp_replace(x, r"\\(.)", "$1"), "[*_]", ""))
 
-    return plain(F.regexp_extract(section, r"(?s)^([^#0]*)[#0]", 1)), plain(F.regexp_extract(section, r"(?s)[#0]([^#0]*)\z", 1))
+    def unless_bare(x: Column) -> Column:
+        return F.when(x == "", x).otherwise(plain(x))
+
+    return once(F.regexp_extract(section, r"(?s)^([^#0]*)[#0]", 1), unless_bare), once(F.regexp_extract(section, r"(?s)[#0]([^#0]*)\z", 1), unless_bare)
 
 
 @F.pandas_udf(StringType())
@@ -100,7 +104,7 @@ def grouped(digits: Column) -> Column:
 def format_number(value: Column, code: Column, rounded: Column | None = None) -> Column:
     """sign, prefix, digits, suffix. ``rounded``: the absolute value's digits if they're made otherwise."""
     body = fixed(F.abs(value), decimal_places(code)) if rounded is None else rounded
-    whole, rest = F.regexp_extract(body, r"^(\d+)", 1), F.regexp_extract(body, r"(\.\d+)\z", 1)
+    whole, rest = F.substring_index(body, ".", 1), F.when(body.contains("."), F.concat(F.lit("."), F.substring_index(body, ".", -1))).otherwise("")
     prefix, suffix = affixes(code)
     return F.concat(F.when(value < 0, "-").otherwise(""), prefix, F.when(has_thousands(code), grouped(whole)).otherwise(whole), rest, suffix)
 
@@ -108,10 +112,11 @@ def format_number(value: Column, code: Column, rounded: Column | None = None) ->
 def format_cell(raw: Column, code: Column, date1904: Column) -> Column:
     """A raw cell text as its format shows it; whatever can't be read as a number stays as it is."""
     kind, value = classify(code), F.when(raw.rlike(NUMERIC), F.trim(raw).try_cast("double"))
+    # one call of the only Python step, for both kinds that need it
+    digits = fixed(F.when(kind == "percent", value * 100).when(kind == "number", F.abs(value)), decimal_places(code))
     date = serial_to_text(value, date1904, kind == "datetime")
-    percent = F.concat(fixed(value * 100, decimal_places(code)), F.lit("%"))
-    shown = F.when(kind.isin("date", "datetime"), date).when(kind == "percent", percent).when(kind == "number", format_number(value, code))
-    return F.when((kind == "general") | value.isNull(), raw).otherwise(F.coalesce(shown, raw))
+    shown = F.when(kind.isin("date", "datetime"), date).when(kind == "percent", F.concat(digits, F.lit("%"))).when(kind == "number", format_number(value, code, digits))
+    return F.when(value.isNull(), raw).otherwise(F.coalesce(shown, raw))
 
 
 def error_text(code: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .routing import is_http_url, url_host
+from .text import once
 
 #: Blocked IPv4 ranges (first address, bits of prefix).
 BLOCKED_V4 = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 4), ("240.0.0.0", 4)]
@@ -13,11 +14,6 @@ V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z"
 MAX_BYTES, MAX_REDIRECTS = 20 * 1024 * 1024, 3
 
 
-def once(x: Column, use) -> Column:
-    """use(x) with x computed once, however often it is used."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def v4_number(ip: Column) -> Column:
     """The address as a long, null if it isn't dotted quad."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,6 +48,11 @@ SPACE = r"[\s   -     　﻿]"
 INLINE = [(r"`([^`]+)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"~~([^~]+)~~", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1")]
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def from_map(key: Column, pairs: dict[str, str], default: Column | None = None) -> Column:
     """A literal lookup."""
     table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])

@@ -34,7 +34,7 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 # Roles, and words in class or id, of what isn't the article.
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 UNLIKELY = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager skip toolbar".split())
-NEVER_UNLIKELY = {"html", "body", "article", "main"}
+WHOLE_NAMES = {"article", "main"}
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -60,7 +60,9 @@ def unwanted(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in NEVER_UNLIKELY and any(w.lower() in UNLIKELY for w in WORDS.findall(value)):
+        # an article may be a comment or an advert itself, but not because a part of a longer name says so
+        words = value.split() if tag in WHOLE_NAMES else WORDS.findall(value)
+        if name in ("class", "id") and any(w.lower() in UNLIKELY for w in words):
             return True
     return False
 

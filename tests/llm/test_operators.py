@@ -315,6 +315,7 @@ def test_extraction():
     (None, ""), ("", ""), ("<br><hr>", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a b"), ("a < b", "a < b"), ("<!-- x --><p>y</p>", "y"), ("<p>x", "x"),
     ("<script>a", ""), ("<p title='>'>q</p>", "q"), ("<p>1</p></div></p><p>2</p>", "1 2"), ("<p>" + "w " * 60_000 + "</p>", ("w " * 60_000).strip()), ("<div>" * 3000 + "deep", "deep"),
     ("<nav>m</nav><div><p>" + "one, two. " * 20 + "</p></div><div><p>" + "three, four. " * 20 + "</p></div>", "one, two. " * 20 + ("three, four. " * 20).strip()), ("<a <b>x", "x"), ("<", "<"),
+    ("<article class='post no-comments'><p>kept, text.</p></article><article class=comment><p>a much longer remark, by a reader, with commas, in it.</p></article>", "kept, text."),
 ])
 def test_extraction_cases(html, text):
     assert html_extraction.extract(html) == text

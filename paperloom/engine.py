@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .functions import html as H
 from .functions.routing import basename, detect_format
@@ -27,7 +28,7 @@ def convert(files: DataFrame, include_hidden: bool = False) -> DataFrame:
     made = []
     for kind in N.READERS:
         mine = named.where(F.col("format") == kind)
-        cells, merges = N.read_sheets(mine, kind)
+        cells, merges = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in N.read_sheets(mine, kind))  # parsed once, used often
         hidden = F.struct(F.lit(0).cast("long") if include_hidden else F.col("hidden_sheets"), "hidden_rows", "hidden_cols").cast("struct<sheets:long,rows:long,cols:long>")
         errors = cells.where("error IS NOT NULL AND sheet IS NULL").select("path", F.lit(None).cast("string").alias("markdown"), none.alias("hidden_excluded"), "error")
         made.append(W.render(cells, merges, include_hidden).select("path", "markdown", hidden.alias("hidden_excluded"), F.lit(None).cast("string").alias("error")).unionByName(errors))

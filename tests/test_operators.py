@@ -151,9 +151,10 @@ def test_convert_mixed_files(spark):
     docx = archive({"word/document.xml": f"<w:document {W_NS}><w:body><w:p><w:r><w:t>hello</w:t></w:r></w:p></w:body></w:document>"})
     files = [("/in/a.xlsx", build_xlsx([SHEET])), ("/in/b.xls", build_xls([SHEET])), ("/in/c.docx", docx), ("/in/d.html", b"<title>T</title><p>x</p>"), ("/in/e.pdf", b"%PDF"), ("/in/f.zip", b"PK"), ("/in/g.xlsx", b"junk"), ("/in/h.hwpx", b"junk")]
     frame = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
-    made = {r["path"]: r for r in engine.convert(frame).collect()}
+    found = engine.convert(frame).persist()
+    made = {r["path"]: r for r in found.collect()}
     assert len(made) == 8 and made["/in/a.xlsx"]["markdown"] == made["/in/b.xls"]["markdown"] and made["/in/a.xlsx"]["hidden_excluded"]["rows"] == 1
     assert made["/in/c.docx"]["markdown"] == "hello" and made["/in/d.html"]["markdown"] == "# T\n\nx"
     assert [made[f"/in/{x}"]["error"] for x in ("e.pdf", "f.zip")] == ["no-reader", "unsupported-format"]
     assert made["/in/g.xlsx"]["error"].startswith("BadZipFile") and made["/in/h.hwpx"]["error"].startswith("BadZipFile")
-    assert engine.sections(engine.convert(frame)).where("path[0] = 'T'").count() == 1
+    assert engine.sections(found).where("path[0] = 'T'").count() == 1

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import os
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most this many keys can each hold 1/HOT_KEYS of the rows, which bounds the list of hot keys.
 HOT_KEYS = 256
-#: A hot key's rows are dealt over this many salts.
-SALTS = 32
+#: A hot key's rows are dealt over this many salts at least, and over more so that a salt has SALT_ROWS at most.
+SALTS, SALT_ROWS = 32, 2_000_000
+
+
+class Hot(NamedTuple):
+    """Keys that many rows share, and the salts over which each is dealt."""
+
+    keys: list
+    salts: int
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,28 +62,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def hot_keys(sizes: DataFrame, key: str, count: str, total: int) -> list:
+def hot_keys(sizes: DataFrame, key: str, count: str, total: int) -> Hot:
     """Keys holding at least 1/HOT_KEYS of all rows: never more than HOT_KEYS values, so safe on the driver."""
     least = max(1000, total // HOT_KEYS)
-    return [r[0] for r in sizes.where(F.col(count) >= least).select(key).collect()]
+    found = [r[0] for r in sizes.where(F.col(count) >= least).select(key).collect()]
+    return Hot(found, max(SALTS, total // SALT_ROWS))
 
 
-def salt_for(key: Column, hot: list, spread: Column) -> Column:
+def salt_for(key: Column, hot: Hot, spread: Column) -> Column:
     """The salt of a row on the many side: varies over the row for hot keys, else zero."""
-    if not hot:
+    if not hot.keys:
         return F.lit(0)
-    return F.when(key.isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")
+    return F.when(key.isin(hot.keys), F.pmod(F.xxhash64(spread), F.lit(hot.salts))).otherwise(0).cast("int")
 
 
-def salts_of(key: Column, hot: list) -> Column:
+def salts_of(key: Column, hot: Hot) -> Column:
     """All salts under which a row of the one-per-key side has to appear."""
-    if not hot:
+    if not hot.keys:
         return F.array(F.lit(0))
-    return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return F.when(key.isin(hot.keys), F.sequence(F.lit(0), F.lit(hot.salts - 1))).otherwise(F.array(F.lit(0)))
 
 
-def join_one(many: DataFrame, one: DataFrame, key: str, hot: list, spread: str, how: str = "left") -> DataFrame:
-    """Join rows to a table with one row a key. Hot keys are salted on the many side and replicated SALTS times on the other."""
+def join_one(many: DataFrame, one: DataFrame, key: str, hot: Hot, spread: str, how: str = "left") -> DataFrame:
+    """Join rows to a table with one row a key. Hot keys are salted on the many side and replicated on the other."""
     left = many.withColumn("_pl_salt", salt_for(F.col(key), hot, F.col(spread)))
     right = one.withColumn("_pl_salt", F.explode(salts_of(F.col(key), hot)))
     return left.join(right, [key, "_pl_salt"], how).drop("_pl_salt")

@@ -122,7 +122,7 @@ def classify(documents: DataFrame, keep: str = "min", digest_bytes: int = 32) ->
     return result.select("doc_id", "keep_id", "group_size", "kept", "sha")
 
 
-def mismatches(hashed: DataFrame, groups: DataFrame, hot: list) -> DataFrame:
+def mismatches(hashed: DataFrame, groups: DataFrame, hot: common.Hot) -> DataFrame:
     """Digests whose rows hold different bytes. Texts move once; a hot digest's rows are compared in salted shares."""
     left = hashed.select("digest", "text").withColumn("_salt", common.salt_for(F.col("digest"), hot, F.monotonically_increasing_id()))
     right = groups.select("digest").withColumn("_salt", F.explode(common.salts_of(F.col("digest"), hot)))

@@ -26,8 +26,8 @@ from . import common
 from .encoding import Encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Windows that number the pieces of one length.
-SALTS = 64
+#: Windows that number the pieces of one length: this many at least, and more so that one has SALT_ROWS at most.
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
@@ -95,9 +95,9 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, in
 
 def pack(cut: DataFrame, size: int) -> DataFrame:
     """Pieces with sequence_id and offset. ``cut`` has to be a stored table: it's read twice."""
-    spark = cut.sparkSession
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    # two small tables: at most size x SALTS rows, and size rows on the driver
+    spark, salts = cut.sparkSession, max(SALTS, cut.count() // SALT_ROWS)
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    # counts by length and salt, joined where the windows are dealt already; counts by length, size rows on the driver
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -107,7 +107,7 @@ def pack(cut: DataFrame, size: int) -> DataFrame:
     slot_rows = spark.createDataFrame(table.astype("int64"), "length long, _first long, _ranks long, _sequence long, _per long, _offset long") if slots else spark.createDataFrame([], "length long, _first long, _ranks long, _sequence long, _per long, _offset long")
     by_length = slot_rows.groupBy(F.col("length").cast("int").alias("length")).agg(F.array_sort(F.collect_list(F.struct("_first", "_sequence", "_per", "_offset"))).alias("_slots"))
     within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_local", F.row_number().over(within) - 1).join(F.broadcast(bases), ["length", "_salt"])
+    ranked = salted.withColumn("_local", F.row_number().over(within) - 1).join(bases.hint("merge"), ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_local") + F.col("_base"))
     placed = ranked.join(F.broadcast(by_length), "length").withColumn("_slot", last_at_most("_slots", "_rank"))
     inside = F.col("_rank") - F.col("_slot._first")

@@ -245,8 +245,8 @@ def mark(text: str, sign: str) -> str:
     return f"{lead}{sign}{body}{sign}{tail}"
 
 
-def blocks(node: Element, indent: int = 0) -> list[str]:
-    """Markdown blocks of a container."""
+def blocks(node: Element, keep_tables: bool = False) -> list[str]:
+    """Markdown blocks of a container. Tables become pipe tables, or stay HTML."""
     out: list[str] = []
     loose: list[Element | str] = []
 
@@ -269,35 +269,35 @@ def blocks(node: Element, indent: int = 0) -> list[str]:
             if text:
                 out.append("#" * int(c.tag[1]) + " " + text)
         elif c.tag == "p":
-            out += blocks(Element("div", {}, c.children))
+            out += blocks(Element("div", {}, c.children), keep_tables)
         elif c.tag == "pre":
             code = c.first("code")
             language = re.search(r"language-([\w+-]+)", (code or c).attrs.get("class", ""))
             out.append(f"```{language[1] if language else ''}\n" + c.text().strip("\n") + "\n```")
         elif c.tag == "blockquote":
-            inner = "\n\n".join(blocks(c))
+            inner = "\n\n".join(blocks(c, keep_tables))
             if inner:
                 out.append("\n".join(f"> {x}".rstrip() for x in inner.split("\n")))
         elif c.tag in ("ul", "ol"):
             items = []
             for k, li in enumerate(x for x in c.children if isinstance(x, Element) and x.tag == "li"):
                 sign = f"{k + 1}." if c.tag == "ol" else "-"
-                body = "\n".join(blocks(li))
+                body = "\n".join(blocks(li, keep_tables))
                 items.append(f"{sign} " + body.replace("\n", "\n" + " " * (len(sign) + 1)))
             if items:
                 out.append("\n".join(items))
         elif c.tag == "table":
-            made = pipe_table(expand(c))
+            made = to_html(c) if keep_tables else pipe_table(expand(c))
             if made:
                 out.append(made)
         else:
-            out += blocks(c)
+            out += blocks(c, keep_tables)
     flush()
     return out
 
 
-def to_markdown(node: Element) -> str:
-    return "\n\n".join(blocks(node)).replace("​", "")
+def to_markdown(node: Element, keep_tables: bool = False) -> str:
+    return "\n\n".join(blocks(node, keep_tables)).replace("​", "")
 
 
 def page_to_markdown(html: str, url: str | None) -> str:

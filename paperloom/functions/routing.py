@@ -97,7 +97,14 @@ def disposition_name(header: Column) -> Column:
     plain = F.regexp_extract(header, r"""(?i)filename\s*=\s*(?:"([^"]*)"|[^;"\s]+)""", 1)
     bare = F.regexp_extract(header, r"(?i)filename\s*=\s*([^;\"\s]+)", 1)
     name = F.coalesce(F.nullif(percent_decoded(F.trim(star)), F.lit("")), F.nullif(plain, F.lit("")), F.nullif(bare, F.lit("")))
-    return F.nullif(F.regexp_replace(F.regexp_replace(name, r"[\x00-\x1f\x7f]", ""), r"[/\\]", "_"), F.lit(""))
+    return F.nullif(F.regexp_replace(F.regexp_replace(remade(name), r"[\x00-\x1f\x7f]", ""), r"[/\\]", "_"), F.lit(""))
+
+
+def remade(name: Column) -> Column:
+    """UTF-8 that was read as Latin-1 is read again; other names stay."""
+    latin = name.rlike(r"[\x{80}-\x{FF}]") & ~name.rlike(r"[^\x{00}-\x{FF}]")
+    text = F.encode(name, "ISO-8859-1").cast("string")
+    return F.when(latin, F.when(F.is_valid_utf8(text), text).otherwise(name)).otherwise(name)
 
 
 def markdown_path(source: Column, folder: Column | None = None) -> Column:

@@ -59,3 +59,8 @@ def too_large(images: Column, limit_kb: int) -> Column:
 
 def data_uri(mime: Column, data: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(data))
+
+
+def inlined(html: Column, images: Column) -> Column:
+    """A page for viewing on its own: sources that name an image (structs name, mime, data) become data URIs."""
+    return F.aggregate(images, html, lambda h, i: F.replace(h, F.concat(F.lit('src="'), i["name"], F.lit('"')), F.concat(F.lit('src="'), data_uri(i["mime"], i["data"]), F.lit('"'))))

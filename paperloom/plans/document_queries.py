@@ -235,3 +235,8 @@ def q_run_merge(spark: SparkSession, d: str) -> DataFrame:
     gaps = F.sum(F.when(F.col("gap"), 50.0).otherwise(0.0)).over(Window.partitionBy("page").orderBy("seq"))
     runs = t.select("page", "seq", (F.col("seq") * 5.0 + gaps).alias("x"), F.lit(10.0).alias("y"), F.lit(5.0).alias("width"), F.lit(8.0).alias("height"), "text", F.lit("f").alias("font"))
     return U.merge_adjacent(runs, ["page"]).select("page", "seq", "text")
+
+
+@query(f"WITH {DOCS_SQL}, {LINES_SQL}, {SECTIONS_SQL} SELECT s.conv_id, min(s.line) AS start FROM sections s JOIN paths p USING (conv_id, line) WHERE p.path = 'user 0 / assistant 1' GROUP BY s.conv_id")
+def q_chunk_by_path(spark: SparkSession, d: str) -> DataFrame:
+    return O.chunk(conversations(spark, d), ["conv_id"], path=["user 0", "assistant 1"]).select("conv_id", F.col("start").cast("long").alias("start"))

@@ -268,3 +268,21 @@ def q_queue_progress(spark: SparkSession, d: str) -> DataFrame:
 
     counted = progress(table(spark, d, "events").select("ts", F.col("event_type").alias("status")), every="1 hour")
     return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "status", "n")
+
+
+SHELL = "CASE page_id % 4 WHEN 0 THEN '<frame src=\"/p' || (page_id + 1) || '\" name=\"x\">' WHEN 1 THEN '<iframe name=\"mainBody\" src=\"http://h/p' || (page_id + 1) || '\"></iframe><iframe src=\"/zzz\"></iframe>' WHEN 2 THEN '<p>' || repeat('w', 250) || '</p><iframe src=\"/p1\"></iframe>' ELSE '<frame src=\"javascript:1\">' END"
+
+
+@query(f"""WITH p AS (SELECT page_id, 'http://h/p' || page_id AS url, {SHELL} AS html FROM pages),
+t AS (SELECT *, CASE WHEN page_id % 4 < 2 THEN 'http://h/p' || (page_id + 1) END AS dst FROM p),
+a AS (SELECT t.page_id, coalesce(q.url, t.url) AS url, coalesce(q.html, t.html) AS html, q.dst FROM t LEFT JOIN t q ON q.url = t.dst)
+SELECT a.page_id, coalesce(q.url, a.url) AS url, coalesce(q.html, a.html) AS html FROM a LEFT JOIN p q ON q.url = a.dst""")
+def q_frames(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pages").selectExpr("page_id", "'http://h/p' || page_id AS url", f"{SHELL} AS html")
+    return P.followed(t)
+
+
+@query("""SELECT p_partkey, '<img src="data:image/png;base64,' || base64(encode(p_name)) || '"><img src="b.png">' AS html FROM part""")
+def q_viewer_html(spark: SparkSession, d: str) -> DataFrame:
+    images = F.array(F.struct(F.lit("a.png").alias("name"), F.lit("image/png").alias("mime"), F.col("p_name").cast("binary").alias("data")))
+    return table(spark, d, "part").select("p_partkey", I.inlined(F.lit('<img src="a.png"><img src="b.png">'), images).alias("html"))

@@ -403,7 +403,7 @@ def docx(content: bytes) -> str:
                         counter[0] += 1
                         alt = next((attribute(y, "descr") or attribute(y, "name") or "" for y in find(x, "docPr")), "")
                         target = next((links.get(attribute(y, "embed") or "", "") for y in find(x, "blip")), "")
-                        text += f'<img src="img_{counter[0]:03d}{posixpath.splitext(target)[1]}" alt="{escape(alt)}">'
+                        text += f'<img src="img_{counter[0]:03d}{posixpath.splitext(target)[1].lower()}" alt="{escape(alt)}">'
                 for tag, key in (("del", "strike"), ("em", "i"), ("strong", "b")):
                     if key in props and props[key] not in ("0", "false") and text:
                         text = f"<{tag}>{text}</{tag}>"
@@ -605,3 +605,56 @@ def read_text(found: DataFrame, kind: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "html", "markdown", "error"], dtype=object)
 
     return found.select("path", "content").mapInPandas(run, "path string, html string, markdown string, error string")
+
+
+def drawn_images(archive: Archive, part: str) -> list[tuple[str, str]]:
+    """(member, alternative text) of the pictures of a sheet's drawings, in order of their anchors."""
+    out = []
+    for target in relations(archive, part).values():
+        if "/drawings/" not in f"/{target}" or not target.endswith(".xml"):
+            continue
+        root, media = archive.xml(target), relations(archive, target)
+        for pic in find(root, "pic") if root is not None else ():
+            named = next(find(pic, "cNvPr"), None)
+            alt = "" if named is None else named.get("descr") or named.get("name") or ""
+            member = next((media.get(attribute(x, "embed") or "") for x in find(pic, "blip")), None)
+            if member:
+                out.append((member, alt))
+    return out
+
+
+def images(content: bytes, kind: str) -> list[dict]:
+    """Pictures of a document in encounter order, numbered: name, alt, member, data."""
+    archive, found = Archive(content), []
+    if kind == "xlsx":
+        book, targets = archive.xml("xl/workbook.xml"), relations(archive, "xl/workbook.xml")
+        for s in find(book, "sheet") if book is not None else ():
+            found += drawn_images(archive, targets.get(attribute(s, "id") or "", ""))
+    elif kind == "docx":
+        root, links = archive.xml("word/document.xml"), relations(archive, "word/document.xml")
+        for x in find(root, "drawing") if root is not None else ():
+            alt = next((attribute(y, "descr") or attribute(y, "name") or "" for y in find(x, "docPr")), "")
+            found += [(links.get(attribute(y, "embed") or "", ""), alt) for y in find(x, "blip")]
+    else:
+        found = [(x, "") for x in sorted(archive.names) if x.startswith("BinData/")]
+    out = []
+    for member, alt in found:
+        data = archive.read(member) if member else None
+        if data is not None:
+            out.append({"name": f"img_{len(out) + 1:03d}{posixpath.splitext(member)[1].lower()}", "alt": alt, "member": member, "data": data})
+    return out
+
+
+def read_images(found: DataFrame, kind: str) -> DataFrame:
+    """path, name, alt, member, data: one row a picture; files that can't be read have none here, their error is with the text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows = images(bytes(content), kind)
+                except Exception:
+                    rows = []
+                yield pd.DataFrame([{"path": path} | x for x in rows], columns=["path", "name", "alt", "member", "data"], dtype=object)
+
+    return found.select("path", "content").mapInPandas(run, "path string, name string, alt string, member string, data binary")

@@ -77,6 +77,7 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and not any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") or x["content"].strip(CLOSING) != x["content"] for x in added)
         )
+        self.tokenize = self.tokenizer.model.tokenize
         self.newline = self.whole("\n")
         one = self.word if LITTLE and self.by_stretch else self.whole
         self.first = Stretches(one, "", most // 3, longest)
@@ -84,9 +85,13 @@ class Encoder:
 
     def word(self, text: str) -> bytes:
         """Ids of a stretch. Latin letters behind at most a space are one pre-token: the model alone then does."""
-        body = text[1:] if text[:1] == " " else text
-        if body.isalpha() and max(body) < "\u0250":
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        spaced = text[0] == " "
+        body = text[1:] if spaced else text
+        if body.isalpha():
+            if body.isascii():
+                return array("I", [t.id for t in self.tokenize(BYTE_LETTERS[32] + body if spaced else body)]).tobytes()
+            if max(body) < "\u0250":
+                return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return self.whole(text)
 
     def whole(self, text: str) -> bytes:

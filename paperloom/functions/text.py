@@ -41,10 +41,11 @@ LIST_STYLE = "나열"
 STRIKE_SHAPES = "SOLID DOT DASH DASH_DOT DASH_DOT_DOT LONG_DASH CIRCLE DOUBLE_LINE DOUBLE_SLIM_LINE SLIM_THICK_LINE THICK_SLIM_LINE SLIM_THICK_SLIM_LINE".split()
 #: Zero-width space, non-joiner, joiner and byte-order mark.
 ZERO_WIDTH = "​‌‍﻿"
+# Fixed value: punctuation that anchors leave out.
 SLUG_PUNCTUATION = r"""[!"#$%&'()*+,./:;<=>?@\[\\\]^`{|}~]"""
-#: White space as the source of the documents counts it, spelled out since Java's \s is ASCII only.
+# Fixed value: white space as the source of the documents counts it, spelled out since Java's \s is ASCII only.
 SPACE = r"[\s   -     　﻿]"
-#: Rewrites of inline Markdown, in order.
+# Rewrites of inline Markdown, in order.
 INLINE = [(r"`([^`]+)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"~~([^~]+)~~", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1")]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_inline, trim_edges
 
+# Patterns of headings, fences and lines of a table of contents, and the dots that lead to page numbers.
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*\z"
 FENCE = r"^\s{0,3}(```+|~~~+)"
 LEADERS = ".·․‥…"

@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: White space other than space and newline.
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 #: Byte-level vocabularies write bytes that don't print as the letters from U+0100 on.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -56,7 +56,7 @@ def decode_bytes(content: bytes, content_type: str | None) -> str:
         codecs.lookup(name := {"ks_c_5601-1987": "cp949", "euc-kr": "cp949"}.get(name, name))
     except LookupError:
         name = "utf-8"
-    return content.decode(name, "replace").removeprefix("﻿")
+    return content.decode(name, "replace").removeprefix("\ufeff")
 
 
 @F.pandas_udf(StringType())

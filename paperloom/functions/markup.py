@@ -297,7 +297,7 @@ def blocks(node: Element, keep_tables: bool = False) -> list[str]:
 
 
 def to_markdown(node: Element, keep_tables: bool = False) -> str:
-    return "\n\n".join(blocks(node, keep_tables)).replace("​", "")
+    return "\n\n".join(blocks(node, keep_tables)).replace("\u200b", "")
 
 
 def page_to_markdown(html: str, url: str | None) -> str:
@@ -306,4 +306,4 @@ def page_to_markdown(html: str, url: str | None) -> str:
     clean = sanitize(found, url)
     if title and clean.first("h1") is None:
         clean = Element("div", {}, [Element("h1", {}, [title]), clean])
-    return re.sub("[​‌‍﻿]", "", "\n\n".join(blocks(Element("#root", {}, [clean]))))
+    return re.sub("[\u200b\u200c\u200d\ufeff]", "", "\n\n".join(blocks(Element("#root", {}, [clean]))))

@@ -40,11 +40,11 @@ STYLE_LEVELS = [(r"^1\.\s*제목\z", 1), (r"^1\.1\s*부제목\z", 2), (r"^부제
 LIST_STYLE = "나열"
 STRIKE_SHAPES = "SOLID DOT DASH DASH_DOT DASH_DOT_DOT LONG_DASH CIRCLE DOUBLE_LINE DOUBLE_SLIM_LINE SLIM_THICK_LINE THICK_SLIM_LINE SLIM_THICK_SLIM_LINE".split()
 #: Zero-width space, non-joiner, joiner and byte-order mark.
-ZERO_WIDTH = "​‌‍﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 # Fixed value: punctuation that anchors leave out.
 SLUG_PUNCTUATION = r"""[!"#$%&'()*+,./:;<=>?@\[\\\]^`{|}~]"""
 # Fixed value: white space as the source of the documents counts it, spelled out since Java's \s is ASCII only.
-SPACE = r"[\s   -     　﻿]"
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 # Rewrites of inline Markdown, in order.
 INLINE = [(r"`([^`]+)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"~~([^~]+)~~", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1")]
 

@@ -133,7 +133,7 @@ SELECT l_orderkey, l_linenumber, symbols, translate(symbols, '{"".join(T.CANONIC
 def q_glyphs(spark: SparkSession, d: str) -> DataFrame:
     codes = F.array(*[F.lit(chr(k)) for k in CODES])
     t = table(spark, d, "lineitem").withColumn("k", F.expr(f"cast((l_orderkey * 7 + l_partkey) % {len(CODES)} as int)"))
-    raw = F.concat("l_returnflag", F.get(codes, F.col("k")), F.lit("​x"))
+    raw = F.concat("l_returnflag", F.get(codes, F.col("k")), F.lit("\u200bx"))
     symbols = T.normalize_symbols(raw)
     return t.select("l_orderkey", "l_linenumber", symbols.alias("symbols"), T.canonical_glyphs(symbols).alias("canonical"), T.strip_zero_width(raw).alias("visible"))
 

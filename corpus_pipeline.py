@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import common, exact_dedup, mixing, packing, simhash, toxicity
+from paperloom.llm import common, exact_dedup, mixing, packing, shingles, simhash, toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates."""
-    return simhash.keep_one(docs)
+    """One row of each component of near duplicates: texts within op10's 4 bits, or with 0.8 of their five-word shingles in common."""
+    return simhash.keep_one(docs, similar=shingles.AT_LEAST)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

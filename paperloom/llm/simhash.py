@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 from .components import connected
 
 LOW_BITS = 0x5555555555555555
@@ -175,11 +175,17 @@ def edges(classes: DataFrame, limit: int = LIMIT, block: int = 1 << 15) -> DataF
     return pairs.unionByName(more.select("a", "b"))
 
 
-def classify(documents: DataFrame, words: int = 4, limit: int = LIMIT, block: int = 1 << 15) -> DataFrame:
-    """doc_id, fp, th, component_id: the least doc_id that is reachable over links of at most ``limit`` bits."""
+def classify(documents: DataFrame, words: int = 4, limit: int = LIMIT, block: int = 1 << 15, similar: float | None = None) -> DataFrame:
+    """doc_id, fp, th, component_id: the least doc_id that is reachable over links of at most ``limit`` bits.
+
+    With ``similar`` also over links between texts of at least that similarity of five-word shingles.
+    """
     prints = fingerprints(documents, words)
     classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
-    roots = connected(edges(classes, limit, block)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    links = edges(classes, limit, block)
+    if similar is not None:
+        links = links.unionByName(shingles.edges(documents, lambda raw: fingerprint(raw, words), similar))
+    roots = connected(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = common.written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     total = prints.count()
@@ -189,10 +195,10 @@ def classify(documents: DataFrame, words: int = 4, limit: int = LIMIT, block: in
     return common.join_one(prints, named.drop("n"), "fp", common.hot_keys(classes, "fp", "n", total), "doc_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, similar: float | None = None) -> DataFrame:
     """Of each component the row with the least doc_id (of several, the one with the least text hash), whole."""
     none = F.lit(-(1 << 63))
-    found = classify(documents).select(F.coalesce("doc_id", none).alias("_pl_id"), F.col("th").alias("_pl_th"), F.coalesce("component_id", none).alias("_pl_of"))
+    found = classify(documents, similar=similar).select(F.coalesce("doc_id", none).alias("_pl_id"), F.col("th").alias("_pl_th"), F.coalesce("component_id", none).alias("_pl_of"))
     # rows without any id in their component: one stays for each text
     nameless = F.when(F.col("_pl_id") == none, F.col("_pl_th"))
     reps = found.where("_pl_id = _pl_of").groupBy("_pl_id", nameless.alias("_pl_own")).agg(F.min("_pl_th").alias("_pl_th"))

@@ -3,7 +3,8 @@
 Strong patterns (assign, access, hex) are always reported. Weak ones (id, secret, endpoint) are parts of a credential that
 mean little alone: each is reported only if its complement lies in the same scope, within ``reach`` code points. A scope
 ends at a blank line. An id needs a secret, a secret needs an id, an endpoint needs both; strong access spans count as
-ids, strong assign and hex spans as secrets. The interval join looks at the nearest part of each role before and after a
+ids, strong assign and hex spans as secrets. An id or secret that overlaps a strong span is left to it; an endpoint is
+reported with the credential inside it. The interval join looks at the nearest part of each role before and after a
 candidate by windows over a document's parts, so it emits no pairs.
 
 Places are counted in code points without a function for them: the pieces between matches (``split``) and the matches
@@ -89,7 +90,7 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
     near = lambda n: F.coalesce(F.col("start") - F.col(f"{n}_end") <= reach, F.lit(False)) | F.coalesce(F.col(f"{n}_start") - F.col("end") <= reach, F.lit(False))
     covered = F.coalesce(F.col("strong_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("strong_start") < F.col("end"), F.lit(False))
     complete = F.when(role("id"), near("secret")).when(role("secret"), near("id")).when(role("endpoint"), near("id") & near("secret")).otherwise(F.lit(False))
-    kept = both.where(complete & ~covered)
+    kept = both.where(complete & (role("endpoint") | ~covered))
     return kept.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
 
 

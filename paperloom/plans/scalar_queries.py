@@ -191,7 +191,7 @@ def q_paragraph_styles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, nfc_normalize(coalesce(text, '') || chr(101) || chr(769)) AS text FROM documents WHERE length(text) < 400")
 def q_nfc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.length("text") < 400).select("doc_id", T.nfc(F.concat(F.coalesce("text", F.lit("")), F.lit("é"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.nfc(F.concat(F.coalesce("text", F.lit("")), F.lit("é"))).alias("text"))
 
 
 _BUILT_IN = " ".join(f"WHEN {k} THEN '{v}'" for k, v in C.BUILTIN.items())

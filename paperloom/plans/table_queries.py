@@ -28,7 +28,7 @@ cmap AS (SELECT sheet, col, row_number() OVER (PARTITION BY sheet ORDER BY col)
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").selectExpr("cast(l_suppkey % 20 as int) AS sheet", "cast(l_orderkey % 40 as int) AS row", "cast(l_partkey % 9 as int) AS col", "CASE WHEN l_quantity > 30 THEN l_returnflag || '|' || l_linestatus ELSE '' END AS text")
+    t = table(spark, d, "lineitem").selectExpr("cast(l_suppkey % 20 as int) AS sheet", "cast(l_orderkey % 40 as int) AS row", "cast(l_partkey % 9 as int) AS col", "CASE WHEN l_quantity > 30 THEN l_returnflag || '|' || l_linestatus ELSE '' END AS text")
     return t.groupBy("sheet", "row", "col").agg(F.min("text").alias("text"))
 
 
@@ -47,7 +47,7 @@ def q_sheet_dense(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CELLS_SQL}, b AS (SELECT sheet, max(row) AS r, max(col) AS c FROM raw WHERE text <> '' AND row < 30 GROUP BY sheet) SELECT sheet, row, col, text FROM (SELECT dense.*, r, c FROM dense JOIN b USING (sheet)) WHERE row <= r AND col <= c AND row < 30 AND row < 25 AND col < 6")
 def q_sheet_trim(spark: SparkSession, d: str) -> DataFrame:
-    return G.capped(G.trimmed(G.dense(cells(spark, d), ["sheet"]).where("row < 30"), ["sheet"]), rows=25, cols=6)
+    return G.capped(G.trimmed(G.dense(cells(spark, d), ["sheet"]), ["sheet"]))
 
 
 @query(f"WITH {CELLS_SQL}, {MERGES_SQL}, x AS (SELECT sheet, row AS r, col AS c FROM raw WHERE text <> '' UNION ALL SELECT sheet, r2, c2 FROM merges) SELECT sheet, max(r) AS last_row, max(c) AS last_col FROM x GROUP BY sheet")

@@ -10,6 +10,8 @@ from .test_queries import db, normal  # noqa: F401
 
 CUTS = {
     "q_nfc": [" WHERE length(text) < 400"],
+    **{f"q_{n}": [" WHERE l_orderkey % 3 = 0"] for n in "sheet_dense sheet_bounds merge_arrows hidden_projection hidden_counts gfm_table table_verify sheet_html parse_tables".split()},
+    "q_sheet_trim": [" WHERE l_orderkey % 3 = 0", " AND row < 30", " AND row < 25 AND col < 6"],
 }
 
 

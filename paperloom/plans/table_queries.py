@@ -94,7 +94,7 @@ def q_gfm_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey AS string_index, coalesce(p_name, '') AS text FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 WHERE l_orderkey % 10 = 0")
 def q_shared_strings(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").selectExpr("1 AS book", "l_orderkey", "l_linenumber", "l_partkey AS string_index")
+    t = table(spark, d, "lineitem").selectExpr("1 AS book", "l_orderkey", "l_linenumber", "l_partkey AS string_index")
     strings = table(spark, d, "part").where("p_size > 10").selectExpr("1 AS book", "p_partkey AS string_index", "p_name AS string")
     return G.shared_strings(t, strings, ["book"]).drop("book")
 

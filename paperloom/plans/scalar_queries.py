@@ -42,7 +42,7 @@ SELECT input, CASE WHEN web THEN 'html' ELSE {FORMAT_CASE.format(e="e")} END AS
        (CASE WHEN web THEN '' ELSE regexp_extract(input, '^(.*[/\\\\])', 1) END) || name || '.md' AS beside, 'out/' || name || '.md' AS in_folder
 FROM y""")
 def q_resolve_input(spark: SparkSession, d: str) -> DataFrame:
-    paths = orders(spark, d).where("o_orderkey % 50 = 0").selectExpr(f"{PATH} AS input")
+    paths = orders(spark, d).selectExpr(f"{PATH} AS input")
     t = table(spark, d, "pages").selectExpr("url AS input").unionByName(paths)
     x = F.col("input")
     return t.select("input", R.resolve_format(x).alias("format"), R.images_folder(x).alias("images_folder"), R.markdown_path(x).alias("beside"), R.markdown_path(x, F.lit("out/")).alias("in_folder"))

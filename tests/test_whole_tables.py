@@ -13,6 +13,7 @@ CUTS = {
     **{f"q_{n}": [" WHERE l_orderkey % 3 = 0"] for n in "sheet_dense sheet_bounds merge_arrows hidden_projection hidden_counts gfm_table table_verify sheet_html parse_tables".split()},
     "q_sheet_trim": [" WHERE l_orderkey % 3 = 0", " AND row < 30", " AND row < 25 AND col < 6"],
     "q_shared_strings": [" WHERE l_orderkey % 10 = 0"],
+    "q_resolve_input": [" WHERE o_orderkey % 50 = 0"],
 }
 
 

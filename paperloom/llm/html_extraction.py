@@ -1,7 +1,8 @@
 """HTML extraction by tree scoring.
 
 A page is parsed into a tree of elements; subtrees that can't be an article's text (scripts, menus, forms, blocks whose
-tag, role, class or id says so) are left out. Each paragraph earns points for its length and commas and passes them to its
+tag, role, class or id says so) are left out; a block that only part of a longer class or id names stays where it holds
+half of the page's paragraph points, and classes don't count where they leave less than a tenth. Each paragraph earns points for its length and commas and passes them to its
 ancestors, halved and then thinned with distance; an element's score is discounted by the share of its text inside links.
 The best container is kept, or the article element around it, with those siblings that score or read like text.
 
@@ -35,6 +36,8 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 UNLIKELY = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager skip toolbar".split())
 WHOLE_NAMES = {"article", "main"}
+#: A block named by part of a longer name stays if it holds this share of the page's paragraph points; a page of which the class rule leaves less than LITTLE is read without it.
+SHARE, LITTLE = 0.5, 0.1
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -42,10 +45,10 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "score", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "score", "length", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop, self.children, self.score = tag, parent, drop, [], 0.0
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: str = ""):
+        self.tag, self.parent, self.drop, self.named, self.children, self.score = tag, parent, drop, named, [], 0.0
         self.length = self.linked = 0
 
 
@@ -60,13 +63,25 @@ def unwanted(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        # an article may be a comment or an advert itself, but not because a part of a longer name says so
-        words = value.split() if tag in WHOLE_NAMES else WORDS.findall(value)
-        if name in ("class", "id") and any(w.lower() in UNLIKELY for w in words):
-            return True
     return False
 
 
+def named(tag: str, attributes: str) -> str:
+    """Whether class or id says that a block isn't the article: "whole" if a name does, "part" if a word in a longer one."""
+    found = ""
+    if not attributes or tag in ("html", "body"):
+        return found
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            value = m[2] or m[3] or m[4] or ""
+            if any(w.lower() in UNLIKELY for w in value.split()):
+                return "whole"
+            # an article may be a comment or an advert itself, but not because a part of a longer name says so
+            if tag not in WHOLE_NAMES and any(w.lower() in UNLIKELY for w in WORDS.findall(value)):
+                found = "part"
+    return found
+
+
 def parse(html: str) -> Node:
     root = Node("html", None, False)
     at, top, n = 0, root, len(html)
@@ -94,6 +109,8 @@ def parse(html: str) -> Node:
         if m[1]:
             top = close(top, tag)
             continue
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(html, at)
             at = n if end is None else html.find(">", end.start()) + 1 or n
@@ -108,7 +125,7 @@ def parse(html: str) -> Node:
             continue
         if tag in ("html", "body") and top is root:
             continue
-        node = Node(tag, top, top.drop or unwanted(tag, m[3]))
+        node = Node(tag, top, top.drop or unwanted(tag, m[3]), named(tag, m[3]))
         top.children.append(node)
         top = node
     return root
@@ -205,6 +222,41 @@ def link_density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
+def paragraph_points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def drop_named(root: Node) -> None:
+    """Leave out the blocks that class or id names, by what they hold of the page's paragraph points."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if not x.drop:
+            order.append(x)
+            stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    if not any(x.named for x in order):
+        return
+    held: dict[int, float] = {}
+    for x in reversed(order):
+        text = own_text(x) if x.tag in PARAGRAPH else ""
+        held[id(x)] = held.get(id(x), 0.0) + (paragraph_points(text) if text else 0.0)
+        if x.parent is not None:
+            held[id(x.parent)] = held.get(id(x.parent), 0.0) + held[id(x)]
+    total, gone, stack, dropped = held[id(root)], 0.0, [root], []
+    while stack:
+        x = stack.pop()
+        if x.drop:
+            continue
+        if x.named == "whole" or x.named == "part" and held[id(x)] < SHARE * total:
+            dropped.append(x)
+            gone += held[id(x)]
+        else:
+            stack.extend(c for c in x.children if isinstance(c, Node))
+    if total - gone >= LITTLE * total:
+        for x in dropped:
+            x.drop = True
+
+
 def best_nodes(root: Node) -> list[Node]:
     order = measure(root)
     scored: dict[int, Node] = {}
@@ -214,7 +266,7 @@ def best_nodes(root: Node) -> list[Node]:
         text = own_text(x)
         if not text:
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = paragraph_points(text)
         points *= 1 - min(link_density(x), 1) if x.tag in ("p", "li", "td") else 1
         node, level = x.parent if x.tag not in ("div", "section", "article", "main", "body") else x, 0
         while node is not None:
@@ -244,7 +296,9 @@ def best_nodes(root: Node) -> list[Node]:
 
 def extract(html: str | None) -> str:
     """The main text of a page."""
-    return " ".join(b for node in best_nodes(parse(html or "")) for b in blocks(node))
+    root = parse(html or "")
+    drop_named(root)
+    return " ".join(b for node in best_nodes(root) for b in blocks(node))
 
 
 def main_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

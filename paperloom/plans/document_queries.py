@@ -165,7 +165,7 @@ def q_glyph_census(spark: SparkSession, d: str) -> DataFrame:
     return M.glyph_counts(table(spark, d, "part").selectExpr("repeat('●□', cast(p_size as int)) || repeat('✓', cast(p_partkey % 3 as int)) AS t"), "t")
 
 
-PAIRED = "(SELECT d.doc_id, coalesce(d.text, '') AS a, b.text AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.doc_id % 40 = b.item_id)"
+PAIRED = "(SELECT d.doc_id, coalesce(d.text, '') AS a, b.text AS b FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) b ON d.doc_id % n = k)"
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:

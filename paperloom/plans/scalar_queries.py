@@ -35,7 +35,7 @@ def q_format_detect(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH t AS (SELECT url AS input FROM pages UNION ALL SELECT {PATH} FROM orders WHERE o_orderkey % 50 = 0),
+WITH t AS (SELECT url AS input FROM pages UNION ALL SELECT {PATH} FROM orders),
 x AS (SELECT input, input AS url, regexp_matches(input, '(?i)^https?://') AS web, regexp_extract(input, '([^/\\\\]*)$', 1) AS base, {EXT.format(p="input")} AS e FROM t),
 y AS (SELECT *, CASE WHEN web THEN {SLUG} ELSE regexp_replace(base, '\\.[^.]*$', '') END AS name FROM x)
 SELECT input, CASE WHEN web THEN 'html' ELSE {FORMAT_CASE.format(e="e")} END AS format, name || '_images' AS images_folder,
@@ -189,7 +189,7 @@ def q_paragraph_styles(spark: SparkSession, d: str) -> DataFrame:
     return t.select("p_partkey", T.style_level(F.col("style")).alias("level"), T.is_list_style(F.col("style")).alias("is_list"), T.is_struck(F.col("present"), F.col("shape")).alias("struck"), T.is_struck(F.col("present"), F.lit(None).cast("string")).alias("bare"))
 
 
-@query("SELECT doc_id, nfc_normalize(coalesce(text, '') || chr(101) || chr(769)) AS text FROM documents WHERE length(text) < 400")
+@query("SELECT doc_id, nfc_normalize(coalesce(text, '') || chr(101) || chr(769)) AS text FROM documents")
 def q_nfc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.nfc(F.concat(F.coalesce("text", F.lit("")), F.lit("é"))).alias("text"))
 
@@ -245,12 +245,21 @@ def q_serial_dates(spark: SparkSession, d: str) -> DataFrame:
     return t.select("o_orderkey", *[C.serial_to_text(F.col("serial"), F.col("old"), F.lit(k)).alias(n) for k, n in ((True, "at"), (False, "day"))])
 
 
-@query(f"""WITH {CODES_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN kind = 'percent' AND decimals = 2 THEN format('{{:.2f}}', round(l_discount * 100)) || '%' WHEN kind = 'percent' THEN CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) || '%' ELSE 'n/a' END AS shown
-FROM f WHERE kind IN ('percent', 'general')""")
+@query(f"""WITH {CODES_SQL},
+v AS (SELECT *, coalesce(decimals, 0) AS places, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(20000 + l_orderkey % 30000 AS INT) AS serial, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END AS sign FROM f)
+SELECT l_orderkey, l_linenumber, kind, CASE kind
+  WHEN 'percent' THEN CASE WHEN places = 2 THEN format('{{:.2f}}', round(l_discount * 100)) ELSE CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR) END || '%'
+  WHEN 'number' THEN sign || prefix || CASE WHEN thousands THEN ltrim(format('{{:,}}', cents // 100)) ELSE CAST(cents // 100 AS VARCHAR) END || CASE places WHEN 0 THEN '' WHEN 2 THEN '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') ELSE '.' || repeat('0', places) END || suffix
+  WHEN 'date' THEN strftime(DATE '1899-12-30' + serial, '%Y-%m-%d') WHEN 'datetime' THEN strftime(DATE '1899-12-30' + serial, '%Y-%m-%d') || ' 12:00:00'
+  ELSE 'n/a' END AS shown FROM v""")
 def q_format_cell(spark: SparkSession, d: str) -> DataFrame:
-    t = coded(spark, d).withColumn("kind", C.classify(F.col("code"))).where("kind IN ('percent', 'general')")
-    raw = F.when(F.col("kind") == "general", "n/a").otherwise(F.col("l_discount").cast("string"))
-    return t.select("l_orderkey", "l_linenumber", C.format_cell(raw, F.col("code"), F.lit(False)).alias("shown"))
+    """The dispatcher over all kinds: raw text of a percentage, a number (cents where two places show), a serial or none of them."""
+    t = coded(spark, d).withColumn("kind", C.classify(F.col("code"))).withColumn("places", F.coalesce(C.decimal_places(F.col("code")), F.lit(0)))
+    t = t.withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long")).withColumn("serial", (20000 + F.col("l_orderkey") % 30000).cast("string"))
+    number = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise(""), F.expr("cast(cents div 100 as string)"), F.when(F.col("places") == 2, F.concat(F.lit("."), F.lpad(F.expr("cast(cents % 100 as string)"), 2, "0"))).otherwise(""))
+    raw = F.when(F.col("kind") == "percent", F.col("l_discount").cast("string")).when(F.col("kind") == "number", number)
+    raw = raw.when(F.col("kind") == "date", F.col("serial")).when(F.col("kind") == "datetime", F.concat("serial", F.lit(".5"))).otherwise("n/a")
+    return t.select("l_orderkey", "l_linenumber", "kind", C.format_cell(raw, F.col("code"), F.lit(False)).alias("shown"))
 
 
 @query("""

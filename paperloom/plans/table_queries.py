@@ -13,13 +13,13 @@ from ..operators import store as S
 from ..sources import html_pages as P
 from .registry import query, table
 
-#: Sheets of cells composed from line items: the row and column come from keys, one cell a position.
+#: Sheets of cells composed from line items, a sheet for each supplier: the row and column come from keys, one cell a position.
 CELLS_SQL = """
-raw AS (SELECT CAST(l_suppkey % 20 AS INT) AS sheet, CAST(l_orderkey % 40 AS INT) AS row, CAST(l_partkey % 9 AS INT) AS col, min(CASE WHEN l_quantity > 30 THEN l_returnflag || '|' || l_linestatus ELSE '' END) AS text FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1, 2, 3),
+raw AS (SELECT CAST(l_suppkey AS INT) AS sheet, CAST(l_orderkey % 97 AS INT) AS row, CAST(l_partkey % 13 AS INT) AS col, min(CASE WHEN l_quantity > 30 THEN l_returnflag || '|' || l_linestatus ELSE '' END) AS text FROM lineitem GROUP BY 1, 2, 3),
 size AS (SELECT sheet, max(row) AS r, max(col) AS c FROM raw GROUP BY sheet),
 dense AS (SELECT p.sheet, p.row, p.col, coalesce(raw.text, '') AS text FROM (SELECT sheet, row, unnest(range(c + 1)) AS col FROM (SELECT sheet, c, unnest(range(r + 1)) AS row FROM size)) p LEFT JOIN raw USING (sheet, row, col))
 """
-MERGES_SQL = """merges AS (SELECT s AS sheet, k * 6 AS r1, s % 4 AS c1, k * 6 + s % 3 AS r2, s % 4 + k % 3 - CASE WHEN k = 5 THEN 3 ELSE 0 END AS c2 FROM (SELECT unnest(range(20)) AS s), (SELECT unnest(range(6)) AS k))"""
+MERGES_SQL = """merges AS (SELECT s AS sheet, k * 6 AS r1, s % 4 AS c1, k * 6 + s % 3 AS r2, s % 4 + k % 3 - CASE WHEN k = 5 THEN 3 ELSE 0 END AS c2 FROM (SELECT CAST(s_suppkey AS INT) AS s FROM supplier), (SELECT unnest(range(6)) AS k))"""
 FLAGGED_SQL = "flagged AS (SELECT *, row % 7 = 0 AS rh, col % 4 = 2 AS ch FROM dense)"
 MAPS_SQL = """
 rmap AS (SELECT sheet, row, row_number() OVER (PARTITION BY sheet ORDER BY row) - 1 AS nr FROM (SELECT DISTINCT sheet, row FROM flagged WHERE NOT rh)),
@@ -28,12 +28,12 @@ cmap AS (SELECT sheet, col, row_number() OVER (PARTITION BY sheet ORDER BY col)
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").selectExpr("cast(l_suppkey % 20 as int) AS sheet", "cast(l_orderkey % 40 as int) AS row", "cast(l_partkey % 9 as int) AS col", "CASE WHEN l_quantity > 30 THEN l_returnflag || '|' || l_linestatus ELSE '' END AS text")
+    t = table(spark, d, "lineitem").selectExpr("cast(l_suppkey as int) AS sheet", "cast(l_orderkey % 97 as int) AS row", "cast(l_partkey % 13 as int) AS col", "CASE WHEN l_quantity > 30 THEN l_returnflag || '|' || l_linestatus ELSE '' END AS text")
     return t.groupBy("sheet", "row", "col").agg(F.min("text").alias("text"))
 
 
-def merges(spark: SparkSession) -> DataFrame:
-    return spark.range(120).selectExpr("cast(id div 6 as int) AS s", "cast(id % 6 as int) AS k").selectExpr("s AS sheet", "k * 6 AS r1", "s % 4 AS c1", "k * 6 + s % 3 AS r2", "s % 4 + k % 3 - CASE WHEN k = 5 THEN 3 ELSE 0 END AS c2")
+def merges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").selectExpr("cast(s_suppkey as int) AS s", "explode(sequence(0, 5)) AS k").selectExpr("s AS sheet", "k * 6 AS r1", "s % 4 AS c1", "k * 6 + s % 3 AS r2", "s % 4 + k % 3 - CASE WHEN k = 5 THEN 3 ELSE 0 END AS c2")
 
 
 def flagged(spark: SparkSession, d: str) -> DataFrame:
@@ -45,24 +45,24 @@ def q_sheet_dense(spark: SparkSession, d: str) -> DataFrame:
     return G.dense(cells(spark, d), ["sheet"])
 
 
-@query(f"WITH {CELLS_SQL}, b AS (SELECT sheet, max(row) AS r, max(col) AS c FROM raw WHERE text <> '' AND row < 30 GROUP BY sheet) SELECT sheet, row, col, text FROM (SELECT dense.*, r, c FROM dense JOIN b USING (sheet)) WHERE row <= r AND col <= c AND row < 30 AND row < 25 AND col < 6")
+@query(f"WITH {CELLS_SQL}, b AS (SELECT sheet, max(row) AS r, max(col) AS c FROM raw WHERE text <> '' GROUP BY sheet) SELECT sheet, row, col, text FROM (SELECT dense.*, r, c FROM dense JOIN b USING (sheet)) WHERE row <= r AND col <= c AND row < 5000 AND col < 200")
 def q_sheet_trim(spark: SparkSession, d: str) -> DataFrame:
     return G.capped(G.trimmed(G.dense(cells(spark, d), ["sheet"]), ["sheet"]))
 
 
 @query(f"WITH {CELLS_SQL}, {MERGES_SQL}, x AS (SELECT sheet, row AS r, col AS c FROM raw WHERE text <> '' UNION ALL SELECT sheet, r2, c2 FROM merges) SELECT sheet, max(r) AS last_row, max(c) AS last_col FROM x GROUP BY sheet")
 def q_sheet_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return G.content_bounds(cells(spark, d), ["sheet"], merges(spark))
+    return G.content_bounds(cells(spark, d), ["sheet"], merges(spark, d))
 
 
 @query(f"WITH {CELLS_SQL}, {MERGES_SQL} SELECT d.sheet, d.row, d.col, CASE WHEN m.r1 IS NULL THEN d.text WHEN d.row > m.r1 THEN '↑' WHEN d.col > m.c1 THEN '←' ELSE d.text END AS text FROM dense d LEFT JOIN merges m ON m.sheet = d.sheet AND m.r2 >= m.r1 AND m.c2 >= m.c1 AND d.row BETWEEN m.r1 AND m.r2 AND d.col BETWEEN m.c1 AND m.c2")
 def q_merge_arrows(spark: SparkSession, d: str) -> DataFrame:
-    return G.merge_arrows(G.dense(cells(spark, d), ["sheet"]), merges(spark), ["sheet"])
+    return G.merge_arrows(G.dense(cells(spark, d), ["sheet"]), merges(spark, d), ["sheet"])
 
 
 @query(f"WITH {MERGES_SQL} SELECT sheet, row, unnest(range(c1, c2 + 1)) AS col, r1, c1, c2 - c1 + 1 AS col_span, r2 - r1 + 1 AS row_span FROM (SELECT *, unnest(range(r1, r2 + 1)) AS row FROM merges WHERE r2 >= r1 AND c2 >= c1)")
 def q_merge_cells(spark: SparkSession, d: str) -> DataFrame:
-    return G.merge_cells(merges(spark)).select("sheet", "row", "col", "r1", "c1", "col_span", "row_span")
+    return G.merge_cells(merges(spark, d)).select("sheet", "row", "col", "r1", "c1", "col_span", "row_span")
 
 
 @query(f"""WITH {CELLS_SQL}, {MERGES_SQL}, {FLAGGED_SQL}, {MAPS_SQL},
@@ -72,7 +72,7 @@ anchors AS (SELECT s.sheet, s.nr, s.nc, s.row_span, s.col_span, coalesce(d.text,
 SELECT f.sheet, r.nr AS row, c.nc AS col, coalesce(a.moved, f.text) AS text, coalesce(a.row_span, 1) AS row_span, coalesce(a.col_span, 1) AS col_span, a.moved IS NULL AND e.sheet IS NOT NULL AS covered
 FROM flagged f JOIN rmap r USING (sheet, row) JOIN cmap c USING (sheet, col) LEFT JOIN anchors a ON a.sheet = f.sheet AND a.nr = r.nr AND a.nc = c.nc LEFT JOIN (SELECT DISTINCT sheet, nr, nc FROM each) e ON e.sheet = f.sheet AND e.nr = r.nr AND e.nc = c.nc""")
 def q_hidden_projection(spark: SparkSession, d: str) -> DataFrame:
-    return G.project_visible(flagged(spark, d), ["sheet"], merges(spark))
+    return G.project_visible(flagged(spark, d), ["sheet"], merges(spark, d))
 
 
 @query(f"WITH {CELLS_SQL}, {FLAGGED_SQL} SELECT sheet, count(DISTINCT CASE WHEN rh THEN row END) AS hidden_rows, count(DISTINCT CASE WHEN ch THEN col END) AS hidden_cols FROM flagged GROUP BY sheet")
@@ -92,7 +92,7 @@ def q_gfm_table(spark: SparkSession, d: str) -> DataFrame:
     return G.pipe_tables(G.dense(cells(spark, d), ["sheet"]), ["sheet"])
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey AS string_index, coalesce(p_name, '') AS text FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 WHERE l_orderkey % 10 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS string_index, coalesce(p_name, '') AS text FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10")
 def q_shared_strings(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem").selectExpr("1 AS book", "l_orderkey", "l_linenumber", "l_partkey AS string_index")
     strings = table(spark, d, "part").where("p_size > 10").selectExpr("1 AS book", "p_partkey AS string_index", "p_name AS string")

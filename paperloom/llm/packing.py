@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoding import Encoder
+from .encoding import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Windows that number the pieces of one length: this many at least, and more so that one has SALT_ROWS at most.
@@ -33,23 +34,28 @@ SALTS, SALT_ROWS = 64, 1_000_000
 def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
     """Tokenised and cut: one row a piece."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, end_id).encode
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encoder.ids_bytes(text) + end
-                n = len(ids) // 4
-                first = n % size or size
-                at, length, piece = 0, min(first, n), 0
-                while at < n:
-                    out.append((doc_id, piece, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
-                    at, length, piece = at + length, size, piece + 1
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64"})
+            for some in slices(batch):
+                yield cut_pieces(some.column("doc_id"), *encode(some.column("text")), size)
 
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, PIECES)
+    return rows.mapInArrow(cut, PIECES)
+
+
+def cut_pieces(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, size: int) -> pa.RecordBatch:
+    """PIECES of documents whose ids lie one after another, each of at least one id."""
+    per = -(-counts // size)
+    first = counts - (per - 1) * size
+    doc = np.repeat(np.arange(len(counts)), per)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+    start = np.where(piece > 0, first[doc] + (piece - 1) * size, 0)
+    length = np.where(piece > 0, size, first[doc])
+    begin = (np.cumsum(counts) - counts)[doc] + start
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:

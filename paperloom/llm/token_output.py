@@ -8,7 +8,7 @@ An index of block starts gives random access; a document index has each document
     block: minimum u32, width u8, 0 u8, exceptions u16, packed bits, exception places u16, exception differences u32
 
 Defined cases: null and empty texts are documents of just the end id; rows that share a doc_id are all kept, ordered by
-text hash; a null doc_id sorts first and is stored as the smallest 64-bit integer, read back as null; an empty table
+text hash, in several files if they are many; a null doc_id sorts first and is stored as the smallest 64-bit integer, read back as null; an empty table
 gives no rows; texts of any length are streamed in bounded memory; extra columns are ignored.
 """
 
@@ -20,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .encoding import Encoder
+from .encoding import encoder, slices
 
 BLOCK, MAGIC, NO_ID = 512, b"PFB1", -(1 << 63)
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("zero", "u1"), ("exceptions", "<u2")])
@@ -109,21 +111,24 @@ def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
 class Writer:
     def __init__(self, stream, percentile: float):
         self.stream, self.percentile, self.at, self.tokens = stream, percentile, len(MAGIC), 0
-        self.waiting: list[bytes] = []
+        self.waiting: list[np.ndarray] = []
         self.size, self.starts, self.ids, self.lengths = 0, [], [], []
         stream.write(MAGIC)
 
-    def add(self, doc_id, ids: bytes) -> None:
-        self.ids.append(NO_ID if doc_id is None or pd.isna(doc_id) else int(doc_id))
-        self.lengths.append(len(ids) // 4)
-        self.tokens += len(ids) // 4
-        self.waiting.append(ids)
-        self.size += len(ids)
-        if self.size >= 4 * CHUNK:
-            self.flush(False)
+    def add(self, doc_ids: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents one after another: their ids, and how many each has."""
+        self.ids.append(doc_ids)
+        self.lengths.append(lengths)
+        self.tokens += len(ids)
+        for a in range(0, len(ids), CHUNK):
+            part = ids[a : a + CHUNK]
+            self.waiting.append(part)
+            self.size += len(part)
+            if self.size >= CHUNK:
+                self.flush(False)
 
     def flush(self, last: bool) -> None:
-        values = np.frombuffer(b"".join(self.waiting), "<u4")
+        values = np.concatenate([np.zeros(0, "<u4"), *self.waiting])
         whole = len(values) // BLOCK * BLOCK
         rest = values[whole:]
         for a in range(0, whole, CHUNK):
@@ -131,7 +136,7 @@ class Writer:
         if last and len(rest):
             self.put(np.concatenate([rest, np.full(BLOCK - len(rest), rest.min(), "<u4")]))
             rest = rest[:0]
-        self.waiting, self.size = [rest.tobytes()], 4 * len(rest)
+        self.waiting, self.size = [rest.copy()], len(rest)
 
     def put(self, values: np.ndarray) -> None:
         data, sizes = encode_blocks(values, self.percentile)
@@ -142,8 +147,10 @@ class Writer:
     def close(self) -> None:
         self.flush(True)
         starts = np.concatenate([np.zeros(0, np.int64), *self.starts]).astype("<u8")
-        self.stream.write(starts.tobytes() + np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
-        self.stream.write(np.array([len(starts), len(self.ids), self.tokens, self.at, BLOCK, 0, 0, 0], "<u8").tobytes())
+        ids, lengths = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (self.ids, self.lengths))
+        self.docs = len(ids)
+        self.stream.write(starts.tobytes() + ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes())
+        self.stream.write(np.array([len(starts), self.docs, self.tokens, self.at, BLOCK, 0, 0, 0], "<u8").tobytes())
 
 
 class Reader:
@@ -181,28 +188,30 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, percen
     tasks are in the manifest, which the driver holds (a row for each partition) to number the tokens.
     """
     spark = documents.sparkSession
-    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # rows that share a doc_id (or have none) may lie in several ranges, in order of their text's hash
+    ordered = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").drop("_hash")
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, writer, end = TaskContext.get().partitionId(), None, None, np.array([end_id], "<u4").tobytes()
+        part, encode, writer = TaskContext.get().partitionId(), encoder(tokenizer, end_id).encode, None
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.pfb"
         store, path = common.filesystem(uri)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for some in slices(batch):
                 if writer is None:
                     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    encoder, stream = Encoder(tokenizer), store.open_output_stream(path)
+                    stream = store.open_output_stream(path)
                     writer = Writer(stream, percentile)
-                writer.add(doc_id, encoder.ids_bytes(text) + end)
+                doc_ids = pc.fill_null(some.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)
+                writer.add(doc_ids, *encode(some.column("text")))
         if writer is not None:
             writer.close()
             stream.close()
-            yield pd.DataFrame({"part": [part], "file": [uri], "n_docs": [len(writer.ids)], "n_tokens": [writer.tokens]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [uri], "n_docs": [writer.docs], "n_tokens": [writer.tokens]})
 
-    made = ordered.mapInPandas(save, "part int, file string, n_docs long, n_tokens long").collect()
+    made = ordered.mapInArrow(save, "part int, file string, n_docs long, n_tokens long").collect()
     base, manifest = 0, []
     for r in sorted(made, key=lambda r: r["part"]):
         manifest.append((r["file"], base, r["n_docs"], r["n_tokens"]))

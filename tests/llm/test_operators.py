@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,8 +92,24 @@ def test_encoder_is_the_tokenizer(odd):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(words) + rng.choice(["", "", "\n", "  ", ".", ", ", " \n", "\n\n", "\t", " "]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
     texts += [r["text"] or "" for r in odd.collect()] + [rng.choice(words) for _ in range(200)]
-    for x in texts:
-        assert e.ids_bytes(x) == np.array(encode(t, x, 0)[:-1], "<u4").tobytes(), x
+    ids, counts = e.encode(pa.array(texts))
+    for x, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == encode(t, x, 0)[:-1], x
+    ended = encoding.Encoder(common.default_tokenizer(), end=7)
+    ids, counts = ended.encode(pa.array(["a b", None, "", "a  b"]).slice(1))
+    assert ids.tolist() == [7, 7, *encode(t, "a  b", 7)] and counts.tolist() == [1, 1, 4]
+
+
+def test_slices_bound_the_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", None, "x" * 50, "abc", "d", ""]})
+    parts = [x.column("text").to_pylist() for x in encoding.slices(batch, most=4)]
+    assert parts == [["ab", None], ["x" * 50], ["abc", "d", ""]]
+
+
+def test_pieces_of_every_length():
+    counts = np.array([1, 4, 5, 8, 9, 13])
+    made = packing.cut_pieces(pa.array([5, None, 7, 8, 9, 10]), np.arange(counts.sum(), dtype=np.uint32), counts, 4).to_pylist()
+    assert [(r["doc_id"], r["start"], r["length"]) for r in made if r["doc_id"] in (7, 10, None)] == [(None, 0, 4), (7, 0, 1), (7, 1, 4), (10, 0, 1), (10, 1, 4), (10, 5, 4), (10, 9, 4)]
 
 
 @pytest.mark.parametrize("n", [1, 511, 512, 513, 5000])
@@ -103,7 +120,7 @@ def test_blocks_round_trip(tmp_path, n):
     with open(tmp_path / "f", "wb") as f:
         w = token_output.Writer(f, 0.95)
         for a in range(0, len(values), 300):
-            w.add(a, values[a : a + 300].tobytes())
+            w.add(np.array([a]), values[a : a + 300], np.array([len(values[a : a + 300])]))
         w.close()
     r = token_output.Reader(str(tmp_path / "f"))
     assert r.tokens == len(values) and (r.read(0, r.tokens) == values).all()

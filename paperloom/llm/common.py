@@ -23,9 +23,11 @@ class Hot(NamedTuple):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/paperloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,9 +64,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def hot_keys(sizes: DataFrame, key: str, count: str, total: int) -> Hot:
+def hot_keys(sizes: DataFrame, key: str, count: str, total: int, least: int = 1000) -> Hot:
     """Keys holding at least 1/HOT_KEYS of all rows: never more than HOT_KEYS values, so safe on the driver."""
-    least = max(1000, total // HOT_KEYS)
+    least = max(least, total // HOT_KEYS)
     found = [r[0] for r in sizes.where(F.col(count) >= least).select(key).collect()]
     return Hot(found, max(SALTS, total // SALT_ROWS))
 
@@ -83,6 +85,16 @@ def salts_of(key: Column, hot: Hot) -> Column:
     return F.when(key.isin(hot.keys), F.sequence(F.lit(0), F.lit(hot.salts - 1))).otherwise(F.array(F.lit(0)))
 
 
+def by_size(n: Column, spread: Column, most: int) -> Column:
+    """The salt of a row whose key is known to have n rows, so that a salt has about ``most`` of them."""
+    return F.pmod(F.xxhash64(spread), F.ceil(n / most)).cast("int")
+
+
+def all_by_size(n: Column, most: int) -> Column:
+    """All salts of a key with n rows."""
+    return F.sequence(F.lit(0), (F.ceil(n / most) - 1).cast("int"))
+
+
 def join_one(many: DataFrame, one: DataFrame, key: str, hot: Hot, spread: str, how: str = "left") -> DataFrame:
     """Join rows to a table with one row a key. Hot keys are salted on the many side and replicated on the other."""
     left = many.withColumn("_pl_salt", salt_for(F.col(key), hot, F.col(spread)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space other than space and newline, and the marks below.
-OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿\x00\x01]"
+OTHER_SPACE = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff\x00\x01]"
 #: Texts that are encoded whole.
 UNCUT = f"  |\n\n| \n|\n |{OTHER_SPACE}"
 #: Marks of a text's begin and end among the stretches; a stretch behind a newline begins with it.
@@ -72,7 +72,7 @@ class Encoder:
         if body.isalpha():
             if body.isascii():
                 return array("I", [t.id for t in self.tokenize(BYTE_LETTERS[32] + body if spaced else body)]).tobytes()
-            if max(body) < "ɐ":
+            if max(body) < "\u0250":
                 return array("I", [t.id for t in self.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
         return self.whole(text)
 

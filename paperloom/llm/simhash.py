@@ -3,10 +3,13 @@
 A fingerprint's 64 bits form 32 segments of two bits. The embedding is each segment's bit count, kept in unary (00, 01,
 11), so that the Manhattan distance of two embeddings is the number of bits in which they differ. It never exceeds the
 Hamming distance of the fingerprints, hence filters without loss. The grid: the segments form six groups; within Manhattan
-distance 4 at least two groups agree whole, so the 15 cells named by two groups' counts hold every pair between them.
+distance 4 at least two groups agree whole, so the 15 cells named by two groups' counts hold every pair between them. Two
+fingerprints within 4 bits also agree in two groups' own bits, which have the same counts: cells are divided by these bits,
+so that far fewer rows meet. More fingerprints take seven or eight groups, of which three or four agree (35 or 70 cells).
 Inside a cell rows are compared by Manhattan distance, then exactly, and give a spanning forest rather than all pairs.
 
-Only distinct fingerprints are compared. Cells above ``block`` rows are compared in pairs of blocks, exactly as well.
+Only distinct fingerprints are compared. A worker never holds more than ``block`` rows of a cell; larger cells are compared
+in pairs of blocks, exactly as well.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which links like any other; equal texts and
 repeated rows share a component; texts of any length are hashed whole; a null doc_id gets a component but names none
@@ -27,9 +30,9 @@ from . import common, shingles
 from .components import connected
 
 LOW_BITS = 0x5555555555555555
-#: Segments of two bits in each of the six groups of the grid.
-GROUPS = (6, 6, 5, 5, 5, 5)
 LIMIT = 4
+#: Distinct fingerprints up to which six or seven groups do.
+SIX_GROUPS, SEVEN_GROUPS = 50_000_000, 2_000_000_000
 
 
 def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
@@ -69,13 +72,12 @@ def unary(fp: Column) -> Column:
     return high.bitwiseOR(low).bitwiseOR(F.shiftleft(high.bitwiseAND(low), 1))
 
 
-def masks() -> list[int]:
-    """Bits of two groups each, as signed longs."""
-    groups, at = [], 0
-    for n in GROUPS:
-        groups.append(((1 << 2 * n) - 1) << at)
-        at += 2 * n
-    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(groups, 2))]
+def masks(groups: int = 6) -> list[int]:
+    """Bits of all but LIMIT of the groups, each way of choosing them, as signed longs."""
+    sizes = [32 // groups + (k < 32 % groups) for k in range(groups)]  # in segments of two bits
+    starts = np.cumsum([0, *sizes])
+    bits = [((1 << 2 * n) - 1) << 2 * int(at) for n, at in zip(sizes, starts, strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(bits, groups - LIMIT))]
 
 
 def link(run: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
@@ -109,37 +111,47 @@ def link(run: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
 
 
 def star_edges(cells: DataFrame, keys: list[str], limit: int, block: int) -> DataFrame:
-    """(a, b) edges of a spanning forest of each cell's links; a row with null b names a cell above ``block`` rows."""
+    """(a, b) edges of a spanning forest of each cell's links; a row with null b has the ``own`` bits of a cell above ``block`` rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[pd.DataFrame] = []
+        # the rows of the last cell so far wait for its end; of one that is too large, a row stands for it
+        held, large = None, False
         for batch in batches:
-            if len(batch):
-                waiting.append(batch)
-                if sum(map(len, waiting)) >= 500_000:
-                    whole = pd.concat(waiting, ignore_index=True)
-                    same = np.ones(len(whole), bool)
-                    for k in keys:
-                        same &= whole[k].to_numpy() == whole[k].iloc[-1]
-                    cut = len(whole) - int(same[::-1].argmin() if not same.all() else len(whole))
-                    if cut:
-                        yield from compare(whole.iloc[:cut])
-                    waiting = [whole.iloc[cut:]]
-        if waiting:
-            yield from compare(pd.concat(waiting, ignore_index=True))
-
-    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            changes = np.flatnonzero(first_of_run(rows))
+            if large:
+                second = int(changes[1]) if len(changes) > 1 else len(rows)
+                rows, changes = (rows.iloc[second:], changes[1:] - second) if second < len(rows) else (rows.iloc[:1], changes[:1])
+                large = second >= len(held) + len(batch)
+            cut = int(changes[-1])
+            if cut:
+                yield from compare(rows.iloc[:cut])
+            held = rows.iloc[cut:]
+            if not large and len(held) > block:
+                yield pd.DataFrame({"a": [held["own"].iloc[0]], "b": pd.array([None], "Int64"), "proj": [held["proj"].iloc[0]]})
+                large = True
+            if large:
+                held = held.iloc[:1]
+        if held is not None and not large:
+            yield from compare(held)
+
+    def first_of_run(rows: pd.DataFrame) -> np.ndarray:
         change = np.zeros(len(rows), bool)
         change[0] = True
         for k in keys:
             x = rows[k].to_numpy()
             change[1:] |= x[1:] != x[:-1]
-        starts = np.flatnonzero(change)
+        return change
+
+    def compare(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        starts = np.flatnonzero(first_of_run(rows))
         sizes = np.diff(np.append(starts, len(rows)))
         group = np.repeat(np.arange(len(starts)), sizes)
-        fp, proj, cell = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["proj"].to_numpy(), rows["cell"].to_numpy()
-        for k in np.flatnonzero(sizes > block):
-            yield pd.DataFrame({"a": [cell[starts[k]]], "b": pd.array([None], "Int64"), "proj": [proj[starts[k]]]})
+        fp, proj, own = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["proj"].to_numpy(), rows["own"].to_numpy()
+        for k in np.flatnonzero(sizes > block):  # cells that began and ended in one batch
+            yield pd.DataFrame({"a": [own[starts[k]]], "b": pd.array([None], "Int64"), "proj": [proj[starts[k]]]})
         small = np.repeat((sizes > 1) & (sizes <= 64), sizes)
         parts = [np.flatnonzero(small)] + [np.arange(starts[k], starts[k] + sizes[k]) for k in np.flatnonzero((sizes > 64) & (sizes <= block))]
         for part in parts:
@@ -154,24 +166,29 @@ def star_edges(cells: DataFrame, keys: list[str], limit: int, block: int) -> Dat
     return dealt.mapInPandas(run, "a long, b long, proj int")
 
 
-def edges(classes: DataFrame, limit: int = LIMIT, block: int = 1 << 15) -> DataFrame:
+def edges(classes: DataFrame, limit: int = LIMIT, block: int = 1 << 15, groups: int | None = None) -> DataFrame:
     """Edges between distinct fingerprints (column fp) whose components are those of all pairs within ``limit`` bits."""
     if limit > LIMIT:
         raise ValueError(f"the grid is complete up to {LIMIT} bits")
-    u = unary(F.col("fp"))
-    cells = classes.select("fp", F.posexplode(F.array(*[u.bitwiseAND(F.lit(m)) for m in masks()])).alias("proj", "cell"))
-    found = common.written(star_edges(cells, ["proj", "cell"], limit, block), "links")
-    large = found.where("b IS NULL").select("proj", F.col("a").alias("cell")).distinct()
+    if groups is None:
+        n = classes.count()
+        groups = 6 if n <= SIX_GROUPS else 7 if n <= SEVEN_GROUPS else 8
+    u, keys = unary(F.col("fp")), ["proj", "cell", "own"]
+    # a cell of the grid by its groups' counts, and in it those with the same bits in these groups
+    named = [F.struct(u.bitwiseAND(F.lit(m)).alias("cell"), F.col("fp").bitwiseAND(F.lit(m)).alias("own")) for m in masks(groups)]
+    cells = classes.select("fp", F.posexplode(F.array(*named)).alias("proj", "_at")).select("fp", "proj", "_at.*")
+    found = common.written(star_edges(cells, keys, limit, block), "links")
+    large = found.where("b IS NULL").select("proj", F.col("a").alias("own")).distinct()
     pairs = found.where("b IS NOT NULL").select("a", "b")
     if large.isEmpty():
         return pairs
-    inside = common.written(cells.join(large, ["proj", "cell"]), "large-cells")
-    sizes = inside.groupBy("proj", "cell").agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
+    inside = common.written(cells.join(large, ["proj", "own"]), "large-cells")
+    sizes = inside.groupBy("proj", "own").agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = inside.join(sizes, ["proj", "cell"]).withColumn("mine", mine)
+    dealt = inside.join(sizes, ["proj", "own"]).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("fp", "proj", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    more = common.written(star_edges(dealt, ["proj", "cell", "i", "j"], limit, 1 << 62), "large-links")
+    dealt = dealt.select("fp", "proj", "own", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    more = common.written(star_edges(dealt, ["proj", "own", "i", "j"], limit, 1 << 62), "large-links")
     return pairs.unionByName(more.select("a", "b"))
 
 
@@ -183,16 +200,24 @@ def classify(documents: DataFrame, words: int = 4, limit: int = LIMIT, block: in
     prints = fingerprints(documents, words)
     classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     links = edges(classes, limit, block)
-    if similar is not None:
-        links = links.unionByName(shingles.edges(documents, lambda raw: fingerprint(raw, words), similar))
-    roots = connected(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = common.written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    if similar is None:
+        roots = connected(links)
+    else:
+        found = shingles.Candidates(documents, lambda raw: fingerprint(raw, words), similar)
+        # most similar texts meet over their cells' representatives; what these don't join is compared whole
+        first = connected(links.unionByName(found.represented()))
+        second = connected(found.remaining(first))
+        hot = common.hot_keys(first.groupBy("b").agg(F.count("*").alias("n")), "b", "n", first.count(), 200)
+        moved = common.join_one(first, second.select(F.col("a").alias("b"), F.col("b").alias("far")), "b", hot, "a")
+        # the second's nodes are roots of the first, hence no leaves there
+        roots = moved.select("a", F.coalesce("far", "b").alias("b")).unionByName(second)
+    rooted = common.written(classes.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     total = prints.count()
     many = linked.where("members > 1")
-    found = common.join_one(rooted, many, "root", common.hot_keys(many, "root", "members", total), "fp")
+    found = common.join_one(rooted, many, "root", common.hot_keys(many, "root", "members", total, 200), "fp")
     named = found.select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return common.join_one(prints, named.drop("n"), "fp", common.hot_keys(classes, "fp", "n", total), "doc_id")
+    return common.join_one(prints, named.drop("n"), "fp", common.hot_keys(classes, "fp", "n", total, 200), "doc_id")
 
 
 def keep_one(documents: DataFrame, similar: float | None = None) -> DataFrame:

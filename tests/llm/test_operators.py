@@ -478,8 +478,8 @@ def test_simhash_query(spark, odd, nothing, sf_of):
     assert simhash.op10_simhash(spark, sf_of(documents=nothing)).count() == 0
 
 
-@pytest.mark.parametrize("block", [5, 40, 1 << 15])
-def test_simhash_links_are_complete(spark, block):
+@pytest.mark.parametrize(("block", "groups"), [(5, 6), (40, None), (1 << 15, None), (5, 7), (1 << 15, 8)])
+def test_simhash_links_are_complete(spark, block, groups):
     """Chains of fingerprints that differ in exactly 1 to 5 bits, and dense balls, in small and large cells."""
     rng = random.Random(block)
     prints = []
@@ -493,7 +493,7 @@ def test_simhash_links_are_complete(spark, block):
     prints += [ball ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(120)]
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     classes = spark.createDataFrame([(x,) for x in sorted(set(signed))], "fp long")
-    roots = {r["a"]: r["b"] for r in components.connected(simhash.edges(classes, block=block)).collect()}
+    roots = {r["a"]: r["b"] for r in components.connected(simhash.edges(classes, block=block, groups=groups)).collect()}
     expected = brute_components(prints, signed)
     assert [roots.get(x, x) for x in signed] == expected
 
@@ -502,14 +502,26 @@ def test_manhattan_bounds_hamming(spark):
     rng = random.Random(1)
     pairs = [(x, x ^ sum(1 << b for b in rng.sample(range(64), 4))) for x in (rng.getrandbits(64) for _ in range(300))]
     count = lambda v: [(v >> 2 * k & 3).bit_count() for k in range(32)]
-    groups, at = [], 0
-    for n in simhash.GROUPS:
-        groups.append(slice(at, at + n))
-        at += n
     for a, b in pairs:
         p, q = count(a), count(b)
         assert sum(abs(x - y) for x, y in zip(p, q, strict=True)) <= 4
-        assert sum(p[g] == q[g] for g in groups) >= 2
+        for groups in (6, 7, 8):
+            masks = [m & ((1 << 64) - 1) for m in simhash.masks(groups)]
+            assert len(masks) == math.comb(groups, groups - 4) and any(a & m == b & m for m in masks)
+
+
+def test_large_cells_are_not_held(spark):
+    """A cell that comes in many batches: its rows go at once, a mark stays; the cells around it are compared."""
+    rows = [(0, 1, 1, k) for k in range(5)] + [(0, 2, 2, 100 + k) for k in range(4000)] + [(1, 3, 3, 0), (1, 3, 3, 1)]
+    cells = spark.createDataFrame(rows, "proj int, cell long, own long, fp long")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = simhash.star_edges(cells, ["proj", "cell", "own"], 4, 50).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert [(r["a"], r["proj"]) for r in made if r["b"] is None] == [(2, 0)]
+    assert {r["a"] for r in made if r["b"] is not None} == {1, 2, 3, 4}
 
 
 def test_simhash_rows_that_stay(spark, odd, nothing):

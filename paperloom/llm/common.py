@@ -64,6 +64,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` where the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, zero: Column, step, out: Column, chunk: int = 256) -> Column:
+    """Results of a fold, one array after another: ``step(state, item)`` gives (new state, array to add).
+
+    The array grows by chunks, so that a long one isn't copied for each item. ``out`` is an empty array of the result's type.
+    """
+
+    def inner(acc: Column, item: Column) -> Column:
+        state, new = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["out"], new).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["state"].alias("state"), out.alias("out")), inner)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["parts"], F.array(d["out"])).alias("parts")))
+
+    def whole(all_items: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(chunk))
+        start = F.struct(zero.alias("state"), F.filter(F.array(out), lambda _: F.lit(False)).alias("parts"))
+        return F.aggregate(F.transform(starts, lambda at: F.slice(all_items, at, chunk)), start, outer, lambda acc: F.flatten(acc["parts"]))
+
+    return let(items, whole)
+
+
 def hot_keys(sizes: DataFrame, key: str, count: str, total: int, least: int = 1000) -> Hot:
     """Keys holding at least 1/HOT_KEYS of all rows: never more than HOT_KEYS values, so safe on the driver."""
     least = max(least, total // HOT_KEYS)

@@ -3,9 +3,10 @@
 Strong patterns (assign, access, hex) are always reported. Weak ones (id, secret, endpoint) are parts of a credential that
 mean little alone: each is reported only if its complement lies in the same scope, within ``reach`` code points. A scope
 ends at a blank line. An id needs a secret, a secret needs an id, an endpoint needs both; strong access spans count as
-ids, strong assign and hex spans as secrets. An id or secret that overlaps a strong span is left to it; an endpoint is
-reported with the credential inside it. The interval join looks at the nearest part of each role before and after a
-candidate by windows over a document's parts, so it emits no pairs.
+ids, strong assign and hex spans as secrets. An id and a secret have to be disjoint: a token isn't its own complement. An id
+or secret that overlaps a strong span is left to it; an endpoint is reported with the credential inside it. The interval
+join goes over the sorted begins and ends of a scope's parts: running maxima and counts over windows give each candidate
+the nearest complement before and behind it and what overlaps it, so no pairs are emitted and no window is walked twice.
 
 Places are counted in code points without a function for them: the pieces between matches (``split``) and the matches
 themselves (``regexp_extract_all``) alternate, so lengths add up to starts.
@@ -29,7 +30,7 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
     "id": r"""(?i)\b(?:client|account|access_?key|tenant|user|login|key)[_-]?(?:id|name)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}|\bASIA[A-Z0-9]{16}\b""",
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}",
     "endpoint": r"""(?i)\b(?:https?|jdbc:[a-z0-9]+|postgres|postgresql|mysql|redis|mongodb|amqp|s3)://[^\s"'<>]{4,}""",
     "break": r"\n[\x20\t\r]*\n",
 }
@@ -45,15 +46,15 @@ def spans(text: Column, kind: str) -> Column:
         F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), matches.alias("hit")),
         lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), keeps(kind, x["hit"]).alias("keep")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
         end = begin + F.coalesce(x["hit"], F.lit(0))
         new = F.array(F.struct(begin.alias("start"), number.alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["keep"], F.concat(acc["found"], new)).otherwise(acc["found"]).alias("found"))
+        return end, F.when(x["keep"], new).otherwise(none)
 
-    return F.when(text.rlike(PATTERNS[kind]), F.aggregate(lengths, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    return F.when(text.rlike(PATTERNS[kind]), common.running(lengths, F.lit(0), step, none)).otherwise(none)
 
 
 def keeps(kind: str, hit: Column) -> Column:
@@ -77,20 +78,33 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
     some = found.where("size(weak) > 0").dropDuplicates(["doc_id", "key"])
     each = some.select("doc_id", "key", F.explode(F.concat("base", "weak", "breaks")).alias("x")).select("doc_id", "key", "x.*")
     role = lambda *kinds: F.col("kind").isin([KINDS.index(k) for k in kinds])
-    doc = Window.partitionBy("doc_id", "key").orderBy("start", "kind")
-    scoped = each.withColumn("scope", F.count(F.when(role("break"), 1)).over(doc)).where(~role("break"))
-    scope = Window.partitionBy("doc_id", "key", "scope").orderBy("start", "kind")
-    before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
-
-    def nearest(cond: Column) -> tuple[Column, Column]:
-        return F.max(F.when(cond, F.col("end"))).over(before), F.min(F.when(cond, F.col("start"))).over(after)
-
-    ids, secrets, strong = nearest(role("id", "access")), nearest(role("secret", "assign", "hex")), nearest(role(*STRONG))
-    both = scoped.select("*", *[c.alias(f"{n}_{side}") for n, pair in (("id", ids), ("secret", secrets), ("strong", strong)) for side, c in zip(("end", "start"), pair, strict=True)])
-    near = lambda n: F.coalesce(F.col("start") - F.col(f"{n}_end") <= reach, F.lit(False)) | F.coalesce(F.col(f"{n}_start") - F.col("end") <= reach, F.lit(False))
-    covered = F.coalesce(F.col("strong_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("strong_start") < F.col("end"), F.lit(False))
-    complete = F.when(role("id"), near("secret")).when(role("secret"), near("id")).when(role("endpoint"), near("id") & near("secret")).otherwise(F.lit(False))
-    kept = both.where(complete & (role("endpoint") | ~covered))
+    doc = Window.partitionBy("doc_id", "key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    scoped = each.withColumn("scope", F.count_if(role("break")).over(doc)).where(~role("break"))
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("at"), F.lit(False).alias("opens")))
+    events = scoped.withColumn("_e", F.explode(ends)).select("*", "_e.*").drop("_e")
+    scope = Window.partitionBy("doc_id", "key", "scope")
+    so_far = scope.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    before = scope.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    from_here = scope.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    opens, closes = F.col("opens"), ~F.col("opens")
+    columns, chosen = [], []
+    for name, kinds in (("id", ("id", "access")), ("secret", ("secret", "assign", "hex")), ("strong", STRONG)):
+        mine = role(*kinds)
+        columns += [
+            F.max(F.when(mine & closes, F.col("at"))).over(so_far).alias(f"{name}_last"),  # the nearest end before, read where a candidate opens
+            F.count_if(mine & closes).over(so_far).alias(f"{name}_closed"),
+            F.min(F.when(mine & opens, F.col("at"))).over(from_here).alias(f"{name}_next"),  # the nearest begin behind, read where it closes
+            F.count_if(mine & opens).over(before).alias(f"{name}_opened"),
+        ]
+        at_open, at_close = ((lambda c, side: F.max(F.when(side, F.col(c))))(c, side) for c, side in ((f"{name}_last", opens), (f"{name}_next", closes)))
+        overlaps = F.max(F.when(closes, F.col(f"{name}_opened"))) - F.max(F.when(opens, F.col(f"{name}_closed")))
+        chosen += [at_open.alias(f"{name}_last"), at_close.alias(f"{name}_next"), overlaps.alias(f"{name}_over")]
+    spans = events.select("*", *columns).where(role(*WEAK)).groupBy("doc_id", "key", "scope", "start", "kind", "end").agg(*chosen)
+    within = lambda gap: F.coalesce(gap <= reach, F.lit(False))
+    apart = lambda n: within(F.col("start") - F.col(f"{n}_last")) | within(F.col(f"{n}_next") - F.col("end"))
+    near = lambda n: apart(n) | (F.col(f"{n}_over") > 0)
+    complete = F.when(role("id"), apart("secret")).when(role("secret"), apart("id")).otherwise(near("id") & near("secret"))
+    kept = spans.where(complete & (role("endpoint") | (F.col("strong_over") == 0)))
     return kept.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
 
 

@@ -1,10 +1,12 @@
 """Exact deduplication with a log-structured merge index.
 
-Each task fills a memtable (digest -> identifier to keep, rows) and flushes it as a sorted run when full; runs are Parquet
-with a Bloom filter on the digest, so later lookups skip row groups. Compaction merges runs by digest, keeping the smallest
-(or largest) identifier and the sum of rows. A run has each digest once, so a text that a third of the rows share arrives
-at compaction as one row a run. Rows whose digest the index holds more than once are hits; their bytes are verified: the
-least and the greatest text of a digest have to be equal. Where they aren't, the rows of that digest are grouped by text.
+Each task fills a memtable (digest -> identifier to keep, rows) and flushes it as a sorted run when full. Compaction merges
+runs by digest, keeping the smallest (or largest) identifier and the sum of rows. A run has each digest once, so a text that
+a third of the rows share arrives at compaction as one row a run. The merged run has a Bloom filter of the digests it holds
+more than once, of bounded size: rows whose digest the filter rules out are no hits, and their texts never move. The others
+are looked up, and the bytes of hits are verified: the least and the greatest text of a digest have to be equal. Where they
+aren't, the rows of that digest are grouped by text. With more repeated digests than the filter was made for, more texts
+that are no hits are looked up; results stay the same.
 
 Defined cases: null text counts as empty; empty texts are equal to each other; of rows that share text and doc_id one is
 kept; a null doc_id is kept only if its text has no other; texts of any length are hashed whole; an empty table gives no
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -69,12 +72,7 @@ class MergeIndex:
     def write(self, runs: DataFrame) -> None:
         path = f"{self.path}/run-{self.levels:06d}"
         self.levels += 1
-        (
-            runs.write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", str(self.memtable))
-            .option("compression", "zstd")
-            .parquet(path)
-        )
+        runs.write.option("compression", "zstd").parquet(path)
         self.runs.append(path)
 
     def read(self) -> DataFrame:
@@ -94,7 +92,38 @@ class MergeIndex:
         return self.read()
 
 
-def classify(documents: DataFrame, keep: str = "min", digest_bytes: int = 32) -> DataFrame:
+#: Bits of a filter at most (8 MB), words of 64 bits; and how many hashes set a bit for each digest.
+FILTER_BITS, HASHES = 1 << 26, 4
+
+
+class Filter:
+    """A Bloom filter of digests, built where they lie; the driver gets its words, FILTER_BITS / 64 at most."""
+
+    def __init__(self, digests: DataFrame, expected: int, most_bits: int = FILTER_BITS):
+        self.bits = min(most_bits, max(1 << 12, 1 << (12 * max(expected, 1)).bit_length()))
+        places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "digest"), F.lit(self.bits)) for k in range(HASHES)]))
+        words = digests.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        made = words.toArrow()
+        array = np.zeros(self.bits // 64, np.int64)
+        array[made.column("word").to_numpy()] = made.column("bits").to_numpy()
+        self.shared = digests.sparkSession.sparkContext.broadcast(array.view(np.uint64))
+
+    def maybe(self, digest: str) -> Column:
+        """False only for digests that were not put in."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def look(*places: pd.Series) -> pd.Series:
+            found = np.ones(len(places[0]), bool)
+            for at in places:
+                x = at.to_numpy(np.int64).view(np.uint64)
+                found &= (shared.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+            return pd.Series(found)
+
+        return look(*[F.pmod(F.xxhash64(F.lit(k), F.col(digest)), F.lit(self.bits)) for k in range(HASHES)])
+
+
+def classify(documents: DataFrame, keep: str = "min", digest_bytes: int = 32, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, sha (binary). ``digest_bytes`` under 32 makes collisions."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -105,7 +134,8 @@ def classify(documents: DataFrame, keep: str = "min", digest_bytes: int = 32) ->
     merged = index.compact()
     groups = merged.where("n > 1")
     hot = common.hot_keys(groups, "digest", "n", narrow.count())
-    bad = mismatches(hashed, groups, hot)
+    repeated = Filter(groups, groups.count(), filter_bits)
+    bad = mismatches(hashed.where(repeated.maybe("digest")), groups, hot)
     found = common.join_one(narrow, groups, "digest", hot, "row")
     alone = F.col("n").isNull()
     result = found.select(

@@ -45,6 +45,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a written table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store, path = filesystem(folder)
+        store.delete_dir(path)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path in it) of a URI in the shared folder, usable on executors."""
     from pyarrow import fs

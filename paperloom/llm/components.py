@@ -52,6 +52,7 @@ def connected(edges: DataFrame) -> DataFrame:
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = common.written(ordered, "edges")
     while not are_stars(now):
-        hot = hubs(now)
-        now = common.written(small_star(large_star(now, hot), hot), "edges")
+        hot, old = hubs(now), now
+        now = common.written(small_star(large_star(old, hot), hot), "edges")
+        common.discard(old)
     return now

@@ -6,6 +6,8 @@ hosts, weighted by their number), a join and an aggregation a round, written to
 mass is the share of its pages that a rule decides, so a rank of 1 is that of a host decided whole, before what links add.
 A host is blocked if its distrust is above its trust and reaches ``threshold``.
 
+Pages whose links all stay on their host give no edges; their host's verdict is then that of the seeds, its own pages' share.
+
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule and is allowed; a null page is
 one without links; hosts without links keep their seeds' mass only; repeated rows and links count as often as they occur;
 of two rules the longer wins, of equally long ones the first listed; an empty table gives no rows; extra columns are ignored.
@@ -37,31 +39,53 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for says, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the last that fits wins
+    for says, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last that fits wins
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, says).otherwise(verdict)
     return rule, verdict
 
 
+#: What holds no links of a page, and links of ``a`` elements to another host.
+NO_LINKS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#>\s]+)"""
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: links between different hosts. ``pages`` has host and html."""
-    links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/"'?#>\s]+)"""), F.lit(1))
+    """src, dst, weight: links of ``a`` elements between different hosts. ``pages`` has host and html."""
+    links = F.regexp_extract_all(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), NO_LINKS, ""), F.lit(LINK), F.lit(1))
     each = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("_dst")).select("src", lower_ascii(F.col("_dst")).alias("dst"))
     return each.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def link_shares(links: DataFrame) -> DataFrame:
+    """kind, src, dst, share: for trust a link's share of those that leave its page's host, for distrust of those that arrive."""
+    total, found = links.count(), []
+    for kind, src, dst in (("trust", "src", "dst"), ("distrust", "dst", "src")):
+        turned = links.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "weight")
+        sums = turned.groupBy("src").agg(F.sum("weight").alias("_all"), F.count("*").alias("_n"))
+        hot = common.hot_keys(sums, "src", "_n", total)
+        found.append(common.join_one(turned, sums.drop("_n"), "src", hot, "dst", "inner").select(F.lit(kind).alias("kind"), "src", "dst", (F.col("weight") / F.col("_all")).alias("share")))
+    return found[0].unionByName(found[1])
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
     """Personalised PageRank over seeds (kind, host, mass) and edges (kind, src, dst, share of src's links).
 
     Ranks are in units of the restart, so a seed that nothing points to keeps its mass. Mass that hosts without links would
-    pass on is dropped.
+    pass on is dropped. A hub's edges are dealt over salts.
     """
     ranks = seeds
     if edges.isEmpty():
         return ranks
-    for _ in range(rounds):
-        passed = ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"])).select(edges["kind"], edges["dst"].alias("host"), (F.lit(damping) * ranks["mass"] * edges["share"]).alias("mass"))
-        ranks = common.written(passed.unionByName(seeds).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "ranks")
+    node = lambda host: F.concat(F.col("kind"), F.lit(":"), F.col(host))
+    from_node = edges.select("kind", node("src").alias("node"), "dst", "share")
+    hot = common.hot_keys(from_node.groupBy("node").agg(F.count("*").alias("n")), "node", "n", edges.count())
+    for k in range(rounds):
+        passed = common.join_one(from_node, ranks.select(node("host").alias("node"), "mass"), "node", hot, "dst", "inner")
+        passed = passed.select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
+        old, ranks = ranks, common.written(passed.unionByName(seeds).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "ranks")
+        if k:
+            common.discard(old)
     return ranks
 
 
@@ -70,11 +94,7 @@ def host_verdicts(pages: DataFrame, damping: float, rounds: int, threshold: floa
     found = common.written(pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")), "hosts")
     mass = [found.where(f"{c} > 0").select(F.lit(k).alias("kind"), "host", (F.col(c) / F.col("pages")).alias("mass")) for k, c in (("trust", "allowed"), ("distrust", "blocked"))]
     links = common.written(host_edges(pages), "host-edges")
-    shares = []
-    for kind, src, dst in (("trust", "src", "dst"), ("distrust", "dst", "src")):
-        total = links.groupBy(F.col(src).alias("_from")).agg(F.sum("weight").alias("_all"))
-        shares.append(links.join(total, F.col(src) == F.col("_from")).select(F.lit(kind).alias("kind"), F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("weight") / F.col("_all")).alias("share")))
-    edges = common.written(shares[0].unionByName(shares[1]), "host-shares")
+    edges = common.written(link_shares(links), "host-shares")
     ranks = propagate(common.written(mass[0].unionByName(mass[1]), "seeds"), edges, damping, rounds)
     by_host = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
     verdict = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold), "block").otherwise("allow")

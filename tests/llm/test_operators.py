@@ -298,13 +298,25 @@ def test_mixing_counts_and_order(spark):
 
 
 def test_poisson_quantiles(spark):
-    for rate in (0.01, 1.0, 3.7, 900.0):
+    for rate in (0.01, 1.0, 3.7, 900.0, 250_000.0):
         table = spark.range(1).select(mixing.poisson_table(F.lit(rate)).alias("t")).first()["t"]
+        low, made = table["low"], table["all"]
         p, total = [], 0.0
-        for k in range(len(table)):
+        for k in range(low, low + len(made)):
             total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
             p.append(total)
-        assert np.allclose(table, p, atol=1e-9) and table[-1] > 1 - 1e-9
+        assert len(made) < 30 * math.sqrt(rate) + 70 and (low == 0) == (rate < 100)
+        assert np.allclose(made, p, atol=1e-9) and made[-1] > 1 - 1e-7
+
+
+def test_mixing_spreads_rows_without_id_and_large_rates(spark):
+    rows = [(None, "a", f"t{k}") for k in range(400)] + [(7, "a", f"u{k}") for k in range(400)] + [(9, "rare", "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    made = mixing.mix(docs, weights={"a": 1.0, "rare": 0.05}, size=3.0)
+    parts = Counter(r[0] for r in made.where("source = 'a'").select(F.spark_partition_id()).collect())
+    assert len(parts) == 4 and max(parts.values()) < 2 * min(parts.values())
+    copies = [r[0] for r in mixing.mix(docs, weights={"a": 0.0, "rare": 1.0}, size=30.0).select("_pl_copy").collect()]
+    assert sorted(copies) == list(range(len(copies))) and abs(len(copies) - 24030) < 1000
 
 
 def test_mixing_odd_tables(spark, odd, nothing, monkeypatch):
@@ -380,6 +392,23 @@ def test_dedup_hot_group_and_small_memtables(spark, monkeypatch):
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], bytes(r["sha"]).hex()) for r in exact_dedup.classify(docs, "max").collect()) == brute_groups(docs.collect(), max)
 
 
+@pytest.mark.parametrize("bits", [1 << 12, 1 << 26])
+def test_filter_never_misses(spark, bits):
+    digests = spark.range(3000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    kept = digests.where("id % 3 = 0")
+    made = exact_dedup.Filter(kept, 1000, bits)
+    found = {r["id"] for r in digests.where(made.maybe("digest")).select("id").collect()}
+    assert {k for k in range(3000) if k % 3 == 0} <= found and made.bits <= bits
+    assert bits < 1 << 20 or len(found) < 1100
+    assert exact_dedup.Filter(kept.limit(0), 0).maybe("digest") is not None and digests.where(exact_dedup.Filter(kept.limit(0), 0).maybe("digest")).count() == 0
+
+
+def test_dedup_with_a_full_filter(spark, odd):
+    docs = odd.select("doc_id", "text")
+    made = exact_dedup.classify(docs, "max", filter_bits=64).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], bytes(r["sha"]).hex()) for r in made) == brute_groups(docs.collect(), max)
+
+
 def test_dedup_rows_that_stay(spark, odd, nothing):
     made = exact_dedup.keep_first(odd, "max")
     assert made.columns == odd.columns
@@ -399,6 +428,58 @@ def test_url_rules(spark, nothing, sf_of):
     assert url_filter.op9_url_filter(spark, sf_of(pages=pages.limit(0))).count() == 0
 
 
+def test_rules_of_equal_length(spark):
+    hosts = spark.createDataFrame([("a.example.net", "/en/x")], "host string, path string")
+    rules = [("allow", "example.net", "/en/"), ("block", "a.example.net", "/en"), ("block", "ample.net", "/"), ("block", "example.net", "/en/")]
+    for given, expected in ((rules[:1] + rules[3:], "allow"), (rules[3:] + rules[:1], "block"), (rules, "block")):
+        rule, verdict = url_filter.match_rules(F.col("host"), F.col("path"), given)
+        assert hosts.select(verdict).first()[0] == expected
+
+
+def test_rules_in_sql(spark, sf):
+    import duckdb
+
+    best = "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+    sql = f"""SELECT page_id, host, path, {best} AS rule FROM (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) AS host,
+      regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM '{sf}/pages.parquet')"""
+    made = url_filter.op9_url_filter(spark, sf).select("page_id", "host", "path", "rule").toPandas()
+    rows = lambda f: Counter(map(tuple, f.astype(object).where(f.notna(), None).values.tolist()))
+    assert rows(made) == rows(duckdb.sql(sql).df())
+
+
+def test_links_of_a_elements_only(spark):
+    html = "<link href='//css.x/a'><!-- <a href='//comment.x/'> --><script>'<a href=//script.x/>'</script><a class=c href='https://One.x/p'>1</a><A\nHREF=//two.x:8>2</A><a data-href='//no.x'>3</a><abbr href='//no.x'>4</abbr><a href='/own'>5</a>"
+    pages = spark.createDataFrame([("h", html), ("h", None), ("one.x", html)], "host string, html string")
+    assert {tuple(r) for r in url_filter.host_edges(pages).collect()} == {("h", "one.x", 1), ("h", "two.x:8", 1), ("one.x", "two.x:8", 1)}
+
+
+def test_ranks_of_a_large_graph(spark):
+    """100,000 hosts, one of them linked with a third of all, against the same sums in numpy."""
+    rng = np.random.default_rng(3)
+    n, m = 100_000, 400_000
+    src, dst = rng.integers(0, n, m), rng.integers(0, n, m)
+    src[: m // 3] = 5
+    dst[m // 3 : m // 2] = 5
+    pairs = np.unique(np.stack([src, dst], 1)[src != dst], axis=0)
+    import pandas as pd
+
+    links = spark.createDataFrame(pd.DataFrame({"src": [f"h{x}" for x in pairs[:, 0]], "dst": [f"h{x}" for x in pairs[:, 1]], "weight": 1 + pairs[:, 0] % 3}))
+    seeds = spark.createDataFrame([("trust", "h5", 1.0), ("trust", "h17", 0.5), ("distrust", "h5", 1.0)], "kind string, host string, mass double")
+    made = url_filter.propagate(seeds, common.written(url_filter.link_shares(links), "shares"), 0.85, 4).toPandas()
+    weight = (1 + pairs[:, 0] % 3).astype(float)
+    for kind, a, b, start in (("trust", pairs[:, 0], pairs[:, 1], {5: 1.0, 17: 0.5}), ("distrust", pairs[:, 1], pairs[:, 0], {5: 1.0})):
+        restart = np.zeros(n)
+        for k, x in start.items():
+            restart[k] = x
+        total, rank = np.bincount(a, weight, n), restart
+        for _ in range(4):
+            rank = restart + 0.85 * np.bincount(b, rank[a] * weight / total[a], n)
+        own = made[made.kind == kind]
+        got = np.zeros(n)
+        got[own.host.str[1:].astype(int)] = own.mass
+        assert np.allclose(got, rank) and (rank > 0).sum() > 50_000
+
+
 def test_url_propagation(spark, monkeypatch):
     link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
     pages = [("bad.net", "/", ""), ("farm.com", "/", link("bad.net", "bad.net")), ("far.com", "/", link("farm.com")), ("good.org", "/fr/", link("nice.com")), ("nice.com", "/", link("other.com")), ("other.com", "/", ""), ("lone.com", "/", None), ("mixed.com", "/", link("bad.net", "nice.com", "other.com", "lone.com"))]

@@ -3,12 +3,19 @@
 A word's vector is the sum of three hashed rows (the word, its first four and its first five letters), so that
 inflected forms of a stem share weight. Filters of widths 1, 2 and 3 slide over the words, are max-pooled over the whole
 text and feed a logistic unit. A threshold for each language, chosen on a validation share of the training rows, is
-mapped to score 0.5. The language is read off the text itself (votes of function words); no other column is an input.
+mapped to score 0.5; a language with few validation rows takes the threshold of all. The language is read off the text itself
+(votes of function words); no other column is an input.
+
+Training doesn't start from noise alone: the first dimension of the embedding starts as each hashed row's shrunk log-odds of
+toxicity over the training texts, and the first filter of each width starts by reading that dimension. So the model starts
+as a lexicon; training adds what words do together. A test measures both on held-out rows: training raises the AUC (0.95 to
+0.965 on sf0.1), not the F1 at 0.5 (0.85 to 0.89 by order of the sample, the start 0.89 to 0.93), which hangs on few rows.
 
 Defined cases: null and empty texts get the score of a text without words; texts of any length are scored whole;
 repeated rows and ties get equal scores; an empty table gives an empty result; without training rows of both classes
 every score is the share of toxic training rows (0.0 if there are none); rows with null ``toxic`` or null ``doc_id``
-don't train; a doc_id labelled more than once takes its largest label; extra columns are ignored.
+don't train; a doc_id labelled more than once takes its largest label, one with several texts trains on the least of them;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -177,7 +184,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, settings: Settings)
     picked = [usable.where(F.col("_toxic") == k).orderBy("_order", "_id").limit(settings.per_class) for k in (0, 1)]
     texts = documents.select("doc_id", "text").where(F.length("text") <= settings.max_chars)
     sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("_id"))
-    rows = sample.select("_order", "_id", "text", "_toxic").collect()
+    # one text a label, however many rows share the doc_id: 2 * per_class texts reach the driver at most
+    rows = sample.groupBy("_order", "_id", "_toxic").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["_toxic"]) for r in sorted(rows, key=lambda r: (r["_order"], r["_id"], r["text"]))]
 
 
@@ -244,8 +252,11 @@ def evaluate(model: TextCnn, docs, rows) -> np.ndarray:
     return model.pooled(model.project(rows[used]), back, starts) @ model.weights["out"] + model.weights["out_bias"]
 
 
-def step(model: TextCnn, docs, y, rows, adam) -> None:
-    """One Adam step. Max pooling sends the gradient to one window a filter, so the backward pass is sparse."""
+def gradients(model: TextCnn, docs, y, rows) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Of the mean log loss: by weight, and for the embedding the hashed rows that are hit with what each gets.
+
+    Max pooling sends the gradient to one window a filter, so the backward pass is sparse.
+    """
     s, w8 = model.settings, model.weights
     ids, starts = layout(docs, max(s.widths))
     used, back = np.unique(ids, return_inverse=True)
@@ -274,9 +285,16 @@ def step(model: TextCnn, docs, y, rows, adam) -> None:
             hashed = rows[ids[np.minimum(where[k] + j, len(ids) - 1)]]  # [batch, f, 3]
             e = w8["emb"][hashed].sum(axis=2)
             grad[j] = np.einsum("bf,bfd->df", part, e)
-            touched.append(np.repeat(hashed.reshape(-1, 3), 1, axis=0))
+            touched.append(hashed.reshape(-1, 3))
             deltas.append(np.einsum("bf,df->bfd", part, conv[j]).reshape(-1, s.dim))
         grads["conv", k] = grad
+    return grads, np.concatenate(touched).reshape(-1), np.repeat(np.concatenate(deltas), 3, axis=0)
+
+
+def step(model: TextCnn, docs, y, rows, adam) -> None:
+    """One Adam step; the embedding takes a plain one."""
+    s, w8 = model.settings, model.weights
+    grads, hit, delta = gradients(model, docs, y, rows)
     adam["t"] += 1
     for key, grad in grads.items():
         target = w8[key[0]][key[1]] if isinstance(key, tuple) else w8[key]
@@ -287,9 +305,7 @@ def step(model: TextCnn, docs, y, rows, adam) -> None:
             w8[key[0]][key[1]] = new.astype(np.float32)
         else:
             w8[key] = new.astype(np.float32)
-    hit = np.concatenate(touched)
-    delta = np.repeat(np.concatenate(deltas), 3, axis=0)
-    np.add.at(w8["emb"], hit.reshape(-1), -s.rate * 5 * delta)
+    np.add.at(w8["emb"], hit, -s.rate * 5 * delta)
     w8["emb"][-1] = 0
 
 
@@ -308,16 +324,25 @@ def thresholds(logits: np.ndarray, y: np.ndarray, docs: list[np.ndarray], votes:
     return out
 
 
+#: F1 that a lower cut may lose, if the best cut loses as much to the perfect one.
+LOSS = 0.01
+
+
 def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the widest best gap: cuts of equal F1 are taken as one interval."""
+    """Middle of the gap with the best F1; of cuts that are as good but for LOSS, the lowest.
+
+    Texts that no one trained on hold more unknown words, which lower their scores. Where a cut separates the classes
+    whole, none below it is taken.
+    """
     order = np.argsort(-logits, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     s = logits[order]
-    good = np.flatnonzero((f1 >= f1.max() - 1e-9) & (np.append(s[1:], -np.inf) < s))
+    loss = min(LOSS, 1 - f1.max())
+    good = np.flatnonzero((f1 >= f1.max() - loss - 1e-9) & (np.append(s[1:], -np.inf) < s))
     if not len(good) or f1.max() == 0:
         return 0.0
-    k = good[0]
+    k = good[-1] if loss > 0 else good[0]
     below = s[k + 1] if k + 1 < len(s) else s[k] - 2
     return float((s[k] + below) / 2)
 

@@ -34,13 +34,13 @@ BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b
 #: Punctuation that no contraction begins with.
 CLOSING = ".,;:!?)]}#$%&*+=/"
 #: Bytes of text that are cut and laid out at a time.
-SLICE = 1 << 23
+SLICE = 1 << 22
 
 
 class Encoder:
     """``encode(texts)``: the ids of each text without special tokens, then ``end`` unless that is None."""
 
-    def __init__(self, path: str, end: int | None = None, most: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, end: int | None = None, most: int = 150_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

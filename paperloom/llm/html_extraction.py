@@ -3,7 +3,7 @@
 A page is parsed into a tree of elements; subtrees that can't be an article's text (scripts, menus, forms, blocks whose
 tag, role, class or id says so) are left out; a block that only part of a longer class or id names stays where it holds
 half of the page's paragraph points, and classes don't count where they leave less than a tenth. Each paragraph earns points for its length and commas and passes them to its
-ancestors, halved and then thinned with distance; an element's score is discounted by the share of its text inside links.
+ancestors, halved and then thinned with distance, up to the eighth; an element's score is discounted by the share of its text inside links.
 The best container is kept, or the article element around it, with those siblings that score or read like text.
 
 Defined cases: null, empty and markup-only pages give an empty text; unclosed and stray tags are repaired as browsers do
@@ -14,6 +14,7 @@ earlier element; pages of any length are read whole; an empty table gives no row
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,6 +39,8 @@ UNLIKELY = set("ad ads advert adverts advertisement advertisements advertising a
 WHOLE_NAMES = {"article", "main"}
 #: A block named by part of a longer name stays if it holds this share of the page's paragraph points; a page of which the class rule leaves less than LITTLE is read without it.
 SHARE, LITTLE = 0.5, 0.1
+#: Ancestors to which a paragraph passes points: what is farther off would get under a twentieth.
+LEVELS = 8
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -85,6 +88,7 @@ def named(tag: str, attributes: str) -> str:
 def parse(html: str) -> Node:
     root = Node("html", None, False)
     at, top, n = 0, root, len(html)
+    opened: Counter[str] = Counter()  # elements by tag that were begun; an end tag with none left closes nothing
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -107,7 +111,9 @@ def parse(html: str) -> Node:
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            top = close(top, tag)
+            if opened[tag] > 0:
+                opened[tag] -= 1
+                top = close(top, tag)
             continue
         if tag in ("svg", "math") and m[3].endswith("/"):
             continue
@@ -128,6 +134,7 @@ def parse(html: str) -> Node:
         node = Node(tag, top, top.drop or unwanted(tag, m[3]), named(tag, m[3]))
         top.children.append(node)
         top = node
+        opened[tag] += 1
     return root
 
 
@@ -269,7 +276,7 @@ def best_nodes(root: Node) -> list[Node]:
         points = paragraph_points(text)
         points *= 1 - min(link_density(x), 1) if x.tag in ("p", "li", "td") else 1
         node, level = x.parent if x.tag not in ("div", "section", "article", "main", "body") else x, 0
-        while node is not None:
+        while node is not None and level < LEVELS:
             node.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored[id(node)] = node
             node, level = node.parent, level + 1

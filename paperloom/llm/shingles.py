@@ -103,8 +103,10 @@ class Candidates:
 
         def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                names = np.array([label(bytes(x)) for x in batch["raw"]], np.uint64).view(np.int64)
-                yield pd.DataFrame({"th": batch["th"], "name": names, "hashes": [shingles(bytes(x)).view(np.int64) for x in batch["raw"]]})
+                for at in range(0, len(batch), 500):
+                    some = batch.iloc[at : at + 500]
+                    names = np.array([label(bytes(x)) for x in some["raw"]], np.uint64).view(np.int64)
+                    yield pd.DataFrame({"th": some["th"].to_numpy(), "name": names, "hashes": [shingles(bytes(x)).view(np.int64) for x in some["raw"]]})
 
         sketches = common.written(rows.mapInPandas(sketch, "th long, cells array<long>"), "sketches").dropDuplicates(["th"])
         cells = sketches.select("th", F.explode("cells").alias("cell"))

@@ -66,7 +66,7 @@ def word_rows(word: str, buckets: int) -> tuple[int, int, int]:
 class Vocabulary(dict):
     """word -> index of its row in arrays that grow; emptied when full, so memory is bounded."""
 
-    def __init__(self, buckets: int, most: int = 400_000):
+    def __init__(self, buckets: int, most: int = 150_000):
         self.buckets, self.most = buckets, most
         votes: dict[str, list[int]] = {}
         for k, words in enumerate(FUNCTION_WORDS.values()):

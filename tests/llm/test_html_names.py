@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 pytest.importorskip("tokenizers")
@@ -26,3 +28,13 @@ def test_small_blocks_still_go():
 @pytest.mark.parametrize("tag", ["svg", "math"])
 def test_self_closing(tag):
     assert extract(f"<body><div><p>One.</p><{tag} width='3'/><p>{TEXT}</p></div></body>") == f"One. {TEXT}"
+
+
+@pytest.mark.parametrize("page", ["<div>text, and more words here", "<div><p>a, b", "<div class=sidebar-wrap><p>some words, here", "<span>x", "</section><li>a"])
+def test_deep_pages_take_time_in_proportion(page):
+    took = []
+    for n in (5_000, 50_000):
+        start = time.perf_counter()
+        text = html_extraction.extract(page * n + "</section></div></b>" * n)
+        took.append(time.perf_counter() - start)
+    assert text.count("a, b") in (0, 50_000) and took[1] < 30 * took[0] + 2

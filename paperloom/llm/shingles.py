@@ -15,10 +15,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .encoding import slices
 
 WORDS, AT_LEAST = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -97,18 +99,21 @@ class Candidates:
         text = F.coalesce(F.col("text"), F.lit(""))
         rows = documents.select(text.cast("binary").alias("raw"), F.xxhash64(text).alias("th"))
 
-        def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pd.DataFrame({"th": batch["th"], "cells": [bands(shingles(bytes(x))) for x in batch["raw"]]})
+                for some in slices(batch, "raw"):
+                    made = [bands(shingles(x)) for x in some.column("raw").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([some.column("th"), pa.array(made, pa.list_(pa.int64()))], ["th", "cells"])
 
-        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, len(batch), 500):
-                    some = batch.iloc[at : at + 500]
-                    names = np.array([label(bytes(x)) for x in some["raw"]], np.uint64).view(np.int64)
-                    yield pd.DataFrame({"th": some["th"].to_numpy(), "name": names, "hashes": [shingles(bytes(x)).view(np.int64) for x in some["raw"]]})
+                for some in slices(batch, "raw"):
+                    raw = some.column("raw").to_pylist()
+                    names = np.array([label(x) for x in raw], np.uint64).view(np.int64)
+                    made = pa.array([shingles(x).view(np.int64) for x in raw], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([some.column("th"), pa.array(names), made], ["th", "name", "hashes"])
 
-        sketches = common.written(rows.mapInPandas(sketch, "th long, cells array<long>"), "sketches").dropDuplicates(["th"])
+        sketches = common.written(rows.mapInArrow(sketch, "th long, cells array<long>"), "sketches").dropDuplicates(["th"])
         cells = sketches.select("th", F.explode("cells").alias("cell"))
         sizes = common.written(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell-sizes")
         hot = common.hot_keys(sizes, "cell", "n", sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 200)
@@ -116,7 +121,7 @@ class Candidates:
         self.cells = common.written(common.join_one(cells, sizes, "cell", hot, "th", "inner"), "cells")
         wanted = rows.join(self.cells.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"]).select("raw", "th")
         #: th, name, hashes: the whole sets of these texts
-        self.sets = common.written(wanted.mapInPandas(whole, "th long, name long, hashes array<long>"), "shingle-sets")
+        self.sets = common.written(wanted.mapInArrow(whole, "th long, name long, hashes array<long>"), "shingle-sets")
 
     def represented(self) -> DataFrame:
         """(a, b): names of texts similar to a representative, and its name."""

@@ -23,11 +23,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles
 from .components import connected
+from .encoding import slices
 
 LOW_BITS = 0x5555555555555555
 LIMIT = 4
@@ -56,14 +58,15 @@ def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
 def fingerprints(documents: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), th (hash of the text), in a written table."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(bytes(x), words, seed) for x in batch["raw"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps, "th": batch["th"]})
+            for some in slices(batch, "raw"):
+                fps = np.array([fingerprint(x, words, seed) for x in some.column("raw").to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fps), some.column("th")], ["doc_id", "fp", "th"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("raw"), F.xxhash64(text).alias("th"))
-    return common.written(rows.mapInPandas(run, "doc_id long, fp long, th long"), "fingerprints")
+    return common.written(rows.mapInArrow(run, "doc_id long, fp long, th long"), "fingerprints")
 
 
 def unary(fp: Column) -> Column:

@@ -50,26 +50,42 @@ def status_counts(queue: DataFrame, status: str = "status") -> DataFrame:
 
 
 class ConversionStore:
-    """Conversions as a Parquet table partitioned by shard, so a lookup by id reads one partition."""
+    """Conversions as a Parquet table partitioned by shard, so a lookup by id reads one partition. One writer at a time.
+
+    With a column ``error``, a row with an error is kept but doesn't count as stored: a later conversion without one is
+    added and found first. An error is kept once for each identifier.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+        self.spark, self.path, self.schema = spark, path, f"{schema}, shard string"
+        spark.createDataFrame([], self.schema).write.mode("ignore").partitionBy("shard").parquet(path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.schema}, shard string").parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def good(self) -> DataFrame:
+        rows = self.read()
+        return rows.where("error IS NULL") if "error" in rows.columns else rows
 
     def put(self, conversions: DataFrame) -> None:
         """Insert what isn't stored; Parquet's commit makes a batch visible at once."""
-        made = conversions.dropDuplicates(["conversion_id"]).withColumn("shard", shard(F.col("conversion_id")))
-        try:
-            made = made.join(self.read().select("conversion_id"), "conversion_id", "left_anti")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        made.write.mode("append").partitionBy("shard").parquet(self.path)
+        rows = conversions
+        if "error" in rows.columns:
+            # of one identifier's rows in a batch the one without error
+            rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("conversion_id").orderBy(F.col("error").isNotNull(), "error"))).where("_k = 1").drop("_k")
+        made = rows.dropDuplicates(["conversion_id"]).join(self.good().select("conversion_id"), "conversion_id", "left_anti")
+        if "error" in rows.columns:
+            failed = self.read().where("error IS NOT NULL").select("conversion_id", F.lit(True).alias("_failed")).distinct()
+            made = made.join(failed, "conversion_id", "left").where("error IS NULL OR _failed IS NULL").drop("_failed")
+        made.withColumn("shard", shard(F.col("conversion_id"))).write.mode("append").partitionBy("shard").parquet(self.path)
 
     def get(self, conversion: str) -> DataFrame:
-        return self.read().where((F.col("shard") == conversion[:2]) & (F.col("conversion_id") == conversion))
+        """The conversion, or else its error, or no row."""
+        found = self.read().where((F.col("shard") == conversion[:2]) & (F.col("conversion_id") == conversion))
+        return (found.orderBy(F.col("error").isNotNull()) if "error" in found.columns else found).limit(1)
+
+    def has(self, conversion: str) -> bool:
+        return not self.good().where((F.col("shard") == conversion[:2]) & (F.col("conversion_id") == conversion)).isEmpty()
 
     def list(self) -> DataFrame:
-        return self.read().where(is_conversion_id(F.col("conversion_id"))).select("conversion_id")
+        return self.good().where(is_conversion_id(F.col("conversion_id"))).select("conversion_id")

@@ -235,32 +235,12 @@ def q_extract_content(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.main_content(F.col("html")).alias("content"))
 
 
-@query()
+@query("SELECT page_id, html FROM pages")
 def q_decode_html(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"))
     return raw.select("page_id", H.decoded(F.col("content"), F.col("content_type")).alias("html"))
 
 
-@query("""SELECT p_brand AS path, 'Parts' AS sheet_name, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INT) AS row, p_name AS name, CAST(p_size AS VARCHAR) AS size, strftime(DATE '1899-12-30' + CAST(40000 + p_partkey % 5000 AS INT), '%Y-%m-%d') AS day FROM part""")
-def q_xlsx_cells(spark: SparkSession, d: str) -> DataFrame:
-    """A workbook for each brand is written and read back: shared strings, numbers and a date format."""
-    import pandas as pd
-
-    from ..operators import workbook as W
-    from ..sources.builders import build_xlsx
-    from ..sources.containers import read_sheets
-
-    def book(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values("p_partkey")
-        rows = [[n, int(s), int(40000 + k % 5000)] for n, s, k in zip(f["p_name"], f["p_size"], f["p_partkey"], strict=True)]
-        return pd.DataFrame({"path": [f["p_brand"].iloc[0]], "content": [build_xlsx([{"name": "Parts", "rows": rows, "formats": {2: "yyyy-mm-dd"}}])]})
-
-    files = table(spark, d, "part").select("p_brand", "p_partkey", "p_name", "p_size").groupBy("p_brand").applyInPandas(book, "path string, content binary")
-    found, _ = read_sheets(files, "xlsx")
-    by_row = W.texts(found).groupBy("path", "sheet_name", "row").pivot("col", [0, 1, 2]).agg(F.first("text"))
-    return by_row.select("path", "sheet_name", "row", F.col("0").alias("name"), F.col("1").alias("size"), F.col("2").alias("day"))
-
-
 @query("""WITH s AS (SELECT event_type AS status, date_trunc('hour', ts) AS h FROM events) SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, status, count(*) AS n FROM s GROUP BY 1, 2""")
 def q_queue_progress(spark: SparkSession, d: str) -> DataFrame:
     """The streaming counter of queue states over the stored events, as one batch."""

@@ -145,6 +145,37 @@ def test_stream_into_store(spark, tmp_path):
     assert sorted(r["markdown"] for r in store.read().collect()) == ["one", "two"]
 
 
+def test_failed_conversions_are_retried(spark, tmp_path):
+    store = S.ConversionStore(spark, str(tmp_path / "s"), "conversion_id string, markdown string, error string")
+    rows = lambda *x: spark.createDataFrame(x, "conversion_id string, markdown string, error string")
+    a, b = "a" * 64, "b" * 64
+    store.put(rows((a, None, "broken"), (b, "fine", None)))
+    store.put(rows((a, None, "broken again")))
+    assert not store.has(a) and store.has(b) and store.get(a).first()["error"] == "broken" and store.read().count() == 2
+    store.put(rows((a, None, "broken"), (a, "mended", None), (b, None, "late")))
+    assert store.has(a) and store.get(a).first()["markdown"] == "mended" and store.get(b).first()["markdown"] == "fine"
+    store.put(rows((a, "other", None)))
+    assert store.list().count() == 2 and store.get("c" * 64).count() == 0
+
+
+def test_large_files_are_rows_with_an_error(spark, tmp_path):
+    from paperloom.streaming.ingest import ingest
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "small.txt").write_text("ok")
+    (inbox / "large.txt").write_text("x" * 5000)
+    convert = lambda df: df.select("conversion_id", "path", F.decode("content", "UTF-8").alias("markdown"), F.lit(None).cast("string").alias("error"))
+    store = S.ConversionStore(spark, str(tmp_path / "s"), "conversion_id string, path string, markdown string, error string")
+    for k in range(2):
+        ingest(spark, str(inbox), store, convert, str(tmp_path / f"check{k}"), max_bytes=1000).awaitTermination(120)
+    made = {r["path"].rsplit("/", 1)[1]: (r["markdown"], r["error"]) for r in store.read().collect()}
+    assert made == {"small.txt": ("ok", None), "large.txt": (None, "file-too-large")} and store.read().count() == 2
+    plain = S.ConversionStore(spark, str(tmp_path / "p"), "conversion_id string, markdown string")
+    with pytest.raises(Exception, match="no column for errors"):
+        ingest(spark, str(inbox), plain, lambda df: convert(df).select("conversion_id", "markdown"), str(tmp_path / "check2"), max_bytes=1000).awaitTermination(120)
+
+
 def test_convert_mixed_files(spark):
     from paperloom import engine
 

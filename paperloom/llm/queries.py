@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pipeline
 from .exact_dedup import op8_exact_dedup
 from .html_extraction import op7_html_extraction
 from .mixing import ORACLE_SQL as MIXING_SQL
@@ -42,9 +43,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
-    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

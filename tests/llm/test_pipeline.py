@@ -43,6 +43,16 @@ def test_stages(spark, odd, sf_of):
     assert sequences <= least + 2
 
 
+def test_empty_tables(spark, nothing, sf_of):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    sf = sf_of(documents=nothing, labels=labels)
+    now = nothing
+    for name, stage in P.STAGES:
+        now = stage(spark, now, sf)
+        assert now.count() == 0, name
+    assert P.run(spark, sf).count() == 0
+
+
 def test_run(spark, sf):
     made = P.run(spark, sf)
     assert made.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(made.columns)

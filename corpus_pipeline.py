@@ -1,52 +1,7 @@
-"""From raw documents to packed training sequences, in stages that each write what they keep."""
+"""The pipeline of ``paperloom.llm.pipeline`` under the name by which tools look for it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from paperloom.llm.pipeline import ORACLE_SQL, STAGES, mixed, packed, run, without_copies, without_near_copies, without_toxic
 
-from paperloom.llm import common, exact_dedup, mixing, packing, shingles, simhash, toxicity
-
-
-def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled rows, doesn't reject."""
-    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_pl_score").where("_pl_score < 0.5").drop("_pl_score")
-
-
-def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each text: the largest doc_id, as in op8."""
-    return exact_dedup.keep_first(docs, keep="max")
-
-
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates: texts within op10's 4 bits, or with 0.8 of their five-word shingles in common."""
-    return simhash.keep_one(docs, similar=shingles.AT_LEAST)
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the sources' target weights, globally shuffled."""
-    return mixing.mix(docs).drop("_pl_copy", "_pl_order")
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents placed in training sequences."""
-    return packing.best_fit(docs)
-
-
-STAGES = [
-    ("toxicity", without_toxic),
-    ("exact dedup", without_copies),
-    ("simhash near-dedup", without_near_copies),
-    ("source mixing", mixed),
-    ("best-fit packing", packed),
-]
-
-#: A trained classifier, XXH64 fingerprints and a tokenizer have no SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "mixed", "packed", "run", "without_copies", "without_near_copies", "without_toxic"]

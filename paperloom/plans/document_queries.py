@@ -218,23 +218,31 @@ def q_run_tags(spark: SparkSession, d: str) -> DataFrame:
     return U.style_tags(t, ["l_orderkey"])
 
 
+SCALE = "CASE WHEN l_returnflag = 'R' THEN 2.0 ELSE 1.0 END"
+
+
 @query(f"""
-WITH t AS (SELECT l_orderkey AS page, {LINE_ORDER} AS seq, (l_suppkey % 3) * 100 AS x, l_returnflag AS text, l_linestatus AS font FROM lineitem)
-SELECT page, font, text, CAST(x AS DOUBLE) AS x, CAST(min(seq) AS INT) AS seq FROM t GROUP BY page, font, text, x""")
+WITH t AS (SELECT l_orderkey AS page, {LINE_ORDER} AS seq, l_suppkey % 3 AS place, {SCALE} * (l_suppkey % 3 * 4.25 + l_partkey % 2 * 2.0) AS x, {SCALE} * (l_linenumber % 2) * 2.0 AS y, l_returnflag AS text, l_linestatus AS font FROM lineitem)
+SELECT page, font, text, CAST(arg_min(x, seq) AS DOUBLE) AS x, CAST(arg_min(y, seq) AS DOUBLE) AS y, CAST(min(seq) AS INT) AS seq FROM t GROUP BY page, font, text, place""")
 def q_run_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Runs a hundred points apart or in one place, so that any order of folding agrees."""
-    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS page", f"cast({LINE_ORDER} as int) AS seq", "cast(l_suppkey % 3 * 100 as double) AS x", "10.0D AS y", "5.0D AS width", "8.0D AS height", "l_returnflag AS text", "l_linestatus AS font")
-    return U.drop_overdraws(t, ["page"]).select("page", "font", "text", "x", "seq")
+    """Runs of a place differ by as much as counts as one place (2, or a quarter of the height); places by a little more."""
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS page", f"cast({LINE_ORDER} as int) AS seq", f"cast({SCALE} * (l_suppkey % 3 * 4.25 + l_partkey % 2 * 2.0) as double) AS x", f"cast({SCALE} * (l_linenumber % 2) * 2.0 as double) AS y", "5.0D AS width", f"cast({SCALE} * 8 as double) AS height", "l_returnflag AS text", "l_linestatus AS font")
+    return U.drop_overdraws(t, ["page"]).select("page", "font", "text", "x", "y", "seq")
+
+
+PAD = "CASE cast(l_quantity as int) % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.25 ELSE 0.0 END"
 
 
 @query(f"""
-WITH t AS (SELECT l_orderkey AS page, {LINE_ORDER} AS seq, l_returnflag || CAST(l_linenumber AS VARCHAR) AS text, l_quantity > 40 AS gap FROM lineitem),
-i AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY seq) AS island FROM t)
+WITH t AS (SELECT l_orderkey AS page, {LINE_ORDER} AS seq, l_returnflag || CAST(l_linenumber AS VARCHAR) AS text, {PAD} > 1 AS gap, l_quantity > 40 AS tall FROM lineitem),
+n AS (SELECT *, gap OR tall <> coalesce(lag(tall) OVER (PARTITION BY page ORDER BY seq), tall) AS new FROM t),
+i AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY seq) AS island FROM n)
 SELECT page, CAST(min(seq) AS INT) AS seq, string_agg(text, '' ORDER BY seq) AS text FROM i GROUP BY page, island""")
 def q_run_merge(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS page", f"cast({LINE_ORDER} as int) AS seq", "l_quantity > 40 AS gap", "l_returnflag || cast(l_linenumber as string) AS text")
-    gaps = F.sum(F.when(F.col("gap"), 50.0).otherwise(0.0)).over(Window.partitionBy("page").orderBy("seq"))
-    runs = t.select("page", "seq", (F.col("seq") * 5.0 + gaps).alias("x"), F.lit(10.0).alias("y"), F.lit(5.0).alias("width"), F.lit(8.0).alias("height"), "text", F.lit("f").alias("font"))
+    """Gaps at and above what may lie between joined runs, lines that differ by as much as they may, two heights."""
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey AS page", f"cast({LINE_ORDER} as int) AS seq", f"cast({PAD} as double) AS pad", "l_quantity > 40 AS tall", "l_linenumber", "l_returnflag || cast(l_linenumber as string) AS text")
+    x = F.sum(F.col("pad") + 5.0).over(Window.partitionBy("page").orderBy("seq")) - 5.0
+    runs = t.select("page", "seq", x.alias("x"), (10.0 + F.col("l_linenumber") % 2 * 0.5).alias("y"), F.lit(5.0).alias("width"), F.when(F.col("tall"), 9.0).otherwise(8.0).alias("height"), "text", F.lit("f").alias("font"))
     return U.merge_adjacent(runs, ["page"]).select("page", "seq", "text")
 
 

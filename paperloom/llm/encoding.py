@@ -33,14 +33,16 @@ PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: Punctuation that no contraction begins with.
 CLOSING = ".,;:!?)]}#$%&*+=/"
-#: Bytes of text that are cut and laid out at a time.
+#: Bytes of text that other passes take at a time.
 SLICE = 1 << 22
+#: Stretches that each generation of a cache holds: about 100 MB for both. Steps among others take FEW.
+CACHED, FEW = 500_000, 150_000
 
 
 class Encoder:
     """``encode(texts)``: the ids of each text without special tokens, then ``end`` unless that is None."""
 
-    def __init__(self, path: str, end: int | None = None, most: int = 150_000, longest: int = 48):
+    def __init__(self, path: str, end: int | None = None, most: int = CACHED, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,6 +62,8 @@ class Encoder:
         self.newline = self.whole("\n")
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
         self.most, self.longest = most, longest
+        #: Bytes of text to encode at a time.
+        self.slice = 16 * most
         # two generations: when the new one is full, the old one goes
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -153,9 +157,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, end: int | None = None) -> Encoder:
+def encoder(path: str, end: int | None = None, most: int = CACHED) -> Encoder:
     """One for each tokenizer and end id in a worker process, so that later tasks find what earlier ones cached."""
-    return Encoder(path, end)
+    return Encoder(path, end, most)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:

@@ -24,21 +24,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoding import encoder, slices
+from .encoding import CACHED, encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Windows that number the pieces of one length: this many at least, and more so that one has SALT_ROWS at most.
 SALTS, SALT_ROWS = 64, 1_000_000
 
 
-def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
-    """Tokenised and cut: one row a piece."""
+def pieces(documents: DataFrame, tokenizer: str, end_id: int, size: int, cached: int = CACHED) -> DataFrame:
+    """Tokenised and cut: one row a piece. ``cached`` bounds what a worker keeps of the tokenizer's results."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, end_id).encode
+        ids = encoder(tokenizer, end_id, cached)
         for batch in batches:
-            for some in slices(batch):
-                yield cut_pieces(some.column("doc_id"), *encode(some.column("text")), size)
+            for some in slices(batch, most=ids.slice):
+                yield cut_pieces(some.column("doc_id"), *ids.encode(some.column("text")), size)
 
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, PIECES)
@@ -129,8 +129,8 @@ def last_at_most(slots: str, rank: str):
     return F.expr(f"element_at(filter({slots}, s -> s._first <= {rank}), -1)")
 
 
-def best_fit(documents: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: int = 2048) -> DataFrame:
-    cut = common.written(pieces(documents, tokenizer or common.default_tokenizer(), end_id, size), "pieces")
+def best_fit(documents: DataFrame, tokenizer: str | None = None, end_id: int = 0, size: int = 2048, cached: int = CACHED) -> DataFrame:
+    cut = common.written(pieces(documents, tokenizer or common.default_tokenizer(), end_id, size, cached), "pieces")
     return pack(cut, size)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common, exact_dedup, mixing, packing, shingles, simhash, toxicity
+from .encoding import FEW
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents placed in training sequences. A text without tokens is a piece of the end id."""
-    return packing.best_fit(docs)
+    return packing.best_fit(docs, cached=FEW)  # workers have held other stages' memory before
 
 
 STAGES = [

@@ -195,17 +195,17 @@ def write(documents: DataFrame, folder: str, tokenizer: str, end_id: int, percen
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode, writer = TaskContext.get().partitionId(), encoder(tokenizer, end_id).encode, None
+        part, ids, writer = TaskContext.get().partitionId(), encoder(tokenizer, end_id), None
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.pfb"
         store, path = common.filesystem(uri)
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, most=ids.slice):
                 if writer is None:
                     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     stream = store.open_output_stream(path)
                     writer = Writer(stream, percentile)
                 doc_ids = pc.fill_null(some.column("doc_id"), NO_ID).to_numpy(zero_copy_only=False)
-                writer.add(doc_ids, *encode(some.column("text")))
+                writer.add(doc_ids, *ids.encode(some.column("text")))
         if writer is not None:
             writer.close()
             stream.close()

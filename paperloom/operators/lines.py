@@ -27,24 +27,31 @@ def joined_lines(lines: DataFrame, doc: list[str], raw: str = "raw", out: str =
     return lines.groupBy(*doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", raw))), lambda x: x[raw]), "\n").alias(out))
 
 
-def fence_states(raws: Column) -> Column:
-    """For each line whether it is a fence or inside one: a fold, since only the opening character closes a fence."""
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("inside"))
+def fence_states(raws: Column, chunk: int = 256) -> Column:
+    """For each line whether it is a fence or inside one: a fold, since only the opening character closes a fence.
 
-    def step(acc: Column, raw: Column) -> Column:
-        mark = F.substring(F.regexp_extract(raw, FENCE, 1), 1, 1)
+    States grow by chunks of lines, so that a long document's array isn't copied for each line.
+    """
+    marks = F.transform(raws, lambda raw: F.substring(F.regexp_extract(raw, FENCE, 1), 1, 1))
+    none = F.array().cast("array<boolean>")
+
+    def step(acc: Column, mark: Column) -> Column:
         is_fence = mark != ""
         after = F.when(is_fence & (acc["open"] == ""), mark).when(is_fence & (acc["open"] == mark), F.lit("")).otherwise(acc["open"])
         return F.struct(after.alias("open"), F.concat(acc["inside"], F.array(is_fence | (acc["open"] != ""))).alias("inside"))
 
-    return F.aggregate(raws, start, step, lambda acc: acc["inside"])
+    def part(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["open"].alias("open"), none.alias("inside")), step)
+        grown = F.transform(F.array(done), lambda d: F.struct(d["open"].alias("open"), F.concat(acc["parts"], F.array(d["inside"])).alias("parts")))
+        return F.get(grown, F.lit(0))
 
+    def whole(of_all: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(of_all), F.lit(1)), F.lit(chunk))
+        start = F.struct(F.lit("").alias("open"), F.array().cast("array<array<boolean>>").alias("parts"))
+        return F.aggregate(F.transform(starts, lambda at: F.slice(of_all, at, chunk)), start, part, lambda acc: F.flatten(acc["parts"]))
 
-def mark_fenced(lines: DataFrame, doc: list[str]) -> DataFrame:
-    """Adds ``fenced`` by a running count; exact where a document uses one fence character, else see fence_states."""
-    mark = F.regexp_extract("raw", FENCE, 1) != ""
-    before = F.count_if(mark).over(by_line(doc).rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("fenced", mark | (before % 2 == 1))
+    # in an array of one, so that marks are found once
+    return F.get(F.transform(F.array(marks), whole), F.lit(0))
 
 
 def fenced_exactly(documents: DataFrame, text: str = "markdown") -> DataFrame:

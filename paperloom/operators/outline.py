@@ -25,10 +25,11 @@ def with_anchors(found: DataFrame, doc: list[str], ascii_only: bool = False) ->
 def with_sections(nodes: DataFrame, line_counts: DataFrame, doc: list[str]) -> DataFrame:
     """Adds end (the next heading of the same or a higher level, else the line count), prev and next anchors.
 
-    One window for each level takes the place of a range join: the nearest following heading of at most that level.
+    One window for each level takes the place of a range join: the nearest following heading of at most that level. It
+    runs backwards, since a frame that only grows is walked once.
     """
     w = by_line(doc)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*doc).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
     end = F.lit(None).cast("int")
     for k in range(1, 7):
         end = F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("line"))).over(after)).otherwise(end)

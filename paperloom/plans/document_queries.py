@@ -171,7 +171,7 @@ PAIRED = "(SELECT d.doc_id, coalesce(d.text, '') AS a, b.text AS b FROM document
 def paired(spark: SparkSession, d: str) -> DataFrame:
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("b"))
     ranked = items.withColumn("k", F.row_number().over(Window.orderBy("item_id")) - 1)
-    return docs.withColumn("k", F.pmod("doc_id", F.lit(items.count()))).join(F.broadcast(ranked), "k").select("doc_id", F.coalesce("text", F.lit("")).alias("a"), "b")
+    return docs.withColumn("k", F.pmod("doc_id", F.lit(items.count()))).join(ranked, "k").select("doc_id", F.coalesce("text", F.lit("")).alias("a"), "b")
 
 
 @query(f"SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(b, '[a-z]{{4,}}')) AS token, regexp_replace(a, '\\s+', '', 'g') AS plain FROM {PAIRED}) WHERE NOT contains(plain, token)")

@@ -26,15 +26,21 @@ def convert(pages: DataFrame) -> DataFrame:
 
 
 def followed(pages: DataFrame, hops: int = 2) -> DataFrame:
-    """Frame shells replaced by the page that their frame shows, if the table has it: a left join for each hop."""
-    known = pages.select(F.col("url").alias("_url"), F.col("html").alias("_html"))
+    """Frame shells replaced by the page that their frame shows, if the table has it: a left join for each hop.
+
+    Of several pages with one url the least html is shown, so rows don't multiply. Pages without a frame, most of them,
+    take no part in the join: their null targets would all meet in one task.
+    """
+    known = pages.where("url IS NOT NULL").groupBy(F.col("url").alias("_url")).agg(F.min("html").alias("_html"))
     for _ in range(hops):
         target = H.frame_target(F.col("html"))
         origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
         folder = F.regexp_extract("url", r"^(https?://[^?#]*/)", 1)
         absolute = F.when(target.rlike("(?i)^https?://"), target).when(target.startswith("/"), F.concat(origin, target)).otherwise(F.concat(folder, target))
-        joined = pages.withColumn("_to", absolute).join(known, (F.col("_to") == F.col("_url")) & (F.col("_to") != F.col("url")), "left")
-        pages = joined.withColumns({"html": F.coalesce("_html", "html"), "url": F.coalesce("_url", "url")}).drop("_to", "_url", "_html")
+        sought = pages.withColumn("_to", absolute).withColumn("_to", F.when(F.col("_to") != F.col("url"), F.col("_to")))
+        shells = sought.where("_to IS NOT NULL").join(known, F.col("_to") == F.col("_url"), "left")
+        shown = shells.withColumns({"html": F.coalesce("_html", "html"), "url": F.coalesce("_url", "url")}).select(*pages.columns)
+        pages = sought.where("_to IS NULL").select(*pages.columns).unionByName(shown)
     return pages
 
 

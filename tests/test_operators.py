@@ -121,6 +121,27 @@ def test_followed_frames(spark):
     assert all("www" in r["html"] for r in P.followed(pages).collect())
 
 
+def test_followed_frames_of_repeated_pages(spark):
+    shell, main, plain = "<frame src='main.html'>", "<p>" + "w" * 300 + "</p>", "<p>" + "v" * 300 + "</p>"
+    rows = [("https://h/a/x.html", shell), ("https://h/a/main.html", main), ("https://h/a/main.html", main), ("https://h/b", plain), (None, plain), ("https://h/c", None)]
+    made = sorted((r["url"] or "", r["html"] or "") for r in P.followed(spark.createDataFrame(rows, "url string, html string")).collect())
+    assert made == sorted([("https://h/a/main.html", main)] * 3 + [("https://h/b", plain), ("", plain), ("https://h/c", "")])
+
+
+def test_fences_and_sections_of_long_documents(spark):
+    lines = [random.Random(k).choice(["text", "```", "~~~", "# a", "## b", "```x"]) for k in range(2000)]
+    made = L.fenced_exactly(spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "d int, markdown string")).where("d = 1").orderBy("line")
+    opened, expected = "", []
+    for x in lines:
+        mark = x[0] if x[0] in "`~" else ""
+        expected.append(bool(mark or opened))
+        opened = mark if mark and not opened else "" if mark and mark == opened else opened
+    assert [r["fenced"] for r in made.collect()] == expected
+    found = spark.createDataFrame([(1, k, 1 + k % 3, str(k)) for k in range(30)], "d int, line int, level int, anchor string")
+    ends = {r["line"]: r["end"] for r in O.with_sections(found, spark.createDataFrame([(1, 40)], "d int, n_lines long"), ["d"]).collect()}
+    assert ends == {k: next((n for n in range(k + 1, 30) if n % 3 <= k % 3), 40) for k in range(30)}
+
+
 def test_order_of_rows_does_not_matter(spark):
     rows = [(0, r, c, f"{r}{c}") for r in range(6) for c in range(4)]
     random.Random(3).shuffle(rows)

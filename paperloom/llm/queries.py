@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import pipeline
 from .exact_dedup import op8_exact_dedup
 from .html_extraction import op7_html_extraction
+from .language_id import op12_language_id
 from .mixing import ORACLE_SQL as MIXING_SQL
 from .mixing import op6_source_mixing
 from .packing import op5_best_fit_packing
@@ -18,6 +19,9 @@ from .token_output import op2_token_output
 from .toxicity import op1_toxicity
 from .transport_stream import op4_transport_stream
 from .url_filter import op9_url_filter
+from .vector_codes import ORACLE_SQL as CODES_SQL
+from .vector_codes import op13_vector_codes
+from .whitening import op11_whitening
 
 OPERATORS = [
     op1_toxicity,
@@ -30,6 +34,9 @@ OPERATORS = [
     op8_exact_dedup,
     op9_url_filter,
     op10_simhash,
+    op11_whitening,
+    op12_language_id,
+    op13_vector_codes,
 ]
 
 EXACT_DEDUP_SQL = """
@@ -47,4 +54,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": MIXING_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op6_source_mixing": MIXING_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL, "op13_vector_codes": CODES_SQL}

@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.routing import images_folder, markdown_path
+from .storage import filesystem, qualified
 
 
 def _put(folder: str, name_column: str, data_column: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = filesystem(folder)
         for batch in batches:
             sizes = []
             for name, data in zip(batch[name_column], batch[data_column], strict=True):
@@ -38,10 +37,10 @@ def write_markdown(conversions: DataFrame, folder: str) -> DataFrame:
     """One .md file a document that has Markdown. Returns what was written (file, bytes); an action runs it."""
     named = conversions.where("markdown IS NOT NULL").select(markdown_path(F.col("path"), F.lit("")).alias("_f"), "markdown")
     named = named.select(F.ltrim(F.col("_f"), F.lit("/")).alias("file"), "markdown")
-    return named.mapInPandas(_put(folder, "file", "markdown"), "file string, bytes long")
+    return named.mapInPandas(_put(qualified(conversions.sparkSession, folder), "file", "markdown"), "file string, bytes long")
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:
     """Images (path, name, data) below ``<document>_images/``."""
     named = images.select(F.concat(images_folder(F.col("path")), F.lit("/"), "name").alias("file"), "data")
-    return named.mapInPandas(_put(folder, "file", "data"), "file string, bytes long")
+    return named.mapInPandas(_put(qualified(images.sparkSession, folder), "file", "data"), "file string, bytes long")

@@ -9,10 +9,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import filesystem, qualified
+
 #: At most this many keys can each hold 1/HOT_KEYS of the rows, which bounds the list of hot keys.
 HOT_KEYS = 256
 #: A hot key's rows are dealt over this many salts at least, and over more so that a salt has SALT_ROWS at most.
 SALTS, SALT_ROWS = 32, 2_000_000
+#: Rows with the same first key from which semi_once drops repeats task by task before they meet.
+REPEATS = 1000
 
 
 class Hot(NamedTuple):
@@ -30,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file:///tmp/checkpoints/paperloom-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -52,17 +56,6 @@ def discard(df: DataFrame) -> None:
         store.delete_dir(path)
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path in it) of a URI in the shared folder, usable on executors."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -146,5 +139,14 @@ def default_tokenizer() -> str:
 
 
 def semi_once(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys are wanted, one row for each distinct keys; the keys go. Both steps share one shuffle."""
+    """Rows whose keys are wanted, one row for each distinct keys; the keys go. Both steps share one shuffle.
+
+    A row that is repeated many times doesn't meet itself whole in one task: of rows whose first key many share (HOT_KEYS
+    keys at most; counted without the other columns), one a task and keys goes on.
+    """
+    counts = rows.groupBy(keys[0]).agg(F.count("*").alias("_pl_n"))
+    hot = [r[0] for r in counts.where(F.col("_pl_n") >= REPEATS).orderBy(F.desc("_pl_n")).limit(HOT_KEYS).collect()]
+    if hot:
+        few = rows.where(F.col(keys[0]).isin(hot)).withColumn("_pl_task", F.spark_partition_id()).dropDuplicates([*keys, "_pl_task"])
+        rows = rows.where(~F.col(keys[0]).isin(hot)).unionByName(few.drop("_pl_task"))
     return rows.join(wanted.select(*keys).distinct(), keys, "left_semi").dropDuplicates(keys).drop(*keys)

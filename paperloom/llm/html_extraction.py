@@ -2,12 +2,15 @@
 
 A page is parsed into a tree of elements; subtrees that can't be an article's text (scripts, menus, forms, blocks whose
 tag, role, class or id says so) are left out; a block that only part of a longer class or id names stays where it holds
-half of the page's paragraph points, and classes don't count where they leave less than a tenth. Each paragraph earns points for its length and commas and passes them to its
-ancestors, halved and then thinned with distance, up to the eighth; an element's score is discounted by the share of its text inside links.
-The best container is kept, or the article element around it, with those siblings that score or read like text.
+half of the page's paragraph points, a form where it holds nearly all, and classes don't count where they leave less than a
+tenth. Each paragraph earns points for its length and commas, which go to all its ancestors: an element that holds nothing
+but one other hands on the whole of its points, any other half of them, so a common container of paragraphs that are wrapped
+one by one gets them undivided, and one sum from the leaves up is enough at any depth. An element's score is discounted by
+the share of its text inside links. The best container is kept, or the article element around it, with those siblings that
+score or read like text.
 
 Defined cases: null, empty and markup-only pages give an empty text; unclosed and stray tags are repaired as browsers do
-in the common cases; text without any element is a page of one block; repeated rows get equal results; ties go to the
+in the common cases; a button stays inside a paragraph only; text without any element is a page of one block; repeated rows get equal results; ties go to the
 earlier element; pages of any length are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -27,8 +30,9 @@ from . import common
 # Element names of the HTML standard by how they are treated here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe xmp noembed noframes textarea title svg math".split())
-DROPPED = RAW | set("head nav header footer aside form button select dialog menu object canvas audio video map label input fieldset".split())
+DROPPED = RAW | set("head nav header footer aside button select dialog menu object canvas audio video map input fieldset".split())
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINER = set("div section article main body".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPH = HEADING | set("p pre blockquote li dd dt td th figcaption div section article main body".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,8 +43,8 @@ UNLIKELY = set("ad ads advert adverts advertisement advertisements advertising a
 WHOLE_NAMES = {"article", "main"}
 #: A block named by part of a longer name stays if it holds this share of the page's paragraph points; a page of which the class rule leaves less than LITTLE is read without it.
 SHARE, LITTLE = 0.5, 0.1
-#: Ancestors to which a paragraph passes points: what is farther off would get under a twentieth.
-LEVELS = 8
+#: A form stays if it holds this share of them: such pages stand in one form as a whole.
+FORM_SHARE = 0.8
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?=[\s=>/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -131,7 +135,8 @@ def parse(html: str) -> Node:
             continue
         if tag in ("html", "body") and top is root:
             continue
-        node = Node(tag, top, top.drop or unwanted(tag, m[3]), named(tag, m[3]))
+        gone = unwanted(tag, m[3]) and not (tag == "button" and top.tag == "p")
+        node = Node(tag, top, top.drop or gone, "form" if tag == "form" else named(tag, m[3]))
         top.children.append(node)
         top = node
         opened[tag] += 1
@@ -254,7 +259,8 @@ def drop_named(root: Node) -> None:
         x = stack.pop()
         if x.drop:
             continue
-        if x.named == "whole" or x.named == "part" and held[id(x)] < SHARE * total:
+        least = {"part": SHARE, "form": FORM_SHARE}.get(x.named, 0.0) * total
+        if x.named == "whole" or held[id(x)] < least or x.named == "form" and not total:
             dropped.append(x)
             gone += held[id(x)]
         else:
@@ -264,26 +270,33 @@ def drop_named(root: Node) -> None:
             x.drop = True
 
 
+def wraps(node: Node) -> bool:
+    """Whether a node holds nothing but one other element with text."""
+    if any(isinstance(c, str) and c.strip() for c in node.children):
+        return False
+    return sum(isinstance(c, Node) and not c.drop and c.length > 0 for c in node.children) == 1
+
+
+def set_scores(order: list[Node]) -> None:
+    """From the leaves up. A container's own text counts for itself, that of a paragraph for what it stands in."""
+    for x in reversed(order):
+        text = own_text(x) if x.tag in PARAGRAPH else ""
+        points = paragraph_points(text) if text else 0.0
+        if x.tag in ("p", "li", "td"):
+            points *= 1 - min(link_density(x), 1)
+        if x.tag in CONTAINER:
+            x.score, points = x.score + points, 0.0
+        if x.parent is not None:
+            x.parent.score += points + (x.score if wraps(x) else x.score / 2)
+
+
 def best_nodes(root: Node) -> list[Node]:
     order = measure(root)
-    scored: dict[int, Node] = {}
-    for x in order:
-        if x.tag not in PARAGRAPH:
-            continue
-        text = own_text(x)
-        if not text:
-            continue
-        points = paragraph_points(text)
-        points *= 1 - min(link_density(x), 1) if x.tag in ("p", "li", "td") else 1
-        node, level = x.parent if x.tag not in ("div", "section", "article", "main", "body") else x, 0
-        while node is not None and level < LEVELS:
-            node.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            scored[id(node)] = node
-            node, level = node.parent, level + 1
-    if not scored:
+    set_scores(order)
+    if not any(x.score for x in order):
         return [root]
     value = lambda x: x.score * (1 - link_density(x)) * (1.5 if x.tag in ("article", "main") else 1)
-    best = max((x for x in order if id(x) in scored), key=value)
+    best = max(order, key=value)
     node = best
     while node is not None and node.tag not in ("article", "main"):
         node = node.parent

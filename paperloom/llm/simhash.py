@@ -3,10 +3,10 @@
 A fingerprint's 64 bits form 32 segments of two bits. The embedding is each segment's bit count, kept in unary (00, 01,
 11), so that the Manhattan distance of two embeddings is the number of bits in which they differ. It never exceeds the
 Hamming distance of the fingerprints, hence filters without loss. The grid: the segments form six groups; within Manhattan
-distance 4 at least two groups agree whole, so the 15 cells named by two groups' counts hold every pair between them. Two
-fingerprints within 4 bits also agree in two groups' own bits, which have the same counts: cells are divided by these bits,
-so that far fewer rows meet. More fingerprints take seven or eight groups, of which three or four agree (35 or 70 cells).
-Inside a cell rows are compared by Manhattan distance, then exactly, and give a spanning forest rather than all pairs.
+distance 4 at least two groups' counts agree whole, so the 15 cells named by two groups' counts hold every pair between
+them. More fingerprints take seven to nine groups, of which three to five agree (35 to 126 cells): a segment's counts are
+equal by chance with 3/8, so cells are then as small as before. Inside a cell rows are compared by Manhattan distance, then
+exactly, and give a spanning forest rather than all pairs.
 
 Only distinct fingerprints are compared. A worker never holds more than ``block`` rows of a cell; larger cells are compared
 in pairs of blocks, exactly as well.
@@ -33,8 +33,10 @@ from .encoding import slices
 
 LOW_BITS = 0x5555555555555555
 LIMIT = 4
-#: Distinct fingerprints up to which six or seven groups do.
-SIX_GROUPS, SEVEN_GROUPS = 50_000_000, 2_000_000_000
+#: Distinct fingerprints up to which so many groups do: by chance a fingerprint has under 100 others in a cell.
+GROUPS = {6: 3_000_000, 7: 60_000_000, 8: 600_000_000, 9: 1 << 63}
+#: Names of cells above a block that are broadcast at most.
+LARGE_CELLS = 200_000
 
 
 def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
@@ -114,7 +116,7 @@ def link(run: np.ndarray, fp: np.ndarray, limit: int) -> np.ndarray:
 
 
 def star_edges(cells: DataFrame, keys: list[str], limit: int, block: int) -> DataFrame:
-    """(a, b) edges of a spanning forest of each cell's links; a row with null b has the ``own`` bits of a cell above ``block`` rows."""
+    """(a, b) edges of a spanning forest of each cell's links; a row with null b names a cell above ``block`` rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # the rows of the last cell so far wait for its end; of one that is too large, a row stands for it
@@ -133,7 +135,7 @@ def star_edges(cells: DataFrame, keys: list[str], limit: int, block: int) -> Dat
                 yield from compare(rows.iloc[:cut])
             held = rows.iloc[cut:]
             if not large and len(held) > block:
-                yield pd.DataFrame({"a": [held["own"].iloc[0]], "b": pd.array([None], "Int64"), "proj": [held["proj"].iloc[0]]})
+                yield pd.DataFrame({"a": [held["cell"].iloc[0]], "b": pd.array([None], "Int64"), "proj": [held["proj"].iloc[0]]})
                 large = True
             if large:
                 held = held.iloc[:1]
@@ -152,9 +154,9 @@ def star_edges(cells: DataFrame, keys: list[str], limit: int, block: int) -> Dat
         starts = np.flatnonzero(first_of_run(rows))
         sizes = np.diff(np.append(starts, len(rows)))
         group = np.repeat(np.arange(len(starts)), sizes)
-        fp, proj, own = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["proj"].to_numpy(), rows["own"].to_numpy()
+        fp, proj, cell = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["proj"].to_numpy(), rows["cell"].to_numpy()
         for k in np.flatnonzero(sizes > block):  # cells that began and ended in one batch
-            yield pd.DataFrame({"a": [own[starts[k]]], "b": pd.array([None], "Int64"), "proj": [proj[starts[k]]]})
+            yield pd.DataFrame({"a": [cell[starts[k]]], "b": pd.array([None], "Int64"), "proj": [proj[starts[k]]]})
         small = np.repeat((sizes > 1) & (sizes <= 64), sizes)
         parts = [np.flatnonzero(small)] + [np.arange(starts[k], starts[k] + sizes[k]) for k in np.flatnonzero((sizes > 64) & (sizes <= block))]
         for part in parts:
@@ -169,29 +171,34 @@ def star_edges(cells: DataFrame, keys: list[str], limit: int, block: int) -> Dat
     return dealt.mapInPandas(run, "a long, b long, proj int")
 
 
+def grid(classes: DataFrame, groups: int) -> DataFrame:
+    """fp, proj, cell: the cells of each fingerprint (column fp), named by the counts of all but LIMIT groups."""
+    u = unary(F.col("fp"))
+    return classes.select("fp", F.posexplode(F.array(*[u.bitwiseAND(F.lit(m)) for m in masks(groups)])).alias("proj", "cell"))
+
+
 def edges(classes: DataFrame, limit: int = LIMIT, block: int = 1 << 15, groups: int | None = None) -> DataFrame:
     """Edges between distinct fingerprints (column fp) whose components are those of all pairs within ``limit`` bits."""
     if limit > LIMIT:
         raise ValueError(f"the grid is complete up to {LIMIT} bits")
     if groups is None:
         n = classes.count()
-        groups = 6 if n <= SIX_GROUPS else 7 if n <= SEVEN_GROUPS else 8
-    u, keys = unary(F.col("fp")), ["proj", "cell", "own"]
-    # a cell of the grid by its groups' counts, and in it those with the same bits in these groups
-    named = [F.struct(u.bitwiseAND(F.lit(m)).alias("cell"), F.col("fp").bitwiseAND(F.lit(m)).alias("own")) for m in masks(groups)]
-    cells = classes.select("fp", F.posexplode(F.array(*named)).alias("proj", "_at")).select("fp", "proj", "_at.*")
+        groups = next(g for g, most in GROUPS.items() if n <= most)
+    keys = ["proj", "cell"]
+    cells = grid(classes, groups)
     found = common.written(star_edges(cells, keys, limit, block), "links")
-    large = found.where("b IS NULL").select("proj", F.col("a").alias("own")).distinct()
+    large = found.where("b IS NULL").select("proj", F.col("a").alias("cell")).distinct()
     pairs = found.where("b IS NOT NULL").select("a", "b")
     if large.isEmpty():
         return pairs
-    inside = common.written(cells.join(large, ["proj", "own"]), "large-cells")
-    sizes = inside.groupBy("proj", "own").agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
+    few = large.count() <= LARGE_CELLS
+    inside = common.written(cells.join(F.broadcast(large) if few else large, keys), "large-cells")
+    sizes = inside.groupBy(*keys).agg(F.ceil(2 * F.count("*") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = inside.join(sizes, ["proj", "own"]).withColumn("mine", mine)
+    dealt = inside.join(sizes, keys).withColumn("mine", mine)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("fp", "proj", "own", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    more = common.written(star_edges(dealt, ["proj", "own", "i", "j"], limit, 1 << 62), "large-links")
+    dealt = dealt.select("fp", *keys, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    more = common.written(star_edges(dealt, [*keys, "i", "j"], limit, 1 << 62), "large-links")
     return pairs.unionByName(more.select("a", "b"))
 
 

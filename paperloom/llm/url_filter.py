@@ -2,8 +2,8 @@
 
 Trust starts from hosts with allowed pages and follows links; distrust starts from hosts with blocked pages and follows
 links backwards, to those that point there. Both are personalised PageRank over host edges (links between pages of two
-hosts, weighted by their number), a join and an aggregation a round, written to the shared folder between rounds. A seed's
-mass is the share of its pages that a rule decides, so a rank of 1 is that of a host decided whole, before what links add.
+hosts, weighted by their number), a join and an aggregation a round, written to the shared folder between rounds, until
+no rank can be off by more than ``TOLERANCE``. A seed's mass is the share of its pages that a rule decides, so a rank of 1 is that of a host decided whole, before what links add.
 A host is blocked if its distrust is above its trust and reaches ``threshold``.
 
 Pages whose links all stay on their host give no edges; their host's verdict is then that of the seeds, its own pages' share.
@@ -25,6 +25,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Hosts that are broadcast at most; more are joined by shuffle, hot ones salted.
 BROADCAST_HOSTS = 50_000
+#: No rank is off by more: rounds end when all later ones together bring less.
+TOLERANCE = 1e-3
 
 
 def lower_ascii(x: Column) -> Column:
@@ -68,45 +70,52 @@ def link_shares(links: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """Personalised PageRank over seeds (kind, host, mass) and edges (kind, src, dst, share of src's links).
 
-    Ranks are in units of the restart, so a seed that nothing points to keeps its mass. Mass that hosts without links would
-    pass on is dropped. A hub's edges are dealt over salts.
+    A rank is the sum of what arrives in round after round, so a round passes on only what arrived in the last one. The
+    rounds end when all later ones together can't bring more than ``tolerance``, whatever host they meet at: each passes on at
+    most damping times what all hosts got in the one before. So no rank is off by more, however long the chains are; a bound
+    on single hosts' changes would stop while a hub's mass is spread thin. Ranks are in units of the restart, so a seed that
+    nothing points to keeps its mass. Mass that hosts without links would pass on is dropped. A hub's edges are salted.
     """
-    ranks = seeds
     if edges.isEmpty():
-        return ranks
+        return seeds
+    spark = seeds.sparkSession
     node = lambda host: F.concat(F.col("kind"), F.lit(":"), F.col(host))
     from_node = edges.select("kind", node("src").alias("node"), "dst", "share")
     hot = common.hot_keys(from_node.groupBy("node").agg(F.count("*").alias("n")), "node", "n", edges.count())
-    for k in range(rounds):
-        passed = common.join_one(from_node, ranks.select(node("host").alias("node"), "mass"), "node", hot, "dst", "inner")
-        passed = passed.select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
-        old, ranks = ranks, common.written(passed.unionByName(seeds).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "ranks")
-        if k:
-            common.discard(old)
-    return ranks
-
-
-def host_verdicts(pages: DataFrame, damping: float, rounds: int, threshold: float) -> DataFrame:
+    folder, arrived, k = common.fresh_path(spark, "ranks"), seeds, 0
+    while True:
+        passed = common.join_one(from_node, arrived.select(node("host").alias("node"), "mass"), "node", hot, "dst", "inner")
+        passed = passed.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
+        passed.write.option("compression", "zstd").parquet(f"{folder}/round={k}")
+        arrived = spark.read.schema(passed.schema).parquet(f"{folder}/round={k}")
+        total, k = arrived.agg(F.sum("mass")).first()[0], k + 1
+        if (total or 0.0) * damping / (1 - damping) <= tolerance:
+            break
+    rounds = spark.read.schema(passed.schema).parquet(*[f"{folder}/round={i}" for i in range(k)])
+    return seeds.unionByName(rounds).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+
+
+def host_verdicts(pages: DataFrame, damping: float, tolerance: float, threshold: float) -> DataFrame:
     """host, trust, distrust, host_verdict. ``pages`` has host, html and ruled (a rule's verdict or null)."""
     found = common.written(pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"), F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked")), "hosts")
     mass = [found.where(f"{c} > 0").select(F.lit(k).alias("kind"), "host", (F.col(c) / F.col("pages")).alias("mass")) for k, c in (("trust", "allowed"), ("distrust", "blocked"))]
     links = common.written(host_edges(pages), "host-edges")
     edges = common.written(link_shares(links), "host-shares")
-    ranks = propagate(common.written(mass[0].unionByName(mass[1]), "seeds"), edges, damping, rounds)
+    ranks = propagate(common.written(mass[0].unionByName(mass[1]), "seeds"), edges, damping, tolerance)
     by_host = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))
     verdict = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold), "block").otherwise("allow")
     return found.join(by_host, "host", "left").select("host", "pages", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")).withColumn("host_verdict", verdict)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], damping: float = 0.85, tolerance: float = TOLERANCE, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page (columns page_id, url, html)."""
     host, path = url_parts(F.col("url"))
     rule, ruled = match_rules(F.col("host"), F.col("path"), rules)
     split = pages.select("page_id", host.alias("host"), path.alias("path"), "html").withColumns({"rule": rule, "ruled": ruled})
-    hosts = common.written(host_verdicts(split, damping, rounds, threshold), "host-verdicts")
+    hosts = common.written(host_verdicts(split, damping, tolerance, threshold), "host-verdicts")
     named = hosts.select("host", "trust", "distrust", "host_verdict")
     if hosts.count() <= BROADCAST_HOSTS:
         joined = split.drop("html").join(F.broadcast(named), "host", "left")

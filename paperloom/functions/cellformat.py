@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from .exact import fixed, packed_number
 from .text import from_map, once
 
 # Built-in format codes (ECMA-376 18.8.30), without those that depend on the locale.
@@ -80,23 +77,6 @@ def affixes(code: Column) -> tuple[Column, Column]:
     return once(F.regexp_extract(section, r"(?s)^([^#0]*)[#0]", 1), unless_bare), once(F.regexp_extract(section, r"(?s)[#0]([^#0]*)\z", 1), unless_bare)
 
 
-@F.pandas_udf(StringType())
-def fixed(values: pd.Series, digits: pd.Series) -> pd.Series:
-    """Exact decimal value of the double, rounded half away from zero."""
-
-    def one(v, n) -> str | None:
-        if v is None or pd.isna(v) or pd.isna(n):
-            return None
-        return str(Decimal(float(v)).quantize(Decimal(1).scaleb(-int(n)), rounding=ROUND_HALF_UP))
-
-    return pd.Series([one(v, n) for v, n in zip(values, digits, strict=True)], dtype=object)
-
-
-def fixed_native(value: Column, digits: int) -> Column:
-    """The same without Python for values that aren't ties at that digit."""
-    return F.format_string(f"%.{digits}f", value)
-
-
 def grouped(digits: Column) -> Column:
     return F.regexp_replace(digits, r"\B(?=(\d{3})+(?!\d))", ",")
 
@@ -112,7 +92,7 @@ def format_number(value: Column, code: Column, rounded: Column | None = None) ->
 def format_cell(raw: Column, code: Column, date1904: Column) -> Column:
     """A raw cell text as its format shows it; whatever can't be read as a number stays as it is."""
     kind, value = classify(code), F.when(raw.rlike(NUMERIC), F.trim(raw).try_cast("double"))
-    # one call of the only Python step, for both kinds that need it
+    # made once, for both kinds that need it
     digits = fixed(F.when(kind == "percent", value * 100).when(kind == "number", F.abs(value)), decimal_places(code))
     date = serial_to_text(value, date1904, kind == "datetime")
     shown = F.when(kind.isin("date", "datetime"), date).when(kind == "percent", F.concat(digits, F.lit("%"))).when(kind == "number", format_number(value, code, digits))
@@ -133,7 +113,5 @@ def row_number_of(reference: Column) -> Column:
     return F.regexp_extract(reference, r"(\d+)\z", 1).try_cast("int") - 1
 
 
-def rk_integer(rk: Column) -> Column:
-    """Integer branch of a packed number of a binary workbook: the low bits say integer (2) and hundredths (1)."""
-    value = F.shiftright(rk, 2).cast("double")
-    return F.when(rk.bitwiseAND(F.lit(2)) == 2, F.when(rk.bitwiseAND(F.lit(1)) == 1, value / 100).otherwise(value))
+#: A packed number of a binary workbook, integer or the highest bits of a double.
+rk_number = packed_number

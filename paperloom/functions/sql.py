@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from . import cellformat, html, text
+from . import html, text
 
 
 def register(spark: SparkSession) -> list[str]:
     """Register and list the names."""
     found = {
-        "md_nfc": text.nfc, "md_nfkc": text.nfkc, "md_fixed": cellformat.fixed, "html_decode": html.decoded, "html_content": html.main_content,
+        "md_nfc": text.nfc, "md_nfkc": text.nfkc, "html_decode": html.decoded, "html_content": html.main_content,
         "html_sanitize": html.sanitized, "html_to_markdown": html.to_markdown, "page_to_markdown": html.page_markdown,
     }
     for name, f in found.items():

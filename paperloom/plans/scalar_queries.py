@@ -223,16 +223,45 @@ def q_format_classify(spark: SparkSession, d: str) -> DataFrame:
     return t.select("l_orderkey", "l_linenumber", "code", "kind", F.coalesce(C.decimal_places(code), F.lit(0)).cast("long").alias("decimals"), F.coalesce(C.has_thousands(code), F.lit(False)).alias("thousands"), F.when(number & prefix.isNotNull(), prefix).alias("prefix"), F.when(number & suffix.isNotNull(), suffix).alias("suffix"))
 
 
+#: A double below 2**27 as a whole number of 2**-60ths, exactly, and from it the rounded digits: whole numbers all the way.
+ROUNDED_SQL = "(CAST({x} * pow(2, 60) AS HUGEINT) * CAST(pow(10, {places}) AS HUGEINT) * 2 + CAST(pow(2, 60) AS HUGEINT)) // CAST(pow(2, 61) AS HUGEINT)"
+#: Amounts with many digits; odd numbers over a power of two, ties among them; decimals that end with a five, which no double is.
+AMOUNTS = "CASE l_linenumber % 3 WHEN 0 THEN l_extendedprice * l_discount * (1 + l_tax) WHEN 1 THEN (2 * l_partkey + 1) / pow(2, 1 + l_orderkey % 6) ELSE (l_partkey * 10 + 5) / CAST(1000 AS DOUBLE) END"
+PLACES = "CAST(CASE l_linenumber % 3 WHEN 2 THEN 2 ELSE l_orderkey % 5 END AS INT)"
+
+
 @query(f"""WITH {CODES_SQL},
-n AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS sign, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM f WHERE kind = 'number' AND decimals = 2),
-b AS (SELECT *, CASE WHEN thousands THEN ltrim(format('{{:,}}', cents // 100)) ELSE CAST(cents // 100 AS VARCHAR) END || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS body FROM n)
-SELECT l_orderkey, l_linenumber, code, CASE WHEN sign < 0 AND cents > 0 THEN '-' ELSE '' END || prefix || body || suffix AS shown FROM b""")
+v AS (SELECT *, l_extendedprice * (1 - l_discount) AS x, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '' END AS sign FROM f WHERE kind = 'number'),
+n AS (SELECT *, {ROUNDED_SQL.format(x="x", places="decimals")} AS n, CAST(pow(10, decimals) AS HUGEINT) AS unit FROM v),
+b AS (SELECT *, CASE WHEN thousands THEN ltrim(format('{{:,}}', CAST(n // unit AS BIGINT))) ELSE CAST(n // unit AS VARCHAR) END || CASE WHEN decimals > 0 THEN '.' || lpad(CAST(n % unit AS VARCHAR), CAST(decimals AS INT), '0') ELSE '' END AS body FROM n)
+SELECT l_orderkey, l_linenumber, code, CASE WHEN x > 0 THEN sign ELSE '' END || prefix || body || suffix AS shown FROM b""")
 def q_format_number(spark: SparkSession, d: str) -> DataFrame:
-    t = coded(spark, d).where((C.classify(F.col("code")) == "number") & (C.decimal_places(F.col("code")) == 2))
-    value = F.round("l_extendedprice", 2) * F.expr("CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END")
+    """Amounts of all rows whose code is a number's, with as many places as it says: nearly all need rounding."""
+    t = coded(spark, d).where(C.classify(F.col("code")) == "number")
+    value = F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.expr("CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END")
     return t.select("l_orderkey", "l_linenumber", "code", C.format_number(value, F.col("code")).alias("shown"))
 
 
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, {AMOUNTS} AS x, {PLACES} AS places FROM lineitem),
+n AS (SELECT *, {ROUNDED_SQL.format(x="x", places="places")} AS n, CAST(pow(10, places) AS HUGEINT) AS unit FROM v)
+SELECT l_orderkey, l_linenumber, places, CASE WHEN l_orderkey % 2 = 0 AND x > 0 THEN '-' ELSE '' END || CAST(n // unit AS VARCHAR) || CASE WHEN places > 0 THEN '.' || lpad(CAST(n % unit AS VARCHAR), places, '0') ELSE '' END AS shown FROM n""")
+def q_exact_rounding(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"CASE WHEN l_orderkey % 2 = 0 THEN -1 ELSE 1 END * ({AMOUNTS}) AS x", f"{PLACES} AS places")
+    return t.select("l_orderkey", "l_linenumber", "places", C.fixed(F.col("x"), F.col("places")).alias("shown"))
+
+
+#: Sign, exponent and mantissa of packed doubles, and their flag for hundredths; every third row holds an integer.
+PACKED = "l_orderkey % 2 AS s, 1003 + l_partkey % 41 AS e, (l_orderkey * 7919 + l_linenumber * 104729) % 262144 AS m, l_linenumber % 2 AS hundredths, (l_orderkey + l_linenumber) % 3 = 0 AS whole, (l_partkey * 37 + l_orderkey) % 536870912 * CASE WHEN l_orderkey % 2 = 1 THEN -1 ELSE 1 END AS i"
+
+
+@query(f"""WITH v AS (SELECT l_orderkey, l_linenumber, {PACKED} FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN whole THEN CAST(i AS DOUBLE) ELSE CASE WHEN s = 1 THEN -1 ELSE 1 END * (1 + m / CAST(262144 AS DOUBLE)) * pow(2, e - 1023) END / CASE WHEN hundredths = 1 THEN CAST(100 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS value FROM v""")
+def q_packed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *PACKED.split(", "))
+    bits = F.expr("CASE WHEN whole THEN i * 4 + 2 + hundredths ELSE s * -2147483648 + e * 1048576 + m * 4 + hundredths END")
+    return t.select("l_orderkey", "l_linenumber", C.rk_number(bits.cast("int")).alias("value"))
+
+
 @query("""
 WITH t AS (SELECT o_orderkey, date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE)) + (o_orderkey % 24) / 24.0 AS serial, o_orderkey % 7 = 0 AS old FROM orders
   UNION ALL SELECT -p_partkey, CAST(p_partkey % 100 AS DOUBLE), false FROM part)
@@ -271,4 +300,4 @@ def q_cell_references(spark: SparkSession, d: str) -> DataFrame:
     reference = F.expr("concat(CASE WHEN p_size <= 26 THEN char(64 + p_size) ELSE concat(char(64 + (p_size - 1) div 26), char(65 + (p_size - 1) % 26)) END, cast(p_partkey as string))")
     t = table(spark, d, "part").withColumn("reference", reference)
     rk = (F.col("p_partkey").cast("int") * 4) + 2 + F.col("p_size") % 2
-    return t.select("p_partkey", "reference", C.column_number(F.col("reference")).alias("col"), C.row_number_of(F.col("reference")).cast("long").alias("row"), C.error_text(F.col("p_size") % 8).alias("error"), C.rk_integer(rk.cast("int")).alias("packed"))
+    return t.select("p_partkey", "reference", C.column_number(F.col("reference")).alias("col"), C.row_number_of(F.col("reference")).cast("long").alias("row"), C.error_text(F.col("p_size") % 8).alias("error"), C.rk_number(rk.cast("int")).alias("packed"))

@@ -83,20 +83,28 @@ def grouped(digits: Column) -> Column:
 
 def format_number(value: Column, code: Column, rounded: Column | None = None) -> Column:
     """sign, prefix, digits, suffix. ``rounded``: the absolute value's digits if they're made otherwise."""
-    body = fixed(F.abs(value), decimal_places(code)) if rounded is None else rounded
-    whole, rest = F.substring_index(body, ".", 1), F.when(body.contains("."), F.concat(F.lit("."), F.substring_index(body, ".", -1))).otherwise("")
     prefix, suffix = affixes(code)
-    return F.concat(F.when(value < 0, "-").otherwise(""), prefix, F.when(has_thousands(code), grouped(whole)).otherwise(whole), rest, suffix)
+
+    def split(body: Column) -> Column:
+        whole, rest = F.substring_index(body, ".", 1), F.when(body.contains("."), F.concat(F.lit("."), F.substring_index(body, ".", -1))).otherwise("")
+        return F.concat(F.when(has_thousands(code), grouped(whole)).otherwise(whole), rest)
+
+    digits = once(fixed(F.abs(value), decimal_places(code)) if rounded is None else rounded, split)
+    return F.concat(F.when(value < 0, "-").otherwise(""), prefix, digits, suffix)
 
 
 def format_cell(raw: Column, code: Column, date1904: Column) -> Column:
     """A raw cell text as its format shows it; whatever can't be read as a number stays as it is."""
-    kind, value = classify(code), F.when(raw.rlike(NUMERIC), F.trim(raw).try_cast("double"))
-    # made once, for both kinds that need it
-    digits = fixed(F.when(kind == "percent", value * 100).when(kind == "number", F.abs(value)), decimal_places(code))
-    date = serial_to_text(value, date1904, kind == "datetime")
-    shown = F.when(kind.isin("date", "datetime"), date).when(kind == "percent", F.concat(digits, F.lit("%"))).when(kind == "number", format_number(value, code, digits))
-    return F.when(value.isNull(), raw).otherwise(F.coalesce(shown, raw))
+
+    def by_kind(v: Column) -> Column:
+        kind, value = v["kind"], v["value"]
+        date = serial_to_text(value, date1904, kind == "datetime")
+        percent = F.concat(fixed(value * 100, decimal_places(code)), F.lit("%"))
+        return F.when(kind.isin("date", "datetime"), date).when(kind == "percent", percent).when(kind == "number", format_number(value, code))
+
+    number = F.when(raw.rlike(NUMERIC), F.trim(raw).try_cast("double"))
+    shown = once(F.struct(classify(code).alias("kind"), number.alias("value")), lambda v: F.when(v["value"].isNotNull(), by_kind(v)))
+    return F.coalesce(shown, raw)
 
 
 def error_text(code: Column) -> Column:

@@ -125,20 +125,25 @@ def fixed(value: Column, places: Column) -> Column:
 
     From 1e21 on: the shortest digits that name the double, with an exponent, whatever the places.
     """
-    places = F.greatest(places.cast("int"), F.lit(0))
-
-    def positive(x: Column) -> Column:
-        def by_size(p: Column) -> Column:
-            m, k = p["m"], p["k"]
-            fits = (k <= 62) & (F.least(k, F.lit(56)) + F.ceil(places * 3.33) <= 61)
-            zeros = F.repeat(F.lit("0"), places)
-            return F.when(k <= 0, joined(whole_number(m, k), zeros, places)).when(fits, by_longs(m, k, places)).otherwise(by_limbs(m, k, places))
 
+    def of(v: Column) -> Column:
+        x, n, parts = v["x"], v["n"], v["parts"]
+        m, k = parts["m"], parts["k"]
+        zeros = F.repeat(F.lit("0"), n)
+        fits = (k <= 62) & (F.least(k, F.lit(56)) + F.ceil(n * 3.33) <= 61)
+        digits = F.when(k <= 0, joined(whole_number(m, k), zeros, n)).when(fits, by_longs(m, k, n)).otherwise(by_limbs(m, k, n))
         shortest = F.regexp_replace(F.regexp_replace(x.cast("string"), "E", "e+"), r"\.0e", "e")
-        return F.when(x == 0, joined(F.lit("0"), F.repeat(F.lit("0"), places), places)).when(x >= EXPONENT_FROM, shortest).otherwise(once(taken_apart(x), by_size))
+        shown = F.when(x == 0, joined(F.lit("0"), zeros, n)).when(x >= EXPONENT_FROM, shortest).otherwise(digits)
+        return F.when(~F.isnan(x) & (x < float("inf")) & n.isNotNull(), F.concat(F.when(v["below"], "-").otherwise(""), shown))
+
+    # what is used more than once is bound to a variable first: the value, the places, the parts
+    bound = F.struct(F.abs(value).alias("x"), (value < 0).alias("below"), F.greatest(places.cast("int"), F.lit(0)).alias("n"))
+
+    def with_parts(v: Column) -> Column:
+        usual = (v["x"] > 0) & (v["x"] < EXPONENT_FROM)
+        return once(F.struct(v["x"].alias("x"), v["below"].alias("below"), v["n"].alias("n"), F.when(usual, taken_apart(v["x"])).alias("parts")), of)
 
-    usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    return F.when(usable & places.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), once(F.abs(value), positive)))
+    return F.when(value.isNotNull() & places.isNotNull(), once(bound, with_parts))
 
 
 def packed_number(rk: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,14 @@ def filesystem(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return fs.FileSystem.from_uri(uri)
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new place in the folder that driver and executors share, ``spark.checkpoint.dir``. Only a local session may leave that unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = f"file:///tmp/checkpoints/paperloom-{spark.sparkContext.applicationId}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{qualified(spark, found).rstrip('/')}/{label}-{uuid.uuid4().hex}"

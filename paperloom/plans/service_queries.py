@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.routing import asset_url, conflict_path
 from ..operators import conversions as V
+from ..operators import store as S
+from ..sources.storage import fresh_path
 from .registry import query, table
 from .table_queries import CELLS_SQL, flagged
 
@@ -108,3 +112,23 @@ def q_text_segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "orders").select("o_orderkey").join(cells, "o_orderkey", "left")
     docs = docs.select("o_orderkey", F.array(F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("text"), "cells")).alias("paragraphs"))
     return V.segments(docs, ["o_orderkey"])
+
+
+@query("""
+WITH t AS (SELECT doc_id, sha256(coalesce(text, '')) AS conversion_id, lang FROM documents),
+gone AS (SELECT DISTINCT conversion_id FROM t WHERE doc_id % 5 = 0),
+back AS (SELECT DISTINCT conversion_id FROM t WHERE lang = 'fr')
+SELECT conversion_id, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT conversion_id FROM t) WHERE conversion_id NOT IN (FROM gone) OR conversion_id IN (FROM back)""")
+def q_store_writers(spark: SparkSession, d: str) -> DataFrame:
+    """What a store lists after two writers at once, a deletion, a third batch and a compaction: each identifier once."""
+    content = F.coalesce("text", F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", "lang", S.conversion_id(content, F.lit(False)).alias("conversion_id"), content.alias("markdown"))
+    schema, path = "conversion_id string, doc_id long, markdown string", fresh_path(spark, "store")
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(S.ConversionStore(spark, path, schema).put, docs.where(f"doc_id % 3 <> {k}")) for k in (0, 1)]:
+            done.result()
+    store = S.ConversionStore(spark, path, schema)
+    store.delete(docs.where("doc_id % 5 = 0"))
+    store.put(docs.where("lang = 'fr'"))
+    store.compact()
+    return store.list().groupBy("conversion_id").agg(F.count("*").alias("n"))

@@ -141,7 +141,7 @@ class ConversionStore:
 
     def _write(self, name: str, rows: DataFrame, batch: str) -> None:
         # a folder of its own, so that writers don't share the place of unfinished files
-        rows.withColumn("shard", shard(F.col("conversion_id"))).write.mode("append").partitionBy("shard").parquet(f"{self.path}/{name}/batch={batch}")
+        rows.withColumn("shard", shard(F.col("conversion_id"))).hint("rebalance", "shard").write.mode("append").partitionBy("shard").parquet(f"{self.path}/{name}/batch={batch}")
 
     def _new(self, rows: DataFrame, entries: list[dict]) -> DataFrame:
         """Rows that aren't stored by these entries: of an error, neither a conversion nor another error is."""

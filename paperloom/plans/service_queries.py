@@ -140,7 +140,7 @@ QUEUE_EVENT = "split_part('enqueue,start,done,start,fail,fail,skip,cancel,start,
 
 
 @query(f"""
-WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS item, epoch_ms(ts) AS at, {QUEUE_EVENT} AS event, event_type AS error, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS item, epoch_ms(ts) AS ms, {QUEUE_EVENT} AS event, event_type AS error, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 s AS (
   SELECT item, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS status, 0 AS attempts, CAST(NULL AS BIGINT) AS started, CAST(NULL AS VARCHAR) AS error FROM (SELECT DISTINCT item FROM e)
   UNION ALL
@@ -148,14 +148,14 @@ s AS (
     CASE WHEN event = 'enqueue' AND coalesce(status, 'done') IN ('done', 'error', 'cancelled') THEN 'pending' WHEN event = 'start' AND status = 'pending' THEN 'converting' WHEN event = 'done' AND status = 'converting' THEN 'done'
       WHEN event = 'fail' AND status = 'converting' THEN CASE WHEN attempts <= 2 THEN 'pending' ELSE 'error' END WHEN event = 'skip' AND status = 'converting' THEN 'pending' WHEN event = 'cancel' AND status = 'pending' THEN 'cancelled' ELSE status END,
     CASE WHEN event = 'enqueue' AND coalesce(status, 'done') IN ('done', 'error', 'cancelled') THEN 0 WHEN event = 'start' AND status = 'pending' THEN attempts + 1 WHEN event = 'skip' AND status = 'converting' THEN attempts - 1 ELSE attempts END,
-    CASE WHEN event = 'start' AND status = 'pending' THEN at WHEN event IN ('done', 'fail', 'skip') AND status = 'converting' THEN NULL ELSE started END,
+    CASE WHEN event = 'start' AND status = 'pending' THEN ms WHEN event IN ('done', 'fail', 'skip') AND status = 'converting' THEN NULL ELSE started END,
     CASE WHEN event = 'fail' AND status = 'converting' THEN why WHEN event = 'enqueue' AND coalesce(status, 'done') IN ('done', 'error', 'cancelled') OR event = 'start' AND status = 'pending' OR event IN ('done', 'skip') AND status = 'converting' OR event = 'cancel' AND status = 'pending' THEN NULL ELSE error END
-  FROM (SELECT s.item, e.k, e.at, e.event, e.error AS why,
+  FROM (SELECT s.item, e.k, e.ms, e.event, e.error AS why,
           CASE WHEN late THEN CASE WHEN attempts <= 2 THEN 'pending' ELSE 'error' END ELSE status END AS status, attempts, CASE WHEN late THEN NULL ELSE started END AS started, CASE WHEN late THEN 'timeout' ELSE s.error END AS error
-        FROM (SELECT s.*, e.k AS next, s.status = 'converting' AND s.started + 86400000 <= e.at AS late FROM s JOIN e ON e.item = s.item AND e.k = s.k + 1) s JOIN e ON e.item = s.item AND e.k = s.next)
+        FROM (SELECT s.*, e.k AS next, s.status = 'converting' AND s.started + 86400000 <= e.ms AS late FROM s JOIN e ON e.item = s.item AND e.k = s.k + 1) s JOIN e ON e.item = s.item AND e.k = s.next)
 ),
 last AS (SELECT item, status, attempts, started, error FROM s WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item ORDER BY k DESC) = 1),
-final AS (SELECT *, status = 'converting' AND started + 86400000 <= (SELECT max(at) FROM e) AS late FROM last)
+final AS (SELECT *, status = 'converting' AND started + 86400000 <= (SELECT max(ms) FROM e) AS late FROM last)
 SELECT item, CASE WHEN late THEN CASE WHEN attempts <= 2 THEN 'pending' ELSE 'error' END ELSE status END AS status, attempts, CASE WHEN late THEN 'timeout' ELSE error END AS error FROM final""")
 def q_queue_states(spark: SparkSession, d: str) -> DataFrame:
     """Last states of a queue's items, with retries and a timeout of a day."""

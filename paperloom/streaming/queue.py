@@ -49,9 +49,9 @@ def states(events: DataFrame, rules: Rules = Rules(), until: Column | None = Non
     ``until`` is the latest event's time by default. A fold over each item's events in the JVM.
     """
     if until is None:
-        until = F.lit(events.agg(F.max("ts")).first()[0]).cast("timestamp")
+        until = F.timestamp_millis(F.lit(events.agg(F.unix_millis(F.max(F.col("ts").cast("timestamp")))).first()[0]).cast("long"))
     now = F.unix_millis(until)
-    grouped = events.groupBy("item").agg(F.max(now).alias("_now"), F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("at"), "seq", "event", "error"))).alias("_e"))
+    grouped = events.groupBy("item").agg(F.max(now).alias("_now"), F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "seq", "event", "error"))).alias("_e"))
 
     def made(status, attempts, started, error, changed) -> Column:
         lit = lambda x, t: (x if isinstance(x, Column) else F.lit(x)).cast(t)
@@ -156,7 +156,7 @@ def stream_states(events: DataFrame, delay: str, rules: Rules = Rules()) -> Data
             rows = [(key[0], s, a, e, pd.Timestamp(at, unit="ms", tz="UTC"), v) for s, a, e, at, v in item.changes]
             yield pd.DataFrame(rows, columns=["item", "status", "attempts", "error", "changed", "version"])
 
-    keyed = events.withWatermark("ts", delay).select("item", "ts", F.unix_millis("ts").alias("at"), "seq", "event", "error")
+    keyed = events.withWatermark("ts", delay).select("item", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "seq", "event", "error")
     return keyed.groupBy("item").applyInPandasWithState(run, STATE, "kept string", "update", "EventTimeTimeout")
 
 

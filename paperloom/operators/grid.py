@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 MAX_ROWS, MAX_COLS = 5000, 200
 LEFT, UP = "←", "↑"
 
@@ -114,3 +116,90 @@ def style_formats(cells: DataFrame, styles: DataFrame, formats: DataFrame, keys:
     """Format id (default 0) and the workbook's own code of each cell's style."""
     known = cells.join(styles, [*keys, "style"], "left").withColumn("format_id", F.coalesce("format_id", F.lit(0)))
     return known.join(formats, [*keys, "format_id"], "left")
+
+
+def before(marked: Column, x: Column) -> Column:
+    """How many entries of a sorted array are below x: found by halving."""
+
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = (acc["lo"] < acc["hi"]) & (F.get(marked, mid) < x)
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when((acc["lo"] < acc["hi"]) & ~right, mid).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(marked) + F.lit(1))).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(marked).alias("hi")), half, lambda acc: acc["lo"])
+    return F.when(F.size(marked) == 0, F.lit(0)).otherwise(found)
+
+
+def sparse_visible(cells: DataFrame, merges: DataFrame, keys: list[str], rows: int = MAX_ROWS, cols: int = MAX_COLS) -> tuple[DataFrame, DataFrame]:
+    """(row, col, text of what shows; rows, cols, hidden_rows, hidden_cols of each sheet) without listing a sheet's positions.
+
+    ``cells`` are those that a sheet has, with row_hidden and col_hidden; other rows and columns show. A sheet ends with its
+    last text. A position's place among those that show is its index less the hidden ones before it, of which a sheet has a
+    sorted array. What lies beyond the caps isn't kept. Positions that a merge covers have arrows; the first that shows has
+    its origin's text. So one cell in the last corner of a sheet costs one row.
+    """
+    filled = F.when(F.col("text") != "", F.lit(True))
+    info = cells.groupBy(*keys).agg(
+        F.max(F.when(filled, F.col("row"))).alias("last_row"), F.max(F.when(filled, F.col("col"))).alias("last_col"),
+        *[F.array_sort(F.collect_set(F.when(F.col(f"{x}_hidden"), F.col(x)))).alias(f"_{x}s") for x in ("row", "col")],
+    ).where("last_row IS NOT NULL")
+    sizes = info
+    for x, most, out in (("row", rows, "rows"), ("col", cols, "cols")):
+        hidden = before(F.col(f"_{x}s"), F.col(f"last_{x}") + 1)
+        sizes = sizes.withColumn(f"hidden_{out}", hidden.cast("long")).withColumn(out, F.least(F.lit(most), F.col(f"last_{x}") + 1 - F.col(f"hidden_{out}").cast("int")))
+    inside = cells.join(info, keys).where("row <= last_row AND col <= last_col")
+    shown = lambda x, at: at - before(F.col(f"_{x}s"), at)
+    texts = inside.where(~F.col("row_hidden") & ~F.col("col_hidden")).select(*keys, shown("row", F.col("row")).alias("row"), shown("col", F.col("col")).alias("col"), "text", F.lit(0).alias("_by"))
+    m = merges.where("r2 >= r1 AND c2 >= c1").join(info, keys).where("r1 <= last_row AND c1 <= last_col")
+    # from the first position that shows to before the first beyond the merge
+    placed = m.select(
+        *keys, "r1", "c1", shown("row", F.col("r1")).alias("a1"), F.least(F.lit(rows), shown("row", F.least("r2", "last_row") + 1)).alias("a2"),
+        shown("col", F.col("c1")).alias("b1"), F.least(F.lit(cols), shown("col", F.least("c2", "last_col") + 1)).alias("b2"),
+    ).where("a2 > a1 AND b2 > b1")
+    origin = cells.select(*keys, F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("text").alias("_text"))
+    placed = placed.join(origin, [*keys, "r1", "c1"], "left")
+    each = placed.withColumn("row", F.explode(F.sequence("a1", F.col("a2") - 1))).withColumn("col", F.explode(F.sequence("b1", F.col("b2") - 1)))
+    text = F.when(F.col("row") > F.col("a1"), UP).when(F.col("col") > F.col("b1"), LEFT).otherwise(F.coalesce("_text", F.lit("")))
+    both = texts.where((F.col("row") < rows) & (F.col("col") < cols)).unionByName(each.select(*keys, "row", "col", text.alias("text"), F.lit(1).alias("_by")))
+    one = both.groupBy(*keys, "row", "col").agg(F.max_by("text", "_by").alias("text"))
+    return one, sizes.select(*keys, "rows", "cols", "hidden_rows", "hidden_cols")
+
+
+def sparse_tables(cells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, markdown: sheets of ``rows`` and ``cols`` as pipe tables, cells and the gaps between them written as such."""
+    near = cells.join(sizes.where("rows > 0 AND cols > 0").select(*keys, "rows", "cols"), keys).where("row < rows AND col < cols")
+    gap = lambda n: F.repeat(F.lit("|  "), n)
+
+    def line(sorted_cells: Column, cols: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(sorted_cells, i - 1)["col"]).otherwise(-1)
+            return F.concat(gap(x["col"] - before - 1), F.lit("| "), x["t"], F.lit(" "))
+
+        rest = cols - 1 - F.get(sorted_cells, F.size(sorted_cells) - 1)["col"]
+        return F.concat(F.array_join(F.transform(sorted_cells, piece), ""), gap(rest), F.lit("|"))
+
+    own = F.array_sort(F.collect_list(F.struct("col", cell_text(F.col("text")).alias("t"))))
+    lines = near.groupBy(*keys, "row").agg(own.alias("_c"), F.max("cols").alias("_cols")).select(*keys, "row", line(F.col("_c"), F.col("_cols")).alias("line"))
+    made = sizes.where("rows > 0 AND cols > 0").join(lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("_l")), keys, "left")
+    empty = F.array().cast("array<struct<row:int,line:string>>")
+
+    def body(sorted_lines: Column) -> Column:
+        blank = F.concat(gap(F.col("cols")), F.lit("|"))
+        rule = F.concat(F.repeat(F.lit("| --- "), F.col("cols")), F.lit("|\n"))
+        fill = lambda n: F.repeat(F.concat(blank, F.lit("\n")), n)
+        # the rule stands behind the first row: what lies from there on is written after it
+        first = F.when((F.size(sorted_lines) > 0) & (F.get(sorted_lines, F.lit(0))["row"] == 0), F.get(sorted_lines, F.lit(0))["line"]).otherwise(blank)
+        later = F.filter(sorted_lines, lambda x: x["row"] > 0)
+
+        def rows(later: Column) -> Column:
+            def piece(x: Column, i: Column) -> Column:
+                before = F.when(i > 0, F.get(later, i - 1)["row"]).otherwise(0)
+                return F.concat(fill(x["row"] - before - 1), x["line"], F.lit("\n"))
+
+            last = F.coalesce(F.get(later, F.size(later) - 1)["row"], F.lit(0))
+            return F.concat(F.array_join(F.transform(later, piece), ""), fill(F.col("rows") - 1 - last))
+
+        return F.concat(first, F.lit("\n"), rule, once(later, rows))
+
+    return made.select(*keys, F.rtrim(once(F.coalesce("_l", empty), body), F.lit("\n")).alias("markdown"))

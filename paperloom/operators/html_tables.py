@@ -188,21 +188,33 @@ def grids(cells: DataFrame, keys: list[str]) -> DataFrame:
     return each.select(*keys, "row", F.posexplode(filled).alias("col", "text"))
 
 
+def deepest(documents: DataFrame, text: str) -> int:
+    """Levels that have to be resolved: the deepest nesting, NESTING + 2 at most; one pass without a shuffle, one number."""
+
+    def step(acc: Column, tag: Column) -> Column:
+        now = F.when(tag.startswith("</"), F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"] + 1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    depth = F.aggregate(F.regexp_extract_all(text, F.lit(r"(?i)</?table(?=[\s/>])"), 0), start, step, lambda acc: acc["most"])
+    return min(NESTING + 2, documents.where(F.col(text).isNotNull()).agg(F.max(depth)).first()[0] or 0)
+
+
 def tables(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
     """Outermost tables of each document as rectangles: doc, top (from 1), row, col, text."""
-    return grids(top_cells(placed_tags(documents, doc, text), doc), [*doc, "top"])
+    levels = max(1, deepest(documents, text))
+    return grids(top_cells(placed_tags(documents, doc, text, levels), doc, levels), [*doc, "top"])
 
 
 def normalized(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """doc and the text with each outermost table as a pipe table; all else stays as it is."""
+    """doc and the text with each outermost table as a pipe table; one without rows, and all else, stays as it is."""
     some = documents.where(F.col(text).rlike(r"(?i)<table[\s>]"))
-    placed = placed_tags(some, doc, text)
-    whole = placed.withColumn("_closed", F.coalesce(F.max("ends").over(Window.partitionBy(*doc, "top")), F.lit(False)))
-    within = F.col("_closed") & (F.col("top") > 0)
-    outside = F.when(within & (F.col("depth") >= 1), "").when(within & F.col("ends"), F.col("after")).otherwise(F.concat("tag", "after"))
-    pieces = whole.select(*doc, "k", outside.alias("piece"), F.when(within & F.col("opens") & (F.col("depth") == 1), F.col("top")).alias("top"))
-    written = pipe_tables(grids(top_cells(placed, doc), [*doc, "top"]), [*doc, "top"])
-    joined = pieces.join(written, [*doc, "top"], "left").withColumn("piece", F.coalesce("markdown", "piece"))
-    made = joined.groupBy(*doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("_made"))
+    levels = max(1, deepest(some, text))
+    placed = placed_tags(some, doc, text, levels)
+    written = pipe_tables(grids(top_cells(placed, doc, levels), [*doc, "top"]), [*doc, "top"])
+    begins, within = F.col("opens") & (F.col("depth") == 1), F.col("markdown").isNotNull()
+    in_table = (F.col("depth") >= 1) & (F.col("top") > 0)
+    piece = F.when(within & begins, F.col("markdown")).when(within & in_table, "").when(within & F.col("ends"), F.col("after")).otherwise(F.concat("tag", "after"))
+    pieces = placed.select(*doc, "top", "k", "tag", "after", "depth", "opens", "ends").join(written, [*doc, "top"], "left").select(*doc, "k", piece.alias("piece"))
+    made = pieces.groupBy(*doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("_made"))
     return documents.select(*doc, text).join(made, doc, "left").select(*doc, F.coalesce("_made", text).alias(text))
-

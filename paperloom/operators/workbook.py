@@ -16,30 +16,17 @@ def texts(cells: DataFrame) -> DataFrame:
     return cells.where("error IS NULL").withColumn("text", F.coalesce(format_cell(F.col("raw"), F.col("format_code"), F.coalesce("date1904", F.lit(False))), F.lit("")))
 
 
-def projected_merges(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges in coordinates of what shows; single positions are none."""
-    rows, cols = G.visible_index(cells, keys, "row", "row_hidden"), G.visible_index(cells, keys, "col", "col_hidden")
-    left = G.merge_cells(merges).select(*keys, "row", "col", F.col("r1").alias("_r"), F.col("c1").alias("_c")).join(rows, [*keys, "row"]).join(cols, [*keys, "col"])
-    spans = left.groupBy(*keys, "_r", "_c").agg(F.min("new_row").alias("r1"), F.min("new_col").alias("c1"), F.max("new_row").alias("r2"), F.max("new_col").alias("c2"))
-    return spans.where("r1 < r2 OR c1 < c2").select(*keys, "r1", "c1", "r2", "c2")
-
-
 def render(cells: DataFrame, merges: DataFrame, include_hidden: bool = False) -> DataFrame:
     """path, markdown, hidden_sheets, hidden_rows, hidden_cols: counts are of what was left out, after trimming."""
     seen = texts(cells)
     names = seen.select(*KEYS, "sheet_name", "sheet_hidden").distinct()
     kept = seen if include_hidden else seen.where(~F.col("sheet_hidden"))
-    flags = ["row_hidden", "col_hidden"]
-    row_flags = kept.groupBy(*KEYS, "row").agg(F.max("row_hidden").alias("row_hidden"))
-    col_flags = kept.groupBy(*KEYS, "col").agg(F.max("col_hidden").alias("col_hidden"))
-    full = G.dense(G.trimmed(kept.select(*KEYS, "row", "col", "text"), KEYS), KEYS).join(row_flags, [*KEYS, "row"], "left").join(col_flags, [*KEYS, "col"], "left")
-    for f in flags:
-        full = full.withColumn(f, F.lit(False) if include_hidden else F.coalesce(f, F.lit(False)))
-    shown = G.project_visible(full, KEYS, merges).select(*KEYS, "row", "col", "text")
-    arrows = G.merge_arrows(G.capped(shown), projected_merges(full, merges, KEYS), KEYS)
-    tables = G.pipe_tables(arrows, KEYS).join(names, KEYS)
+    for f in ("row_hidden", "col_hidden"):
+        kept = kept.withColumn(f, F.lit(False) if include_hidden else F.coalesce(f, F.lit(False)))
+    shown, sizes = G.sparse_visible(kept.select(*KEYS, "row", "col", "text", "row_hidden", "col_hidden"), merges, KEYS)
+    tables = G.sparse_tables(shown, sizes, KEYS).join(names, KEYS)
     section = F.concat(F.lit("## "), "sheet_name", F.lit("\n\n"), "markdown")
     whole = tables.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", section.alias("s")))), lambda x: x["s"]), "\n\n").alias("markdown"))
-    hidden = G.hidden_counts(full, KEYS).groupBy("path").agg(F.sum("hidden_rows").alias("hidden_rows"), F.sum("hidden_cols").alias("hidden_cols"))
+    hidden = sizes.groupBy("path").agg(F.sum("hidden_rows").alias("hidden_rows"), F.sum("hidden_cols").alias("hidden_cols"))
     sheets = names.groupBy("path").agg(F.count_if("sheet_hidden").alias("hidden_sheets"))
     return whole.join(hidden, "path", "left").join(sheets, "path", "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.routing import asset_url, conflict_path
 from ..operators import conversions as V
+from ..operators import names as N
 from ..operators import store as S
 from ..sources.storage import fresh_path
 from ..streaming import queue as Q
@@ -161,3 +162,19 @@ def q_queue_states(spark: SparkSession, d: str) -> DataFrame:
     """Last states of a queue's items, with retries and a timeout of a day."""
     events = table(spark, d, "events").selectExpr("cast(user_id as string) AS item", "ts", "event_id AS seq", f"{QUEUE_EVENT} AS event", "event_type AS error")
     return Q.states(events, Q.Rules(timeout=86_400_000)).select("item", "status", "attempts", "error")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, 'out/' || o_orderpriority || CASE WHEN o_custkey % 5 = 0 THEN ' (2)' ELSE '' END || '.md' AS path, CASE WHEN o_orderkey % 11 = 0 THEN 'skip' ELSE 'rename' END AS policy FROM orders),
+taken AS (SELECT DISTINCT path FROM (SELECT 'out/' || o_orderpriority || ' (' || o_orderkey % 40 * 3 || ').md' AS path FROM orders UNION ALL SELECT 'out/1-URGENT.md')),
+firsts AS (SELECT path, min(o_orderkey) AS k FROM r WHERE path NOT IN (FROM taken) GROUP BY 1),
+used AS (SELECT path FROM taken UNION SELECT path FROM firsts),
+rest AS (SELECT r.path, count(*) AS n FROM r LEFT JOIN firsts f ON f.path = r.path AND f.k = r.o_orderkey WHERE f.k IS NULL AND policy = 'rename' GROUP BY 1),
+free AS (SELECT path, n, k, row_number() OVER (PARTITION BY path ORDER BY k) AS place FROM (SELECT path, n, unnest(range(1, n + 200)) AS k FROM rest) WHERE regexp_replace(path, '[.]md$', ' (' || k || ').md') NOT IN (FROM used))
+SELECT regexp_replace(path, '[.]md$', ' (' || k || ').md') AS target FROM free WHERE place <= n UNION ALL SELECT path FROM firsts""")
+def q_free_names(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of a batch in which few names are asked for by all rows, some of whose numbers are taken."""
+    orders = table(spark, d, "orders")
+    asked = orders.selectExpr("o_orderkey AS order", "'out/' || o_orderpriority || CASE WHEN o_custkey % 5 = 0 THEN ' (2)' ELSE '' END || '.md' AS path", "CASE WHEN o_orderkey % 11 = 0 THEN 'skip' ELSE 'rename' END AS policy")
+    taken = orders.selectExpr("'out/' || o_orderpriority || ' (' || cast(o_orderkey % 40 * 3 as string) || ').md' AS path").unionByName(spark.createDataFrame([("out/1-URGENT.md",)], "path string"))
+    return N.allotted(asked, taken).where("target IS NOT NULL").select("target")

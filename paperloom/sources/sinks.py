@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.routing import images_folder, markdown_path
+from ..operators.names import allotted
 from .storage import filesystem, qualified
 
 
@@ -33,11 +34,16 @@ def _put(folder: str, name_column: str, data_column: str):
     return run
 
 
-def write_markdown(conversions: DataFrame, folder: str) -> DataFrame:
-    """One .md file a document that has Markdown. Returns what was written (file, bytes); an action runs it."""
-    named = conversions.where("markdown IS NOT NULL").select(markdown_path(F.col("path"), F.lit("")).alias("_f"), "markdown")
-    named = named.select(F.ltrim(F.col("_f"), F.lit("/")).alias("file"), "markdown")
-    return named.mapInPandas(_put(qualified(conversions.sparkSession, folder), "file", "markdown"), "file string, bytes long")
+def write_markdown(conversions: DataFrame, folder: str, policy: str = "rename", existing: DataFrame | None = None) -> DataFrame:
+    """One .md file a document that has Markdown. Returns what was written (file, bytes); an action runs it.
+
+    Sources that differ in their extension alone, and names that ``existing`` (path, below the folder) has, get names by the
+    policy (``names.allotted``); rows of one source path are one file. A task that runs again writes the same names.
+    """
+    named = conversions.where("markdown IS NOT NULL").select(F.ltrim(markdown_path(F.col("path"), F.lit("")), F.lit("/")).alias("path"), F.col("path").alias("order"), "markdown", F.lit(policy).alias("policy"))
+    taken = named.limit(0).select("path") if existing is None else existing
+    placed = allotted(named, taken).where("target IS NOT NULL").select(F.col("target").alias("file"), "markdown")
+    return placed.mapInPandas(_put(qualified(conversions.sparkSession, folder), "file", "markdown"), "file string, bytes long")
 
 
 def write_images(images: DataFrame, folder: str) -> DataFrame:

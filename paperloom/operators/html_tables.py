@@ -47,17 +47,18 @@ def placed_tags(documents: DataFrame, doc: list[str], text: str, levels: int = N
     t = t.withColumns({"opens": (F.col("name") == "table") & ~F.col("closing"), "_before": F.coalesce(F.lag("depth").over(Window.partitionBy(*doc).orderBy("k")), F.lit(0))})
     t = t.withColumn("ends", (F.col("name") == "table") & F.col("closing") & (F.col("_before") == 1) & (F.col("depth") == 0))
     starts = lambda *names: F.col("name").isin(*names) & ~F.col("closing")
-    counters: dict[str, list[Column]] = {"tab": [], "row": [], "cell": [], "inside": []}
+    counters: dict[str, list[Column]] = {"tab": [], "row": [], "cell": [], "inside": [], "begin": []}
     for d in range(1, levels + 1):
         here = F.col("depth") == d
         counters["tab"].append(F.count_if(F.col("opens") & here).over(order))
         counters["row"].append(F.count_if(starts("tr") & here).over(order))
         counters["cell"].append(F.count_if(starts("td", "th") & here).over(order))
+        counters["begin"].append(F.last(F.when(F.col("opens") & here, F.col("k")), ignorenulls=True).over(order))
         state = F.when(here & starts("td", "th"), True).when(here & (F.col("opens") | F.col("name").isin("tr", "td", "th")), False)
         counters["inside"].append(F.coalesce(F.last(state, ignorenulls=True).over(order), F.lit(False)))
     t = t.withColumns({f"_{k}": F.array(*v) for k, v in counters.items()})
     at = lambda k, up: F.when(F.col("depth") > up, F.get(f"_{k}", F.col("depth") - 1 - up))
-    out = t.withColumns({k: at(k, 0) for k in counters} | {f"up_{k}": at(k, 1) for k in counters})
+    out = t.withColumns({k: at(k, 0) for k in counters} | {f"up_{k}": at(k, 1) for k in counters if k != "begin"})
     return out.withColumn("top", F.get("_tab", F.lit(0))).drop("_sum", "_before", *[f"_{k}" for k in counters])
 
 
@@ -74,62 +75,80 @@ def inline(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+\z", ""), "\n", "<br>")
 
 
-def flattened(cells: Column, depth: Column) -> Column:
-    """A table in a cell as text: its size, then its rows. ``cells``: array of (row, cell, text), cell -1 for a row's begin."""
+def flattened(entries: Column, depth: Column) -> Column:
+    """A table in a cell as text: its size, then its rows.
 
-    def whole(sorted_cells: Column) -> Column:
-        rows = F.array_distinct(F.transform(sorted_cells, lambda x: x["row"]))
-        first = F.size(F.filter(sorted_cells, lambda x: (x["row"] == F.get(rows, F.lit(0))) & (x["cell"] >= 0)))
+    ``entries``: array of (row, cell, k, text), cell -1 for a row's begin, k -1 for a cell's own text, which comes first, else
+    the place of a table in the cell.
+    """
+
+    def whole(entries: Column) -> Column:
+        rows = F.array_distinct(F.transform(entries, lambda x: x["row"]))
+        first = F.size(F.filter(entries, lambda x: (x["row"] == F.get(rows, F.lit(0))) & (x["cell"] >= 0) & (x["k"] < 0)))
 
         def piece(x: Column, i: Column) -> Column:
-            before = F.get(sorted_cells, i - 1)
-            sign = F.when(i == 0, "").when(before["row"] != x["row"], ROW_SEPARATOR).when((before["cell"] >= 0) & (x["cell"] >= 0), CELL_SEPARATOR).otherwise("")
+            before = F.get(entries, i - 1)
+            same_cell = F.when(before["text"] == "", "").otherwise(ROW_SEPARATOR)
+            sign = F.when(i == 0, "").when(before["row"] != x["row"], ROW_SEPARATOR).when(before["cell"] < 0, "").when(before["cell"] != x["cell"], CELL_SEPARATOR).otherwise(same_cell)
             return F.concat(sign, F.coalesce(x["text"], F.lit("")))
 
         size = F.concat(F.lit("(표 "), F.size(rows).cast("string"), F.lit("×"), F.coalesce(first, F.lit(0)).cast("string"), F.lit(")"))
-        body = F.when(F.size(rows) == 0, "").otherwise(F.concat(F.lit(ROW_SEPARATOR), F.array_join(F.transform(sorted_cells, piece), "")))
+        body = F.when(F.size(rows) == 0, "").otherwise(F.concat(F.lit(ROW_SEPARATOR), F.array_join(F.transform(entries, piece), "")))
         return F.concat(size, F.when(depth >= NESTING, TOO_DEEP).otherwise(body))
 
-    return once(F.array_sort(F.filter(cells, lambda x: x["row"] >= 0)), whole)
+    return once(F.array_sort(F.filter(entries, lambda x: x["row"] >= 0)), whole)
 
 
-def top_cells(placed: DataFrame, doc: list[str], levels: int = NESTING + 2) -> DataFrame:
-    """doc, top (number of an outermost table), row, cell, text, col_span, row_span; cell -1 marks a row's begin.
+def contracted(nested: DataFrame, doc: list[str], levels: int) -> DataFrame:
+    """doc, top, row, cell, k, text: the tables inside cells of outermost tables, each a line of text.
 
-    The tables inside cells are contracted level by level; cells of other levels pass through each step as they are.
+    ``nested`` has the cells below (lvl from 2 on): own text with k = -1, and the cell of the level above that their table is
+    in. Level after level, from the deepest, tables become items of these cells; rows of other levels pass as they are.
     """
+    ups = ["up_tab", "up_row", "up_cell", "up_k"]
+    for level in range(levels, 1, -1):
+        now = F.col("lvl") == level
+        keys = [F.when(now, -2).otherwise(F.col(c)).alias(f"_{c}") for c in ("row", "cell", "k")]
+        tables = nested.groupBy(*doc, "top", "lvl", "tab", *keys).agg(F.collect_list(F.struct("row", "cell", "k", "text")).alias("_e"), *[F.max(c).alias(c) for c in ups])
+        now = F.col("_row") == -2
+        # made before the select below renames lvl
+        tables = tables.withColumn("text", F.when(now, flattened(F.col("_e"), F.col("lvl") - 2)).otherwise(F.get("_e", F.lit(0))["text"]))
+        moved = lambda up, own: F.when(F.col("_row") == -2, F.col(up)).otherwise(F.col(own))
+        nested = tables.where(~now | F.col("up_k").isNotNull()).select(
+            *doc, "top", F.when(now, F.col("lvl") - 1).otherwise(F.col("lvl")).alias("lvl"), moved("up_tab", "tab").alias("tab"),
+            moved("up_row", "_row").alias("row"), moved("up_cell", "_cell").alias("cell"), moved("up_k", "_k").alias("k"), "text",
+            *[F.when(~now, F.col(c)).alias(c) for c in ups],
+        )
+    return nested.select(*doc, "top", "row", "cell", "k", "text")
+
+
+def top_cells(placed: DataFrame, doc: list[str], levels: int = NESTING + 2) -> DataFrame:
+    """doc, top (number of an outermost table), row, cell, text, col_span, row_span; cell -1 marks a row's begin."""
     closed = placed.withColumn("_closed", F.max("ends").over(Window.partitionBy(*doc, "top")))
     inner = closed.where(F.col("_closed") & (F.col("depth") >= 1) & (F.col("depth") <= levels) & (F.col("top") > 0))
     row_begin = (F.col("name") == "tr") & ~F.col("closing")
     cell_begin = F.col("name").isin("td", "th") & ~F.col("closing")
-    up = F.when(F.col("opens") & F.coalesce("up_inside", F.lit(False)), F.struct(F.col("up_tab").alias("tab"), F.col("up_row").alias("row"), F.col("up_cell").alias("cell"), "k"))
+    up_k = F.when(F.coalesce("up_inside", F.lit(False)), F.col("begin"))
     kept = inner.where(F.col("inside") | row_begin | F.col("opens")).select(
         *doc, "top", F.col("depth").alias("lvl"), "tab", F.when(F.col("opens"), -1).otherwise(F.col("row")).alias("row"), F.when(F.col("inside"), F.col("cell")).otherwise(-1).alias("cell"),
         "k", F.when(F.col("inside"), F.col("after")).alias("piece"), F.when(cell_begin, span(F.col("tag"), "colspan", MOST_COLUMNS)).alias("col_span"),
-        F.when(cell_begin, span(F.col("tag"), "rowspan", MOST_ROWS)).alias("row_span"), up.alias("up"),
+        F.when(cell_begin, span(F.col("tag"), "rowspan", MOST_ROWS)).alias("row_span"), "up_tab", "up_row", "up_cell", up_k.alias("up_k"),
     )
-    place = [*doc, "top", "lvl", "tab", "row", "cell"]
-    own = inline(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), ""))
-    # spans and the way up are the same in all rows of a key but for nulls
-    rest = [F.max(c).alias(c) for c in ("col_span", "row_span", "up")]
-    cells = kept.groupBy(*place).agg(F.array(F.struct(F.lit(-1).alias("k"), own.alias("text"))).alias("items"), *rest)
-    merged = lambda c: c.groupBy(*place).agg(F.flatten(F.collect_list("items")).alias("items"), *rest)
-    content = lambda items: F.array_join(F.filter(F.transform(F.array_sort(items), lambda x: x["text"]), lambda x: x != ""), ROW_SEPARATOR)
-    for level in range(levels, 1, -1):
-        now = F.col("lvl") == level
-        tables = cells.groupBy(*doc, "top", "lvl", "tab", F.when(now, -2).otherwise(F.col("row")).alias("_row"), F.when(now, -2).otherwise(F.col("cell")).alias("_cell"))
-        tables = tables.agg(F.collect_list(F.struct("row", "cell", content(F.col("items")).alias("text"))).alias("_cells"), F.flatten(F.collect_list("items")).alias("items"), *rest)
-        now = F.col("_row") == -2
-        # made before the select below renames lvl
-        tables = tables.withColumn("_text", F.when(now, flattened(F.col("_cells"), F.col("lvl") - 2)))
-        cells = tables.where(~now | F.col("up").isNotNull()).select(
-            *doc, "top", F.when(now, F.col("lvl") - 1).otherwise(F.col("lvl")).alias("lvl"), F.when(now, F.col("up.tab")).otherwise(F.col("tab")).alias("tab"),
-            F.when(now, F.col("up.row")).otherwise(F.col("_row")).alias("row"), F.when(now, F.col("up.cell")).otherwise(F.col("_cell")).alias("cell"),
-            F.when(now, F.array(F.struct(F.col("up.k").alias("k"), F.col("_text").alias("text")))).otherwise(F.col("items")).alias("items"),
-            F.when(~now, F.col("col_span")).alias("col_span"), F.when(~now, F.col("row_span")).alias("row_span"), F.when(~now, F.col("up")).alias("up"),
-        )
-        cells = merged(cells)
-    return cells.where("row >= 0").select(*doc, "top", "row", "cell", content(F.col("items")).alias("text"), "col_span", "row_span")
+
+    def own_cells(some: DataFrame, *rest: str) -> DataFrame:
+        """A row a cell with its own text; what the rest has is the same in all rows of a cell but for nulls."""
+        pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
+        return some.groupBy(*doc, "top", "lvl", "tab", "row", "cell").agg(inline(pieces).alias("text"), *[F.max(c).alias(c) for c in rest])
+
+    top = own_cells(kept.where("lvl = 1 AND row >= 0"), "col_span", "row_span")
+    if levels == 1:
+        return top.select(*doc, "top", "row", "cell", "text", "col_span", "row_span")
+    below = own_cells(kept.where("lvl > 1"), "up_tab", "up_row", "up_cell", "up_k").withColumn("k", F.lit(-1))
+    none = F.lit(None).cast("int")
+    items = contracted(below, doc, levels).withColumns({"col_span": none, "row_span": none})
+    every = top.withColumn("k", F.lit(-1)).select(*items.columns).unionByName(items)
+    text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), lambda x: x != ""), ROW_SEPARATOR)
+    return every.groupBy(*doc, "top", "row", "cell").agg(text.alias("text"), F.max("col_span").alias("col_span"), F.max("row_span").alias("row_span"))
 
 
 def placed_rows(rows: Column) -> Column:

@@ -167,5 +167,8 @@ def test_text_around_tables_stays(spark):
 
 def test_one_shuffle_by_document(spark):
     docs = spark.range(10).selectExpr("id AS doc", "'<table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table>' AS text").repartition(3, "text")
-    plan = T.tables(docs, ["doc"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(doc") == 1
+    made = T.tables(docs, ["doc"])
+    assert [r["text"] for r in made.collect()] == ["x<br>(표 1×1)<br>y"] * 10
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # cells of outermost tables and of those inside read one and the same shuffle
+    assert plan.count("Exchange hashpartitioning(doc") - plan.count("ReusedExchange") <= 1

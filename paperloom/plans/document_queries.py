@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from ..operators import fidelity as FI
+from ..operators import inverted_index as II
 from ..operators import lines as L
 from ..operators import metrics as M
 from ..operators import outline as O
 from ..operators import runs as U
 from ..operators import search as X
-from ..operators import inverted_index as II
 from ..sources.storage import fresh_path
 from .registry import query, table
 
@@ -171,6 +172,19 @@ def q_search_top(spark: SparkSession, d: str) -> DataFrame:
     return index.top(queries, 20).select(F.col("query").alias("item_id"), "place", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS a, regexp_replace(lower(regexp_replace(coalesce(text, ''), 'tion|\\n[^\\n]{0,40}', '', 'g')), '[^\\p{L}\\p{N}]+', '', 'g') AS b FROM documents),
+ga AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, substr(a, i, 5) AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(length(a) - 4, 1) + 1)) AS i FROM t WHERE a <> '')) GROUP BY 1, 2),
+gb AS (SELECT doc_id, g, count(*) AS m FROM (SELECT doc_id, substr(b, i, 5) AS g FROM (SELECT doc_id, b, unnest(range(1, greatest(length(b) - 4, 1) + 1)) AS i FROM t WHERE b <> '')) GROUP BY 1, 2),
+s AS (SELECT doc_id, sum(n) AS grams, sum(least(n, coalesce(m, 0))) AS found FROM ga LEFT JOIN gb USING (doc_id, g) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(grams, 0) AS BIGINT) AS grams, CAST(coalesce(found, 0) AS BIGINT) AS found, round(found / grams, 6) AS recall FROM t LEFT JOIN s USING (doc_id)""")
+def q_text_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Five-gram recall of texts that lost a syllable and short lines."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lossy = docs.withColumn("text", F.regexp_replace("text", "tion|\\n[^\\n]{0,40}", ""))
+    return FI.recall(docs, lossy, ["doc_id"]).withColumn("recall", F.round("recall", 6))
+
+
 TABLE_MD = "'# ' || p_name || chr(10) || '| a | b |' || chr(10) || '| --- | :---: |' || chr(10) || repeat('| 1 | 2 |' || chr(10), cast(p_size % 4 as int)) || repeat('<table><tr colspan=2></tr></table>', cast(p_size % 3 as int))"
 
 

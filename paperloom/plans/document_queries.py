@@ -185,6 +185,14 @@ def q_text_recall(spark: SparkSession, d: str) -> DataFrame:
     return FI.recall(docs, lossy, ["doc_id"]).withColumn("recall", F.round("recall", 6))
 
 
+@query("""SELECT 'c' || (o_custkey % 9) || '/o' || o_orderkey || '.pdf' AS path FROM orders WHERE o_custkey % 9 = 3""")
+def q_files_under(spark: SparkSession, d: str) -> DataFrame:
+    """Files below a folder, without those of folders whose names only begin alike."""
+    files = table(spark, d, "orders").selectExpr("concat('c', cast(o_custkey % 9 as string), '/o', cast(o_orderkey as string), '.pdf') AS path")
+    more = files.select(F.regexp_replace("path", "^c3/", "c33/").alias("path")).where("path LIKE 'c33/%'")
+    return M.files_under(files.unionByName(more), "c3/")
+
+
 TABLE_MD = "'# ' || p_name || chr(10) || '| a | b |' || chr(10) || '| --- | :---: |' || chr(10) || repeat('| 1 | 2 |' || chr(10), cast(p_size % 4 as int)) || repeat('<table><tr colspan=2></tr></table>', cast(p_size % 3 as int))"
 
 

@@ -226,3 +226,11 @@ def test_images_and_sinks(spark, tmp_path):
     assert (tmp_path / "x_images" / "img_001.png").read_bytes() == b"data"
     texts = spark.createDataFrame([("/in/x.docx", "# é"), ("/in/y.docx", None)], "path string, markdown string")
     assert [tuple(r) for r in sinks.write_markdown(texts, str(tmp_path)).collect()] == [("x.md", 4)] and (tmp_path / "x.md").read_text() == "# é"
+
+
+def test_order_of_a_locale(spark):
+    from paperloom.operators.conversions import by_locale
+
+    names = spark.createDataFrame([("나",), ("가",), ("b",), ("A",), ("다",), ("a",)], "name string")
+    made = [r["name"] for r in by_locale(names, "name").collect()]
+    assert [x for x in made if x in "가나다"] == ["가", "나", "다"] and made.index("b") > made.index("A") and made.index("b") > made.index("a")

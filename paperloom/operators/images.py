@@ -36,10 +36,23 @@ def signed_url(key: bytes, conversion: Column, name: Column, expires: Column, ba
     return F.concat(path, F.lit("?exp="), expires.cast("string"), F.lit("&sig="), signature(key, conversion, name, expires))
 
 
+#: An image reference, and what stands before its target.
+REFERENCE, LEAD = r"!\[[^\]]*\]\([^)\s]*\)", r"^(!\[[^\]]*\]\()"
+
+
 def rewritten(markdown: Column, replacements: Column) -> Column:
-    """References whose file name is a key of the map (name -> URL) point to the URL; others stay."""
-    pairs = F.map_entries(replacements)
-    return F.aggregate(pairs, markdown, lambda md, p: F.regexp_replace(md, F.concat(F.lit(r"(!\[[^\]]*\]\()(?:\./)?[^)\s]*?\Q"), p["key"], F.lit(r"\E\)")), F.concat(F.lit("$1"), F.replace(p["value"], F.lit("$"), F.lit("\\$")), F.lit(")"))))
+    """References whose file name, what stands behind the last slash, is a key of the map (name -> URL) point to the URL.
+
+    Each reference is looked up once: a URL that looks like another key isn't rewritten again.
+    """
+
+    def pointed(reference: Column) -> Column:
+        url = F.try_element_at(replacements, F.regexp_extract(reference, r"([^/(]*)\)\z", 1))
+        return F.when(url.isNull(), reference).otherwise(F.concat(F.regexp_extract(reference, LEAD, 1), url, F.lit(")")))
+
+    between = F.split(markdown, REFERENCE, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(markdown, F.lit(REFERENCE), 0), pointed), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, found, lambda x, y: F.concat(x, y)), "")
 
 
 def as_refs(markdown: Column, conversion: Column) -> Column:

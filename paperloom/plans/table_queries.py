@@ -235,9 +235,21 @@ def q_extract_content(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", H.main_content(F.col("html")).alias("content"))
 
 
-@query("SELECT page_id, html FROM pages")
+#: Kinds of input: labelled UTF-8, labelled Latin-1, Latin-1 that only a meta element names, an unknown label, UTF-16, a byte-order mark.
+KINDS = 6
+
+
+@query("""WITH t AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(coalesce(html, ''), '[^\\x{00}-\\x{FF}]', '?', 'g') AS latin FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 1 THEN latin WHEN 2 THEN '<meta charset="ISO-8859-1">' || latin ELSE html END AS html FROM t""")
 def q_decode_html(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    """Pages as bytes of several encodings, told by the header, a meta element, a mark or nothing."""
+    kind, html = F.col("page_id") % KINDS, F.coalesce("html", F.lit(""))
+    latin = F.regexp_replace(html, r"[^\x{00}-\x{FF}]", "?")
+    meta = F.concat(F.lit('<meta charset="ISO-8859-1">'), latin)
+    content = F.when(kind == 1, F.encode(latin, "ISO-8859-1")).when(kind == 2, F.encode(meta, "ISO-8859-1")).when(kind == 4, F.encode(html, "UTF-16LE"))
+    content = content.when(kind == 5, F.encode(F.concat(F.lit("\ufeff"), html), "UTF-8")).otherwise(html.cast("binary"))
+    header = F.when(kind == 0, "text/html; charset=utf-8").when(kind == 1, "text/html; Charset=\"ISO-8859-1\"").when(kind == 3, "text/html; charset=x-none").when(kind == 4, "text/html;charset=utf-16le")
+    raw = table(spark, d, "pages").select("page_id", content.alias("content"), header.alias("content_type"))
     return raw.select("page_id", H.decoded(F.col("content"), F.col("content_type")).alias("html"))
 
 

@@ -234,3 +234,17 @@ def test_order_of_a_locale(spark):
     names = spark.createDataFrame([("나",), ("가",), ("b",), ("A",), ("다",), ("a",)], "name string")
     made = [r["name"] for r in by_locale(names, "name").collect()]
     assert [x for x in made if x in "가나다"] == ["가", "나", "다"] and made.index("b") > made.index("A") and made.index("b") > made.index("a")
+
+
+def test_references_are_rewritten_once_and_by_whole_names(spark):
+    from paperloom.operators import images as I
+
+    links = F.create_map(*[F.lit(x) for x in ("a.png", "https://cdn/b.png", "b.png", "https://cdn/$1\\x)".replace(")", ""), "ba.png", "w")])
+    cases = {
+        "![x](./img/a.png) ![](a.png)![y](img/ba.png)": "![x](https://cdn/b.png) ![](https://cdn/b.png)![y](w)",
+        "![x](b.png) [a.png](a.png) ![z](c.png)": "![x](https://cdn/$1\\x) [a.png](a.png) ![z](c.png)",
+        "": "", "no ![open](a.png": "no ![open](a.png",
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "md string").select("md", I.rewritten(F.col("md"), links).alias("out"))
+    assert {r["md"]: r["out"] for r in frame.collect()} == cases
+    assert spark.range(1).select(I.rewritten(F.lit(None).cast("string"), links).alias("x")).first()["x"] is None

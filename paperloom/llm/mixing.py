@@ -106,7 +106,7 @@ WITH sources AS (
   SELECT s, (sources.n ** 0.5) / mass * total.n / sources.n AS r FROM sources, total
 ), cdf AS (
   SELECT s, k, sum(exp(k * ln(r) - r - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS p
-  FROM rate, range(0, 400) t(k)
+  FROM (SELECT s, r, unnest(range(0, CAST(ceil(r + 12 * sqrt(r) + 40) AS BIGINT))) AS k FROM rate)
 ), docs AS (
   SELECT doc_id, source, text, coalesce(source, '') AS s,
          md5(coalesce(text, '')) AS body, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key,
@@ -118,5 +118,5 @@ WITH sources AS (
 SELECT doc_id, source, CAST(c AS INTEGER) AS copy,
        CAST('0x' || substr(md5('17:' || key || ':' || c || ':' || body), 1, 15) AS BIGINT) AS shuffle_key,
        body AS text_md5
-FROM counted, range(0, 400) t(c) WHERE c < copies
+FROM (SELECT *, unnest(range(0, copies)) AS c FROM counted)
 """

@@ -13,8 +13,8 @@ as a lexicon; training adds what words do together. A test measures both on held
 
 Defined cases: null and empty texts get the score of a text without words; texts of any length are scored whole;
 repeated rows and ties get equal scores; an empty table gives an empty result; without training rows of both classes
-every score is the share of toxic training rows (0.0 if there are none); rows with null ``toxic`` or null ``doc_id``
-don't train; a doc_id labelled more than once takes its largest label, one with several texts trains on the least of them;
+every score is the share of toxic training rows (0.0 if there are none); rows with null ``toxic``, null ``doc_id`` or null
+text, and texts above ``max_chars``, don't train; a doc_id labelled more than once takes its largest label, one with several texts trains on the least of them;
 extra columns are ignored.
 """
 

@@ -19,11 +19,14 @@ RESULT = ["conversion_id", "path", "original_name", "format", "size", "markdown"
 def convert(files: DataFrame, include_hidden: bool = False) -> DataFrame:
     """Rows (path, content) to RESULT columns. Each format is read by its own reader; what none reads is an error row.
 
-    A file is routed by its extension, filtered before it is parsed, so a format's reader sees its own files only.
+    A file is routed by its extension, filtered before it is parsed, so a format's reader sees its own files only. Results
+    are found by path and content: of two files of one path each has its own, and a file that comes twice has it twice.
     """
     named = files.select("path", "content").withColumns({"original_name": basename(F.col("path")), "format": detect_format(F.col("path")), "size": F.octet_length("content").cast("long")})
     named = named.withColumn("conversion_id", S.conversion_id(F.col("content"), F.lit(include_hidden)))
+    named = named.withColumn("_key", F.concat_ws(":", "conversion_id", "path"))
     head = named.drop("content")
+    named = named.drop("path").withColumnRenamed("_key", "path")  # readers name a file by this
     none = F.lit(None).cast("struct<sheets:long,rows:long,cols:long>")
     made = []
     for kind in N.READERS:
@@ -39,7 +42,7 @@ def convert(files: DataFrame, include_hidden: bool = False) -> DataFrame:
     results = made[0]
     for more in made[1:]:
         results = results.unionByName(more)
-    joined = head.join(results, "path", "left")
+    joined = head.join(results.withColumnRenamed("path", "_key").dropDuplicates(["_key"]), "_key", "left")
     unread = F.when(F.col("format").isNull(), "unsupported-format").when(F.col("markdown").isNull() & F.col("error").isNull(), "no-reader").otherwise(F.col("error"))
     return joined.withColumn("error", unread).select(*RESULT)
 

@@ -248,3 +248,16 @@ def test_references_are_rewritten_once_and_by_whole_names(spark):
     frame = spark.createDataFrame([(k,) for k in cases], "md string").select("md", I.rewritten(F.col("md"), links).alias("out"))
     assert {r["md"]: r["out"] for r in frame.collect()} == cases
     assert spark.range(1).select(I.rewritten(F.lit(None).cast("string"), links).alias("x")).first()["x"] is None
+
+
+def test_files_of_one_path_keep_their_own_results(spark):
+    from paperloom import engine
+
+    page = lambda t: bytearray(f"<title>{t}</title><p>{t}</p>".encode())
+    sheet = lambda t: bytearray(build_xlsx([{**SHEET, "rows": [[t, "x"], [t, "y"]], "merges": [], "hidden_rows": [], "hidden_cols": [], "formats": {}}]))
+    files = [("/a.html", page("one")), ("/a.html", page("two")), ("/a.html", page("one")), ("/b.xlsx", sheet("p")), ("/b.xlsx", sheet("q")), ("/b.xlsx", sheet("p")), ("/c.html", page("one")), (None, page("none"))]
+    made = engine.convert(spark.createDataFrame(files, "path string, content binary")).collect()
+    assert len(made) == len(files)
+    told = sorted((r["path"], next(w for w in ("one", "two", "p |", "q |") if w in r["markdown"])) for r in made if r["path"])
+    assert told == [("/a.html", "one"), ("/a.html", "one"), ("/a.html", "two"), ("/b.xlsx", "p |"), ("/b.xlsx", "p |"), ("/b.xlsx", "q |"), ("/c.html", "one")]
+    assert [r["error"] for r in made if r["path"] is None] == ["unsupported-format"]

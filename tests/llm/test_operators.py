@@ -465,7 +465,7 @@ def test_ranks_of_a_large_graph(spark):
 
     links = spark.createDataFrame(pd.DataFrame({"src": [f"h{x}" for x in pairs[:, 0]], "dst": [f"h{x}" for x in pairs[:, 1]], "weight": 1 + pairs[:, 0] % 3}))
     seeds = spark.createDataFrame([("trust", "h5", 1.0), ("trust", "h17", 0.5), ("distrust", "h5", 1.0)], "kind string, host string, mass double")
-    made = url_filter.propagate(seeds, common.written(url_filter.link_shares(links), "shares"), 0.85, 0.05).toPandas()
+    made = url_filter.propagate(seeds, common.written(url_filter.link_shares(links), "shares"), 0.85, 0.3).toPandas()
     weight = (1 + pairs[:, 0] % 3).astype(float)
     for kind, a, b, start in (("trust", pairs[:, 0], pairs[:, 1], {5: 1.0, 17: 0.5}), ("distrust", pairs[:, 1], pairs[:, 0], {5: 1.0})):
         restart = np.zeros(n)
@@ -477,7 +477,7 @@ def test_ranks_of_a_large_graph(spark):
         own = made[made.kind == kind]
         got = np.zeros(n)
         got[own.host.str[1:].astype(int)] = own.mass
-        assert np.abs(got - rank).max() < 0.05 and (rank > 0).sum() > 50_000
+        assert np.abs(got - rank).max() < 0.3 and (rank > 0).sum() > 50_000
 
 
 def test_url_propagation(spark, monkeypatch):

@@ -65,7 +65,8 @@ def test_queries_with_sql(spark, sf):
     from paperloom.llm import queries as Q
 
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     for name, sql in Q.oracle_sql().items():
         made, expected = Q.queries()[name](spark, sf).toPandas(), db.execute(sql).df()
         names = sorted(expected.columns)

@@ -63,23 +63,25 @@ def project_visible(cells: DataFrame, keys: list[str], merges: DataFrame | None
     """Cells with row_hidden and col_hidden flags, re-indexed over what shows.
 
     A merge is counted again over its visible rows and columns. If its origin is hidden its text moves to the first visible
-    position; a merge hidden whole goes; one position left is no merge.
+    position, with its link (a column ``href``, if there is one); a merge hidden whole goes; one position left is no merge.
     """
+    link = ["href"] if "href" in cells.columns else []
     rows, cols = visible_index(cells, keys, "row", "row_hidden"), visible_index(cells, keys, "col", "col_hidden")
     shown = cells.join(rows, [*keys, "row"]).join(cols, [*keys, "col"])
     if merges is None:
-        return shown.select(*keys, F.col("new_row").alias("row"), F.col("new_col").alias("col"), "text")
+        return shown.select(*keys, F.col("new_row").alias("row"), F.col("new_col").alias("col"), "text", *link)
     each = merge_cells(merges).select(*keys, "row", "col", "r1", "c1")
-    origin = cells.select(*keys, F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("text").alias("_origin"))
+    origin = cells.select(*keys, F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("text").alias("_origin"), *[F.col(c).alias("_href") for c in link])
     left = each.join(rows, [*keys, "row"]).join(cols, [*keys, "col"])
     spans = left.groupBy(*keys, "r1", "c1").agg(F.min("new_row").alias("new_row"), F.min("new_col").alias("new_col"), F.count_distinct("new_row").alias("row_span"), F.count_distinct("new_col").alias("col_span"))
-    anchors = spans.join(origin, [*keys, "r1", "c1"], "left").select(*keys, "new_row", "new_col", "row_span", "col_span", F.coalesce("_origin", F.lit("")).alias("_moved"))
+    anchors = spans.join(origin, [*keys, "r1", "c1"], "left").select(*keys, "new_row", "new_col", "row_span", "col_span", F.coalesce("_origin", F.lit("")).alias("_moved"), *[f"_{c}" for c in link])
     covered = left.select(*keys, "new_row", "new_col").distinct().withColumn("_in", F.lit(True))
     out = shown.join(anchors, [*keys, "new_row", "new_col"], "left").join(covered, [*keys, "new_row", "new_col"], "left")
     return out.select(
         *keys, F.col("new_row").alias("row"), F.col("new_col").alias("col"), F.coalesce("_moved", "text").alias("text"),
         F.coalesce("row_span", F.lit(1)).alias("row_span"), F.coalesce("col_span", F.lit(1)).alias("col_span"),
         (F.col("_moved").isNull() & F.col("_in").isNotNull()).alias("covered"),
+        *[F.when(F.col("_moved").isNotNull(), F.col("_href")).otherwise(F.col("href")).alias("href") for _ in link],
     )
 
 

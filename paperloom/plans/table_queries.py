@@ -75,6 +75,21 @@ def q_hidden_projection(spark: SparkSession, d: str) -> DataFrame:
     return G.project_visible(flagged(spark, d), ["sheet"], merges(spark, d))
 
 
+LINK = "CASE WHEN text <> '' THEN 'https://h/' || {row} || '/' || {col} END"
+
+
+@query(f"""WITH {CELLS_SQL}, {MERGES_SQL}, {FLAGGED_SQL}, {MAPS_SQL},
+each AS (SELECT m.sheet, m.r1, m.c1, nr, nc FROM merges m JOIN rmap r ON r.sheet = m.sheet AND r.row BETWEEN m.r1 AND m.r2 JOIN cmap c ON c.sheet = m.sheet AND c.col BETWEEN m.c1 AND m.c2),
+spans AS (SELECT sheet, r1, c1, min(nr) AS nr, min(nc) AS nc FROM each GROUP BY 1, 2, 3),
+anchors AS (SELECT s.sheet, s.nr, s.nc, {LINK.format(row="s.r1", col="s.c1")} AS link FROM spans s LEFT JOIN dense d ON d.sheet = s.sheet AND d.row = s.r1 AND d.col = s.c1)
+SELECT * FROM (SELECT f.sheet, r.nr AS row, c.nc AS col, CASE WHEN a.sheet IS NOT NULL THEN a.link ELSE {LINK.format(row="f.row", col="f.col")} END AS href
+  FROM flagged f JOIN rmap r USING (sheet, row) JOIN cmap c USING (sheet, col) LEFT JOIN anchors a ON a.sheet = f.sheet AND a.nr = r.nr AND a.nc = c.nc) WHERE href IS NOT NULL""")
+def q_hidden_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of what shows: those of hidden rows and columns go, that of a merge moves with its text."""
+    linked = flagged(spark, d).withColumn("href", F.expr(LINK.format(row="row", col="col")))
+    return G.project_visible(linked, ["sheet"], merges(spark, d)).where("href IS NOT NULL").select("sheet", "row", "col", "href")
+
+
 @query(f"WITH {CELLS_SQL}, {FLAGGED_SQL} SELECT sheet, count(DISTINCT CASE WHEN rh THEN row END) AS hidden_rows, count(DISTINCT CASE WHEN ch THEN col END) AS hidden_cols FROM flagged GROUP BY sheet")
 def q_hidden_counts(spark: SparkSession, d: str) -> DataFrame:
     return G.hidden_counts(flagged(spark, d), ["sheet"])

@@ -16,7 +16,7 @@ from ..functions import html as H
 from ..operators import workbook as W
 from ..sources import containers as N
 from ..sources.builders import archive, build_xls, build_xlsx
-from .registry import query, table
+from .registry import query, spread, table
 
 #: Parts of one file.
 PER_FILE = 20
@@ -119,5 +119,6 @@ PAGE = """concat('<html><head><title>', p_name, '</title><style>p{}</style></hea
   '| a | b\\|c | d |', '| --- | --- | --- |', '| ' || p_brand || ' | ← | ' || p_size || ' |', '| 1 |  | ↑ |', '', '![pic](https://h.example/i.png) end & <done>') AS markdown FROM part""")
 def q_page_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Pages to Markdown: sanitised, main part, links made absolute, every kind of block."""
-    pages = table(spark, d, "part").selectExpr("p_partkey", f"{PAGE} AS html")
+    parts = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey")
+    pages = parts.selectExpr("p_partkey", f"{PAGE} AS html")
     return pages.select("p_partkey", H.page_markdown(F.col("html"), F.lit("https://h.example/dir/page.html")).alias("markdown"))

@@ -23,3 +23,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over four tasks a core, however few bytes they have: for work that costs much a row.
+
+    A narrow table is one task of a scan, and shuffled it is put together into few tasks again unless their number is given.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)

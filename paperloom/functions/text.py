@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -61,6 +62,16 @@ def from_map(key: Column, pairs: dict[str, str], default: Column | None = None)
     return found if default is None else F.coalesce(found, default)
 
 
+#: Rows of a batch that are Python objects at a time.
+AT_A_TIME = 64
+
+
+def by_row(f: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """f of each row of Arrow columns. A batch stays in Arrow's memory; only a few of its rows at a time are Python objects."""
+    parts = [pa.array([f(*row) for row in zip(*(c.slice(at, AT_A_TIME).to_pylist() for c in columns), strict=True)], kind) for at in range(0, len(columns[0]), AT_A_TIME)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))

@@ -59,3 +59,24 @@ def test_longest_increasing(spark):
     rows = [(rng.choices(range(30), k=rng.randrange(40)),) for _ in range(60)] + [([],), (list(range(300)),), (list(range(300, 0, -1)),)]
     for r in spark.createDataFrame(rows, "v array<int>").select("v", D.longest_increasing(F.col("v")).alias("n")).collect():
         assert r["n"] == increasing(r["v"])
+
+
+def test_shared_grams_are_multisets_in_any_script(spark):
+    rng = random.Random(9)
+    letters = ["ab", "가나다라힣", "𐐨𐐩a", "".join(map(chr, range(0x4E00, 0x9F00)))]
+    pairs = [("".join(rng.choice(x) for _ in range(rng.randrange(3, 300))), "".join(rng.choice(x) for _ in range(rng.randrange(3, 300)))) for x in letters for _ in range(5)]
+    pairs += [(a, a[40:] + a[:50]) for a, _ in pairs] + [("abc", "abc"), ("abc", "abcdef"), ("abcdef", "abc"), ("", "abc"), ("", "")]
+    expected = {k: (sum(counts(a).values()), sum((counts(a) & counts(b)).values())) for k, (a, b) in enumerate(pairs)}
+    assert {k: D.shared_grams(a, b, 5) for k, (a, b) in enumerate(pairs)} == expected
+    left, right = (spark.createDataFrame([(k, p[i]) for k, p in enumerate(pairs)], "id int, text string") for i in (0, 1))
+    assert {r["id"]: (r["grams"], r["found"]) for r in D.recall(left, right, ["id"]).collect()} == expected
+    # one document of several rows: all go by their n-grams, and agree with those compared where they meet
+    more = D.recall(left.unionByName(left.where("id = 0")), right, ["id"]).collect()
+    first = counts(pairs[0][0])
+    assert {r["id"]: (r["grams"], r["found"]) for r in more} == expected | {0: (2 * sum(first.values()), sum(((first + first) & counts(pairs[0][1])).values()))}
+
+
+def test_no_gram_of_a_document_is_shuffled(spark):
+    left = spark.createDataFrame([(1, "a" * 100)], "id int, text string")
+    plan = D.recall(left, left, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp_extract_all" not in plan

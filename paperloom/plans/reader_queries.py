@@ -33,7 +33,7 @@ def made(spark: SparkSession, d: str, build: Callable[[pd.DataFrame], bytes]) ->
         return pd.DataFrame({"path": [frame["path"].iloc[0]], "content": [build(frame.sort_values("p_partkey"))]})
 
     parts = table(spark, d, "part").selectExpr(f"{BOOK} AS path", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    return parts.groupBy("path").applyInPandas(one, "path string, content binary")
+    return spread(parts, "path").groupBy("path").applyInPandas(one, "path string, content binary")
 
 
 def sheet(f: pd.DataFrame) -> list[dict]:

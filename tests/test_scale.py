@@ -2,11 +2,43 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 
 from paperloom import plans
+from paperloom.plans import reader_queries, registry
+from paperloom.sources import containers as N
+from paperloom.sources.builders import archive, build_xlsx
 
 
-@pytest.mark.parametrize("name", ["q_page_markdown"])
-def test_costly_rows_of_a_narrow_table_are_many_tasks(spark, sf, name):
-    assert plans.QUERIES[name](spark, sf).rdd.getNumPartitions() > 4
+@pytest.mark.parametrize("name", ["q_page_markdown", "q_xlsx_cells", "q_xls_cells", "q_docx_markdown"])
+def test_costly_rows_of_a_narrow_table_are_many_tasks(spark, sf, name, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(reader_queries, "spread", lambda rows, *keys: dealt.append(registry.spread(rows, *keys)) or dealt[-1])
+    plans.QUERIES[name](spark, sf)
+    assert dealt and all(x.rdd.getNumPartitions() > 4 for x in dealt)
+
+
+def test_readers_give_out_few_rows_at_a_time():
+    """Frames that a task makes of one batch of many files have a bounded number of rows."""
+    kept = {}
+
+    class Found:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _schema):
+            kept.setdefault("runs", []).append(run)
+            return self
+
+    book = build_xlsx([{"name": "S", "rows": [["a", 1, 2]] * 50}])
+    N.read_sheets(Found(), "xlsx")
+    batch = pd.DataFrame({"path": [str(k) for k in range(40)], "content": [book] * 40})
+    sizes = [len(x) for x in kept["runs"][0](iter([batch, batch]))]
+    assert sum(sizes) == 2 * 40 * 150 and max(sizes) <= N.ROWS_OUT
+    text = archive({"word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>' + "x" * 200_000 + "</w:t></w:r></w:p></w:body></w:document>"})
+    kept.clear()
+    N.read_text(Found(), "docx")
+    texts = pd.DataFrame({"path": [str(k) for k in range(40)], "content": [text] * 39 + [None]})
+    sizes = [len(x) for x in kept["runs"][0](iter([texts]))]
+    assert sum(sizes) == 40 and max(sizes) <= 11

@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,14 +71,14 @@ def by_row(f: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+@F.arrow_udf(StringType())
+def nfc(texts: pa.Array) -> pa.Array:
+    return by_row(lambda x: x if x is None else unicodedata.normalize("NFC", x), pa.string(), texts)
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    return by_row(lambda x: x if x is None else unicodedata.normalize("NFKC", x), pa.string(), texts)
 
 
 def normalize_symbols(text: Column) -> Column:

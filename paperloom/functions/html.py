@@ -1,17 +1,17 @@
-"""Columns of HTML: native expressions where text suffices, tree functions as Arrow-batched pandas functions else."""
+"""Columns of HTML: native expressions where text suffices, tree functions over Arrow batches else."""
 
 from __future__ import annotations
 
 import codecs
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import markup
-from .text import html_escape
+from .text import by_row, html_escape
 
 
 def unescaped(x: Column) -> Column:
@@ -59,29 +59,29 @@ def decode_bytes(content: bytes, content_type: str | None) -> str:
     return content.decode(name, "replace").removeprefix("\ufeff")
 
 
-@F.pandas_udf(StringType())
-def decoded(content: pd.Series, content_type: pd.Series) -> pd.Series:
-    return pd.Series([None if c is None else decode_bytes(bytes(c), t) for c, t in zip(content, content_type, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def decoded(content: pa.Array, content_type: pa.Array) -> pa.Array:
+    return by_row(lambda c, t: None if c is None else decode_bytes(c, t), pa.string(), content, content_type)
 
 
-@F.pandas_udf(StringType())
-def main_content(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: None if x is None else markup.to_html(markup.content(markup.parse(x))[0]))
+@F.arrow_udf(StringType())
+def main_content(html: pa.Array) -> pa.Array:
+    return by_row(lambda x: None if x is None else markup.to_html(markup.content(markup.parse(x))[0]), pa.string(), html)
 
 
-@F.pandas_udf(StringType())
-def sanitized(html: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None else markup.to_html(markup.sanitize(markup.parse(h), b)) for h, b in zip(html, base, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def sanitized(html: pa.Array, base: pa.Array) -> pa.Array:
+    return by_row(lambda h, b: None if h is None else markup.to_html(markup.sanitize(markup.parse(h), b)), pa.string(), html, base)
 
 
-@F.pandas_udf(StringType())
-def to_markdown(html: pd.Series) -> pd.Series:
-    return html.map(lambda x: None if x is None else markup.to_markdown(markup.parse(x)))
+@F.arrow_udf(StringType())
+def to_markdown(html: pa.Array) -> pa.Array:
+    return by_row(lambda x: None if x is None else markup.to_markdown(markup.parse(x)), pa.string(), html)
 
 
-@F.pandas_udf(StringType())
-def page_markdown(html: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None else markup.page_to_markdown(h, u) for h, u in zip(html, url, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def page_markdown(html: pa.Array, url: pa.Array) -> pa.Array:
+    return by_row(lambda h, u: None if h is None else markup.page_to_markdown(h, u), pa.string(), html, url)
 
 
 def frame_target(html: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from paperloom import plans
+from paperloom.functions import html, text
 from paperloom.plans import reader_queries, registry
 from paperloom.sources import containers as N
 from paperloom.sources.builders import archive, build_xlsx
@@ -36,9 +40,20 @@ def test_readers_give_out_few_rows_at_a_time():
     batch = pd.DataFrame({"path": [str(k) for k in range(40)], "content": [book] * 40})
     sizes = [len(x) for x in kept["runs"][0](iter([batch, batch]))]
     assert sum(sizes) == 2 * 40 * 150 and max(sizes) <= N.ROWS_OUT
-    text = archive({"word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>' + "x" * 200_000 + "</w:t></w:r></w:p></w:body></w:document>"})
+    made = archive({"word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>' + "x" * 200_000 + "</w:t></w:r></w:p></w:body></w:document>"})
     kept.clear()
     N.read_text(Found(), "docx")
-    texts = pd.DataFrame({"path": [str(k) for k in range(40)], "content": [text] * 39 + [None]})
+    texts = pd.DataFrame({"path": [str(k) for k in range(40)], "content": [made] * 39 + [None]})
     sizes = [len(x) for x in kept["runs"][0](iter([texts]))]
     assert sum(sizes) == 40 and max(sizes) <= 11
+
+
+def test_a_batch_of_long_texts_is_not_python_objects_at_once():
+    texts, pages = pa.array(["é" * 10_000] * 2000), pa.array([b"<p>x</p>" * 2500] * 2000)
+    for f, columns, first in ((text.nfc.func, [texts], "é" * 10_000), (html.decoded.func, [pages, pa.nulls(2000, pa.string())], "<p>x</p>" * 2500)):
+        tracemalloc.start()
+        made = f(*columns)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(made) == 2000 and made[0].as_py() == made[1999].as_py() == first and peak < 10e6
+    assert text.nfc.func(pa.array([], pa.string())).to_pylist() == [] and text.nfc.func(pa.array([None, ""])).to_pylist() == [None, ""]

@@ -102,9 +102,11 @@ def build(documents: DataFrame, doc: str, path: str, text: str = "text", size: i
     ordered.withColumn("at", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/documents")
     written = spark.read.parquet(f"{path}/documents")
     docs, mean = written.agg(F.count("*"), F.avg("length")).first()
-    counts = written.select("doc", "at", "length", F.explode("words").alias("word")).groupBy("at", "doc", "length", "word").agg(F.count("*").cast("double").alias("tf"))
+    # documents meet by their range: neither counts nor postings, which are many more, are shuffled before they are blocks
+    by_range = written.withColumn("range", F.expr(f"at div {size}")).repartition("range")
+    counts = by_range.select("range", "doc", "at", "length", F.explode("words").alias("word")).groupBy("range", "at", "doc", "length", "word").agg(F.count("*").cast("double").alias("tf"))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
-    postings = counts.select("word", F.expr(f"at div {size}").alias("range"), "at", "doc", impact.alias("impact"))
+    postings = counts.select("word", "range", "at", "doc", impact.alias("impact"))
     blocks = postings.groupBy("word", "range").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.array_sort(F.collect_list(F.struct("at", "doc", "impact"))).alias("postings"))
     blocks.repartitionByRange("word", "range").sortWithinPartitions("word", "range").write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.read.parquet(f"{path}/blocks").groupBy("word").agg(F.sum("n").alias("documents"), F.count("*").alias("blocks")).write.option("compression", "zstd").parquet(f"{path}/words")

@@ -51,7 +51,7 @@ INLINE = [(r"`([^`]+)`", "$1"), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1
 
 def once(x: Column, use: Callable[[Column], Column]) -> Column:
     """use(x) with x computed once, however often it is used."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
+    return F.aggregate(F.array(), x, lambda acc, _: acc, use)
 
 
 def from_map(key: Column, pairs: dict[str, str], default: Column | None = None) -> Column:

@@ -1,24 +1,23 @@
-"""HTML tables inside Markdown text as rows: nesting resolved by prefix sums, spans by a fold, all in DataFrame operations.
+"""HTML tables inside Markdown text as rows: nesting resolved by levels, spans by a fold, all in expressions over a text.
 
-A document's tags of tables, rows and cells are numbered. Running sums over them give each tag its depth and the table, row
-and cell that it lies in at every depth, so brackets are matched without a join. Then levels are contracted from the deepest
-up: the tables of a level become one line of text each, which is one more item of the cell around them. All steps after the
-first shuffle are grouped by document first, so they need no other; a table's cells meet in one array, a document's tags in
-one window.
+A text is one row all along, so nothing is shuffled or sorted: its tags are marked by control characters (those that a text
+has itself are escaped first), running sums over the tags of tables give each its depth, and levels are contracted from the
+deepest up: the tables of a level, found by their marks, become one line of text each, an item of the cell around them. Only
+cells of outermost tables become rows.
 
 Defined cases: a null text has no tables; a table that is never closed, and with it all up to the document's end, stays as
 it is; a closing tag without an opening one is ignored; a table in no cell of the table around it goes; cells that aren't
-closed end where the next cell or row begins; documents are told apart by ``doc``, so rows that share it are one document's.
+closed end where the next cell or row begins; documents are told apart by ``doc``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import unescaped
 from ..functions.text import once
-from .grid import LEFT, UP, pipe_tables
+from .grid import LEFT, UP, pipe_table
 
 TAG = r"(?i)</?(?:table|tr|t[dh])(?=[\s/>])[^>]*>"
 # How a table inside a cell is written, and the depth of nesting from which only its size is.
@@ -27,39 +26,108 @@ CELL_SEPARATOR, ROW_SEPARATOR, TOO_DEEP, NESTING = " · ", "<br>", " 깊이 초
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
-def tags(documents: DataFrame, doc: list[str], text: str) -> DataFrame:
-    """doc, k, tag, after: each tag and the text behind it; k = 0 is the text before the first."""
-    found = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(TAG), 0))
-    return documents.where(F.col(text).isNotNull()).select(*doc, F.posexplode(F.arrays_zip(found.alias("tag"), F.split(text, TAG, -1).alias("after"))).alias("k", "_t")).select(*doc, "k", "_t.tag", "_t.after")
+# Marks of a tag, a row's and a cell's begin, the end of either, an item in a cell and its end, a table's tag (its
+# begin, with its level, later) and a table's end. ESCAPE and a letter stand for these in a text, and for < in an item.
+ESCAPE, TAGGED, ROW, CELL, END, ITEM, ITEM_END, TABLE, CLOSE = MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e"
+LETTERS = dict(zip(MARKS, "abcdefghi", strict=True))
+#: So many tags of tables are summed up at a time: a fold that appends to an array copies it.
+STRETCH = 512
 
 
-def placed_tags(documents: DataFrame, doc: list[str], text: str, levels: int = NESTING + 2) -> DataFrame:
-    """Tags with depth, the numbers (from 1, over the document) of table, row and cell at that depth and one above, and more.
+def escaped(text: Column) -> Column:
+    x = text
+    for mark, letter in LETTERS.items():  # ESCAPE itself is the first
+        x = F.replace(x, F.lit(mark), F.lit(ESCAPE + letter))
+    return F.when(text.rlike(f"[{MARKS}]"), x).otherwise(text)
 
-    ``opens`` tells a table's begin, ``ends`` the end of an outermost one, ``inside`` whether text behind the tag is a cell's.
+
+def plain(x: Column) -> Column:
+    """A text without the marks of its tags, as it was before it was escaped."""
+    out = F.translate(x, MARKS[1:], "")
+    for mark, letter in reversed(LETTERS.items()):
+        out = F.replace(out, F.lit(ESCAPE + letter), F.lit(mark))
+    return F.when(x.rlike(f"[{MARKS}]"), out).otherwise(x)
+
+
+def depths(steps: Column) -> Column:
+    """0 and, for each entry of 1 or -1, the sum up to it, which never falls below zero.
+
+    Long arrays are folded in stretches: what one does to a sum x is greatest(x + all, least), so their begins are known first.
     """
-    order = Window.partitionBy(*doc).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    name, closing = F.lower(F.regexp_extract("tag", r"^</?([a-zA-Z]+)", 1)), F.col("tag").startswith("</")
-    t = tags(documents, doc, text).withColumns({"name": name, "closing": closing})
-    step = F.when(F.col("name") != "table", 0).when(F.col("closing"), -1).otherwise(1)
-    # depth never falls below zero: the running sum less its least value so far
-    t = t.withColumn("_sum", F.sum(step).over(order)).withColumn("depth", (F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))).cast("int"))
-    t = t.withColumns({"opens": (F.col("name") == "table") & ~F.col("closing"), "_before": F.coalesce(F.lag("depth").over(Window.partitionBy(*doc).orderBy("k")), F.lit(0))})
-    t = t.withColumn("ends", (F.col("name") == "table") & F.col("closing") & (F.col("_before") == 1) & (F.col("depth") == 0))
-    starts = lambda *names: F.col("name").isin(*names) & ~F.col("closing")
-    counters: dict[str, list[Column]] = {"tab": [], "row": [], "cell": [], "inside": [], "begin": []}
-    for d in range(1, levels + 1):
-        here = F.col("depth") == d
-        counters["tab"].append(F.count_if(F.col("opens") & here).over(order))
-        counters["row"].append(F.count_if(starts("tr") & here).over(order))
-        counters["cell"].append(F.count_if(starts("td", "th") & here).over(order))
-        counters["begin"].append(F.last(F.when(F.col("opens") & here, F.col("k")), ignorenulls=True).over(order))
-        state = F.when(here & starts("td", "th"), True).when(here & (F.col("opens") | F.col("name").isin("tr", "td", "th")), False)
-        counters["inside"].append(F.coalesce(F.last(state, ignorenulls=True).over(order), F.lit(False)))
-    t = t.withColumns({f"_{k}": F.array(*v) for k, v in counters.items()})
-    at = lambda k, up: F.when(F.col("depth") > up, F.get(f"_{k}", F.col("depth") - 1 - up))
-    out = t.withColumns({k: at(k, 0) for k in counters} | {f"up_{k}": at(k, 1) for k in counters if k != "begin"})
-    return out.withColumn("top", F.get("_tab", F.lit(0))).drop("_sum", "_before", *[f"_{k}" for k in counters])
+
+    def fold(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda out, s: F.array_append(out, F.greatest(F.lit(0), F.element_at(out, -1) + s)))
+
+    def stretched(steps: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int")), lambda i: F.slice(steps, i * STRETCH + 1, F.lit(STRETCH)))
+
+        def folded(cut: Column) -> Column:
+            none = F.struct(F.lit(0).alias("all"), F.lit(0).alias("least"))
+            effects = F.transform(cut, lambda c: F.aggregate(c, none, lambda acc, s: F.struct((acc["all"] + s).alias("all"), F.greatest(F.lit(0), acc["least"] + s).alias("least"))))
+            starts = F.aggregate(effects, F.array(F.lit(0)), lambda out, e: F.array_append(out, F.greatest(F.element_at(out, -1) + e["all"], e["least"])))
+            sums = once(starts, lambda begin: F.transform(cut, lambda c, i: F.slice(fold(c, F.get(begin, i)), F.lit(2), F.size(c))))
+            return F.concat(F.array(F.lit(0)), F.flatten(sums))
+
+        return once(cut, folded)
+
+    return F.when(F.size(steps) > STRETCH, stretched(steps)).otherwise(fold(steps, F.lit(0)))
+
+
+def behind(x: Column) -> Column:
+    """What stands behind the tag that x begins with."""
+    return F.substr(x, F.instr(x, ">") + 1)
+
+
+def parted(text: Column) -> Column:
+    """A text's parts, each from a table's tag to the next (the first before all), tags marked, and the depth in each."""
+    marked = F.regexp_replace(F.regexp_replace(escaped(text), TAG, f"{TAGGED}$0"), f"{TAGGED}(?=</?[tT][aA])", TABLE)
+
+    def with_depths(parts: Column) -> Column:
+        steps = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(p.startswith("</"), -1).otherwise(1))
+        return F.struct(parts.alias("parts"), depths(steps).alias("depth"))
+
+    return once(F.split(marked, TABLE, -1), with_depths)
+
+
+def outermost(parted: Column) -> Column:
+    """Array of (begin, end): the parts with the begin and the end tag of each outermost table that is closed."""
+    depth = parted["depth"]
+    at = F.sequence(F.lit(0), F.size(depth) - 1)
+    change = lambda before, now: F.filter(at, lambda i: (i > 0) & (F.get(depth, i) == now) & (F.get(depth, i - 1) == before))
+    pairs = F.arrays_zip(change(0, 1).alias("begin"), change(1, 0).alias("end"))
+    return F.filter(pairs, lambda x: x["end"].isNotNull())
+
+
+def inner(parted: Column, begin: Column, end: Column) -> Column:
+    """All inside an outermost table, tags of tables in it replaced by marks with their levels; those too deep are left out."""
+    parts, depth = parted["parts"], parted["depth"]
+    deepest = NESTING + 2
+
+    def marked(p: Column, i: Column) -> Column:
+        now, before = F.get(depth, begin + i), F.get(depth, begin + i - 1)
+        opened = F.when(now <= deepest, F.concat(F.lit(TABLE), now.cast("string"), behind(p)))
+        closed = F.when(before <= deepest, F.concat(F.lit(CLOSE), before.cast("string"), behind(p))).when(now == deepest, behind(p))
+        return F.when(i == 0, behind(p)).when(now > before, opened).otherwise(closed)
+
+    x = F.array_join(F.transform(F.slice(parts, begin + 1, end - begin), marked), "")
+    for pattern, mark in (("(?=<[tT][rR])", ROW), ("(?=<[tT][dDhH])", CELL), ("</[^>]*>", END)):
+        x = F.regexp_replace(x, TAGGED + pattern, mark)
+    return x
+
+
+def exploded(rows: DataFrame, keys: list[str], array: str, at: str, entry: str) -> DataFrame:
+    """Entries of an array that was just computed; the filter that Spark puts before a plain explode computes it once more."""
+    return rows.select(*keys, F.posexplode_outer(array).alias(at, entry)).where(F.col(at).isNotNull())
+
+
+def placed_tags(documents: DataFrame, doc: list[str], text: str) -> DataFrame:
+    """doc, top (from 1), html: what stands in each outermost table that is closed, tags marked, tables in it contracted."""
+    found = documents.where(F.col(text).rlike(r"(?i)<table[\s/>]")).select(*doc, once(parted(F.col(text)), contents).alias("_t"))
+    return exploded(found, doc, "_t", "top", "html").withColumn("top", F.col("top") + 1)
+
+
+def contents(parted: Column) -> Column:
+    return F.transform(outermost(parted), lambda x: contracted(inner(parted, x["begin"], x["end"])))
 
 
 def span(tag: Column, name: str, most: int) -> Column:
@@ -69,86 +137,81 @@ def span(tag: Column, name: str, most: int) -> Column:
 
 def inline(html: Column) -> Column:
     """A cell's own markup on one line: blocks and breaks as <br>, emphasis as Markdown, other tags gone, entities read."""
-    x = F.regexp_replace(F.trim(F.regexp_replace(html, r"\s+", " ")), r"(?i)</(?:p|div|h[1-6]|ul|ol|li|blockquote|pre)\s*>|<br\s*/?>", "\n")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?i)</?(?:strong|b)(?:\s[^>]*)?>", "**"), r"(?i)</?(?:em|i)(?:\s[^>]*)?>", "*")
-    x = unescaped(F.regexp_replace(x, r"</?[a-zA-Z][^>]*>", ""))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+\z", ""), "\n", "<br>")
+    entities = lambda x: F.when(x.contains("&"), unescaped(x)).otherwise(x)
 
+    def without_tags(x: Column) -> Column:
+        x = F.regexp_replace(x, r"(?i)</(?:p|div|h[1-6]|ul|ol|li|blockquote|pre)\s*>|<br\s*/?>", "\n")
+        x = F.regexp_replace(F.regexp_replace(x, r"(?i)</?(?:strong|b)(?:\s[^>]*)?>", "**"), r"(?i)</?(?:em|i)(?:\s[^>]*)?>", "*")
+        x = once(F.regexp_replace(x, r"</?[a-zA-Z][^>]*>", ""), entities)
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+\z", ""), "\n", "<br>")
 
-def flattened(entries: Column, depth: Column) -> Column:
-    """A table in a cell as text: its size, then its rows.
+    on_a_line = lambda x: once(F.trim(F.regexp_replace(x, r"\s+", " ")), lambda x: F.when(x.contains("<"), without_tags(x)).otherwise(entities(x)))
+    return once(html, lambda x: F.when(x.rlike(r"[\s<&]"), on_a_line(x)).otherwise(x))
 
-    ``entries``: array of (row, cell, k, text), cell -1 for a row's begin, k -1 for a cell's own text, which comes first, else
-    the place of a table in the cell.
-    """
 
-    def whole(entries: Column) -> Column:
-        rows = F.array_distinct(F.transform(entries, lambda x: x["row"]))
-        first = F.size(F.filter(entries, lambda x: (x["row"] == F.get(rows, F.lit(0))) & (x["cell"] >= 0) & (x["k"] < 0)))
+def row_texts(html: Column) -> Column:
+    """Rows of a table as texts: cells before the first row's begin are a row of their own."""
+    return once(F.split(html, ROW, -1), lambda r: F.when(F.get(r, F.lit(0)).contains(CELL), r).otherwise(F.slice(r, F.lit(2), F.size(r))))
 
-        def piece(x: Column, i: Column) -> Column:
-            before = F.get(entries, i - 1)
-            same_cell = F.when(before["text"] == "", "").otherwise(ROW_SEPARATOR)
-            sign = F.when(i == 0, "").when(before["row"] != x["row"], ROW_SEPARATOR).when(before["cell"] < 0, "").when(before["cell"] != x["cell"], CELL_SEPARATOR).otherwise(same_cell)
-            return F.concat(sign, F.coalesce(x["text"], F.lit("")))
 
-        size = F.concat(F.lit("(표 "), F.size(rows).cast("string"), F.lit("×"), F.coalesce(first, F.lit(0)).cast("string"), F.lit(")"))
-        body = F.when(F.size(rows) == 0, "").otherwise(F.concat(F.lit(ROW_SEPARATOR), F.array_join(F.transform(entries, piece), "")))
-        return F.concat(size, F.when(depth >= NESTING, TOO_DEEP).otherwise(body))
+def cell_texts(row: Column) -> Column:
+    """Cells of a row, each from its tag to the first end of a cell or row behind it."""
+    return F.transform(F.filter(F.split(row, CELL, -1), lambda _, i: i > 0), lambda c: F.substring_index(c, END, 1))
 
-    return once(F.array_sort(F.filter(entries, lambda x: x["row"] >= 0)), whole)
 
+def cell_line(cell: Column) -> Column:
+    """A cell's own text and the tables in it, in order, without what is empty."""
+    item = f"{ITEM}([^{ITEM_END}]*+){ITEM_END}"
 
-def contracted(nested: DataFrame, doc: list[str], levels: int) -> DataFrame:
-    """doc, top, row, cell, k, text: the tables inside cells of outermost tables, each a line of text.
+    def with_items(x: Column) -> Column:
+        every = F.concat(F.array(inline(F.regexp_replace(x, item, ""))), F.regexp_extract_all(x, F.lit(item), 1))
+        return F.array_join(F.filter(every, lambda x: x != ""), ROW_SEPARATOR)
 
-    ``nested`` has the cells below (lvl from 2 on): own text with k = -1, and the cell of the level above that their table is
-    in. Level after level, from the deepest, tables become items of these cells; rows of other levels pass as they are.
-    """
-    ups = ["up_tab", "up_row", "up_cell", "up_k"]
-    for level in range(levels, 1, -1):
-        now = F.col("lvl") == level
-        keys = [F.when(now, -2).otherwise(F.col(c)).alias(f"_{c}") for c in ("row", "cell", "k")]
-        tables = nested.groupBy(*doc, "top", "lvl", "tab", *keys).agg(F.collect_list(F.struct("row", "cell", "k", "text")).alias("_e"), *[F.max(c).alias(c) for c in ups])
-        now = F.col("_row") == -2
-        # made before the select below renames lvl
-        tables = tables.withColumn("text", F.when(now, flattened(F.col("_e"), F.col("lvl") - 2)).otherwise(F.get("_e", F.lit(0))["text"]))
-        moved = lambda up, own: F.when(F.col("_row") == -2, F.col(up)).otherwise(F.col(own))
-        nested = tables.where(~now | F.col("up_k").isNotNull()).select(
-            *doc, "top", F.when(now, F.col("lvl") - 1).otherwise(F.col("lvl")).alias("lvl"), moved("up_tab", "tab").alias("tab"),
-            moved("up_row", "_row").alias("row"), moved("up_cell", "_cell").alias("cell"), moved("up_k", "_k").alias("k"), "text",
-            *[F.when(~now, F.col(c)).alias(c) for c in ups],
-        )
-    return nested.select(*doc, "top", "row", "cell", "k", "text")
-
-
-def top_cells(placed: DataFrame, doc: list[str], levels: int = NESTING + 2) -> DataFrame:
+    return once(behind(cell), lambda x: F.when(x.contains(ITEM), with_items(x)).otherwise(inline(x)))
+
+
+def flattened(html: Column, depth: Column) -> Column:
+    """A table in a cell as text: its size, then its rows."""
+
+    def whole(rows: Column) -> Column:
+        first = F.when(F.size(rows) > 0, F.size(cell_texts(F.get(rows, F.lit(0))))).otherwise(0)
+        size = F.concat(F.lit("(표 "), F.size(rows).cast("string"), F.lit("×"), first.cast("string"), F.lit(")"))
+        lines = F.transform(rows, lambda r: F.array_join(F.transform(cell_texts(r), cell_line), CELL_SEPARATOR))
+        return F.when(depth >= NESTING, F.concat(size, F.lit(TOO_DEEP))).otherwise(F.array_join(F.concat(F.array(size), lines), ROW_SEPARATOR))
+
+    return F.replace(once(row_texts(html), whole), F.lit("<"), F.lit(f"{ESCAPE}y"))
+
+
+def contracted(html: Column) -> Column:
+    """What stands in an outermost table with each table in it as an item: level after level, from the deepest."""
+
+    def level(x: Column, n: Column) -> Column:
+        pattern = F.concat(F.lit(TABLE), n.cast("string"), F.lit(f"([^{TABLE}{CLOSE}]*+){CLOSE}"), n.cast("string"))
+        put = lambda before, table: F.when(table.isNull(), before).otherwise(F.concat(before, F.lit(ITEM), flattened(table, n - 2), F.lit(ITEM_END)))
+        made = F.array_join(F.zip_with(F.split(x, pattern, -1), F.regexp_extract_all(x, pattern, 1), put), "")
+        return F.when(x.contains(F.concat(F.lit(TABLE), n.cast("string"))), made).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(NESTING + 2), F.lit(2), F.lit(-1)), html, level)
+
+
+def row_cells(html: Column) -> Column:
+    """Rows of an outermost table, each an array of (text, col_span, row_span); marks in a text are still escaped."""
+
+    def cell(c: Column) -> Column:
+        tag = F.substring_index(c, ">", 1)
+        spans = lambda name, most: F.when(tag.rlike(rf"(?i)\s{name}"), span(tag, name, most)).otherwise(1)
+        text = F.replace(cell_line(c), F.lit(f"{ESCAPE}y"), F.lit("<"))
+        return F.struct(text.alias("text"), spans("colspan", MOST_COLUMNS).alias("col_span"), spans("rowspan", MOST_ROWS).alias("row_span"))
+
+    return F.transform(row_texts(html), lambda r: F.transform(cell_texts(r), cell))
+
+
+def top_cells(placed: DataFrame, doc: list[str]) -> DataFrame:
     """doc, top (number of an outermost table), row, cell, text, col_span, row_span; cell -1 marks a row's begin."""
-    closed = placed.withColumn("_closed", F.max("ends").over(Window.partitionBy(*doc, "top")))
-    inner = closed.where(F.col("_closed") & (F.col("depth") >= 1) & (F.col("depth") <= levels) & (F.col("top") > 0))
-    row_begin = (F.col("name") == "tr") & ~F.col("closing")
-    cell_begin = F.col("name").isin("td", "th") & ~F.col("closing")
-    up_k = F.when(F.coalesce("up_inside", F.lit(False)), F.col("begin"))
-    kept = inner.where(F.col("inside") | row_begin | F.col("opens")).select(
-        *doc, "top", F.col("depth").alias("lvl"), "tab", F.when(F.col("opens"), -1).otherwise(F.col("row")).alias("row"), F.when(F.col("inside"), F.col("cell")).otherwise(-1).alias("cell"),
-        "k", F.when(F.col("inside"), F.col("after")).alias("piece"), F.when(cell_begin, span(F.col("tag"), "colspan", MOST_COLUMNS)).alias("col_span"),
-        F.when(cell_begin, span(F.col("tag"), "rowspan", MOST_ROWS)).alias("row_span"), "up_tab", "up_row", "up_cell", up_k.alias("up_k"),
-    )
-
-    def own_cells(some: DataFrame, *rest: str) -> DataFrame:
-        """A row a cell with its own text; what the rest has is the same in all rows of a cell but for nulls."""
-        pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
-        return some.groupBy(*doc, "top", "lvl", "tab", "row", "cell").agg(inline(pieces).alias("text"), *[F.max(c).alias(c) for c in rest])
-
-    top = own_cells(kept.where("lvl = 1 AND row >= 0"), "col_span", "row_span")
-    if levels == 1:
-        return top.select(*doc, "top", "row", "cell", "text", "col_span", "row_span")
-    below = own_cells(kept.where("lvl > 1"), "up_tab", "up_row", "up_cell", "up_k").withColumn("k", F.lit(-1))
-    none = F.lit(None).cast("int")
-    items = contracted(below, doc, levels).withColumns({"col_span": none, "row_span": none})
-    every = top.withColumn("k", F.lit(-1)).select(*items.columns).unionByName(items)
-    text = F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), lambda x: x != ""), ROW_SEPARATOR)
-    return every.groupBy(*doc, "top", "row", "cell").agg(text.alias("text"), F.max("col_span").alias("col_span"), F.max("row_span").alias("row_span"))
+    rows = exploded(placed.withColumn("_r", row_cells(F.col("html"))), [*doc, "top"], "_r", "row", "_c")
+    begins = rows.selectExpr(*doc, "top", "row", "-1 AS cell", "cast(null AS string) AS text", "cast(null AS int) AS col_span", "cast(null AS int) AS row_span")
+    each = exploded(rows, [*doc, "top", "row"], "_c", "cell", "_c")
+    return begins.unionByName(each.select(*doc, "top", "row", "cell", plain(F.col("_c.text")).alias("text"), "_c.col_span", "_c.row_span"))
 
 
 def placed_rows(rows: Column) -> Column:
@@ -193,6 +256,22 @@ def placed_rows(rows: Column) -> Column:
     return F.aggregate(rows, start, row, lambda state: state["done"])
 
 
+def rectangle(rows: Column) -> Column:
+    """Rows of (text, col_span, row_span) as rows of texts of one width; those too short end with blanks.
+
+    A table in which nothing spans is the rows that it has.
+    """
+    spanned = F.exists(rows, lambda r: F.exists(r, lambda c: (c["col_span"] > 1) | (c["row_span"] > 1)))
+    lines = F.when(spanned, placed_rows(rows)).otherwise(F.transform(rows, lambda r: F.transform(r, lambda c: c["text"])))
+    filled = lambda lines: once(F.array_max(F.transform(lines, F.size)), lambda width: F.transform(lines, lambda x: F.when(F.size(x) < width, F.concat(x, F.array_repeat(F.lit(""), width - F.size(x)))).otherwise(x)))
+    return once(lines, filled)
+
+
+def positions(rectangles: DataFrame, keys: list[str], lines: str) -> DataFrame:
+    """keys, row, col, text, from 0."""
+    return exploded(exploded(rectangles, keys, lines, "row", "_line"), [*keys, "row"], "_line", "col", "text")
+
+
 def grids(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells (row, cell, text, col_span, row_span; cell -1 marks a row's begin) as rectangles: keys, row, col, text, from 0.
 
@@ -201,39 +280,34 @@ def grids(cells: DataFrame, keys: list[str]) -> DataFrame:
     own = F.struct("cell", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("col_span").cast("int"), F.lit(1)).alias("col_span"), F.coalesce(F.col("row_span").cast("int"), F.lit(1)).alias("row_span"))
     rows = cells.groupBy(*keys, "row").agg(F.filter(F.array_sort(F.collect_list(own)), lambda x: x["cell"] >= 0).alias("_c"))
     tables = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "_c"))), lambda x: x["_c"]).alias("_rows"))
-    done = tables.select(*keys, placed_rows(F.col("_rows")).alias("_done")).withColumn("_width", F.array_max(F.transform("_done", F.size)))
-    each = done.select(*keys, "_width", F.posexplode("_done").alias("row", "_line"))
-    filled = F.concat("_line", F.array_repeat(F.lit(""), F.col("_width") - F.size("_line")))
-    return each.select(*keys, "row", F.posexplode(filled).alias("col", "text"))
+    return positions(tables.select(*keys, once(F.col("_rows"), rectangle).alias("_lines")), keys, "_lines")
 
 
-def deepest(documents: DataFrame, text: str) -> int:
-    """Levels that have to be resolved: the deepest nesting, NESTING + 2 at most; one pass without a shuffle, one number."""
+def tables(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
+    """Outermost tables of each document as rectangles: doc, top (from 1), row, col, text."""
+    lines = placed_tags(documents, doc, text).select(*doc, "top", once(row_cells(F.col("html")), rectangle).alias("_lines"))
+    return positions(lines, [*doc, "top"], "_lines").withColumn("text", plain(F.col("text")))
 
-    def step(acc: Column, tag: Column) -> Column:
-        now = F.when(tag.startswith("</"), F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"] + 1)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    depth = F.aggregate(F.regexp_extract_all(text, F.lit(r"(?i)</?table(?=[\s/>])"), 0), start, step, lambda acc: acc["most"])
-    return min(NESTING + 2, documents.where(F.col(text).isNotNull()).agg(F.max(depth)).first()[0] or 0)
+def normalized(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
+    """doc and the text with each outermost table as a pipe table; one without cells, and all else, stays as it is."""
 
+    def whole(parted: Column) -> Column:
+        parts = parted["parts"]
+        joined = lambda start, end: F.array_join(F.slice(parts, start + 1, end - start), "")
 
-def tables(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """Outermost tables of each document as rectangles: doc, top (from 1), row, col, text."""
-    levels = max(1, deepest(documents, text))
-    return grids(top_cells(placed_tags(documents, doc, text, levels), doc, levels), [*doc, "top"])
+        def written(found: Column) -> Column:
+            def piece(x: Column, k: Column) -> Column:
+                """A table and what stands behind it up to the next."""
+                then = F.coalesce(F.get(found, k + 1)["begin"], F.size(parts))
+                made = once(once(row_cells(contracted(inner(parted, x["begin"], x["end"]))), rectangle), pipe_table)
+                last, rest = F.get(parts, x["end"]), joined(x["end"] + 1, then)
+                return once(made, lambda m: F.when(m.isNull(), F.concat(joined(x["begin"], x["end"]), last, rest)).otherwise(F.concat(m, behind(last), rest)))
 
+            first = F.coalesce(F.get(found, F.lit(0))["begin"], F.size(parts))
+            return F.concat(joined(F.lit(0), first), F.array_join(F.transform(found, piece), ""))
 
-def normalized(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
-    """doc and the text with each outermost table as a pipe table; one without rows, and all else, stays as it is."""
-    some = documents.where(F.col(text).rlike(r"(?i)<table[\s>]"))
-    levels = max(1, deepest(some, text))
-    placed = placed_tags(some, doc, text, levels)
-    written = pipe_tables(grids(top_cells(placed, doc, levels), [*doc, "top"]), [*doc, "top"])
-    begins, within = F.col("opens") & (F.col("depth") == 1), F.col("markdown").isNotNull()
-    in_table = (F.col("depth") >= 1) & (F.col("top") > 0)
-    piece = F.when(within & begins, F.col("markdown")).when(within & in_table, "").when(within & F.col("ends"), F.col("after")).otherwise(F.concat("tag", "after"))
-    pieces = placed.select(*doc, "top", "k", "tag", "after", "depth", "opens", "ends").join(written, [*doc, "top"], "left").select(*doc, "k", piece.alias("piece"))
-    made = pieces.groupBy(*doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("_made"))
-    return documents.select(*doc, text).join(made, doc, "left").select(*doc, F.coalesce("_made", text).alias(text))
+        return plain(once(outermost(parted), written))
+
+    made = F.when(F.col(text).rlike(r"(?i)<table[\s/>]"), once(parted(F.col(text)), whole)).otherwise(F.col(text))
+    return documents.select(*doc, made.alias(text))

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.operators import html_tables as T
 
@@ -172,3 +173,32 @@ def test_one_shuffle_by_document(spark):
     plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     # cells of outermost tables and of those inside read one and the same shuffle
     assert plan.count("Exchange hashpartitioning(doc") - plan.count("ReusedExchange") <= 1
+
+
+def test_a_text_is_one_row_all_along(spark):
+    """No row a tag, no window, no shuffle and no second reading of the texts."""
+    docs = spark.range(10).selectExpr("id AS doc", "'<table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table>' AS text")
+    for made in (T.tables(docs, ["doc"]), T.normalized(docs, ["doc"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan and "Aggregate(" not in plan
+
+
+def test_marks_in_a_text_stay(spark):
+    """Control characters of the text itself, also inside tables, and tags that stand in other tags."""
+    own = "".join(T.MARKS) + T.ESCAPE + "ay"
+    text = f"{own}<table><tr><td title='<table>'>{own}&lt;td&gt;<table><tr><td>{own}&lt;tr&gt;{own}</table></td><td>{T.TABLE}2</td></tr></table>{own}</table>{own}"
+    cell = f"'>{own}<td><br>(표 1×1)<br>{own}<tr>{own}"
+    docs = spark.createDataFrame([(1, text), (2, f"{own}<table>{own}")], "doc long, text string")
+    assert [(r["col"], r["text"]) for r in T.tables(docs, ["doc"]).orderBy("col").collect()] == [(0, cell), (1, f"{T.TABLE}2")]
+    made = {r["doc"]: r["text"] for r in T.normalized(docs, ["doc"]).collect()}
+    assert made == {1: f"{own}| {cell} | {T.TABLE}2 |\n| --- | --- |{own}</table>{own}", 2: f"{own}<table>{own}"}
+
+
+def test_depths_in_stretches(spark):
+    rng = random.Random(3)
+    rows = [([rng.choice(x) for _ in range(n)],) for n in (0, 1, 5, T.STRETCH, T.STRETCH + 1, 3 * T.STRETCH, 3000) for x in ((1, -1), (1, 1, -1), (1, -1, -1))]
+    for r in spark.createDataFrame(rows, "steps array<int>").select("steps", T.depths(F.col("steps")).alias("found")).collect():
+        expected = [0]
+        for s in r["steps"]:
+            expected.append(max(0, expected[-1] + s))
+        assert r["found"] == expected

@@ -250,7 +250,11 @@ def placed_rows(rows: Column) -> Column:
 
     def row(state: Column, cells: Column) -> Column:
         begin = F.struct(F.lit(0).alias("col"), state["left"].alias("left"), F.array().cast("array<string>").alias("out"))
-        return once(F.aggregate(cells, begin, put), lambda acc: rest_of_row(acc, state["done"]))
+        folded = once(F.aggregate(cells, begin, put), lambda acc: rest_of_row(acc, state["done"]))
+        # nothing from above and nothing that spans: the cells are the row
+        free = ~F.exists(state["left"], lambda x: x > 0) & ~F.exists(cells, lambda c: (c["col_span"] > 1) | (c["row_span"] > 1))
+        as_is = F.struct(state["left"].alias("left"), F.concat(state["done"], F.array(F.transform(cells, lambda c: c["text"]))).alias("done"))
+        return F.when(free, as_is).otherwise(folded)
 
     start = F.struct(F.array().cast("array<int>").alias("left"), F.array().cast("array<array<string>>").alias("done"))
     return F.aggregate(rows, start, row, lambda state: state["done"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..operators import grid as G
 from ..operators import html_tables as T
 from .registry import query, table
@@ -46,13 +47,12 @@ CLIPPED_SQL = "clipped AS (SELECT m.sheet, r1, c1, least(r2, r) AS r2, least(c2,
 @query(f"WITH {CELLS_SQL}, {MERGES_SQL}, {CLIPPED_SQL} SELECT d.sheet, d.row, d.col, CASE WHEN m.r1 IS NULL THEN d.text WHEN d.row > m.r1 THEN '↑' WHEN d.col > m.c1 THEN '←' ELSE d.text END AS text FROM dense d LEFT JOIN clipped m ON m.sheet = d.sheet AND d.row BETWEEN m.r1 AND m.r2 AND d.col BETWEEN m.c1 AND m.c2")
 def q_span_grid(spark: SparkSession, d: str) -> DataFrame:
     """Rectangles from cells with spans alone: where each cell stands is found again from the rows above it."""
-    dense = G.dense(cells(spark, d), ["sheet"])
-    size = dense.groupBy("sheet").agg(F.max("row").alias("_r"), F.max("col").alias("_c"))
-    m = merges(spark, d).join(size, "sheet").where("r2 >= r1 AND c2 >= c1 AND r1 <= _r AND c1 <= _c")
-    spans = G.merge_cells(m.select("sheet", "r1", "c1", F.least("r2", "_r").alias("r2"), F.least("c2", "_c").alias("c2"))).select("sheet", "row", "col", "origin", "row_span", "col_span")
-    left = dense.join(spans, ["sheet", "row", "col"], "left").where("origin IS NULL OR origin").select("sheet", "row", F.col("col").alias("cell"), "text", "col_span", "row_span")
-    begins = dense.select("sheet", "row").distinct().selectExpr("sheet", "row", "-1 AS cell", "cast(null AS string) AS text", "cast(null AS int) AS col_span", "cast(null AS int) AS row_span")
-    return T.grids(left.unionByName(begins), ["sheet"])
+    own = cells(spark, d).select("sheet", F.struct("row", "col", "text").alias("cell"))
+    every = own.unionByName(merges(spark, d).select("sheet", F.struct("r1", "c1", "r2", "c2").alias("merge")), allowMissingColumns=True)
+    # a sheet is one row from here on: its positions are neither joined nor sorted
+    sheets = every.groupBy("sheet").agg(F.collect_list("cell").alias("cells"), F.collect_list("merge").alias("merges")).where(F.size("cells") > 0)
+    rows = sheets.select("sheet", G.spanned_lines(G.dense_lines(F.col("cells")), F.col("merges")).alias("rows"))
+    return T.positions(rows.select("sheet", once(F.col("rows"), T.rectangle).alias("lines")), ["sheet"], "lines")
 
 
 @query(f"""

@@ -82,3 +82,55 @@ def test_bounds_do_not_read_postings(spark, corpus):
 def test_empty_index(spark, corpus):
     index = I.build(corpus.limit(0), "doc", fresh_path(spark, "index"))
     assert index.docs == 0 and index.top(spark.createDataFrame([(1, ["w0"])], "query int, words array<string>")).count() == 0
+
+
+def shuffled(spark, run):
+    """run() and the rows that it shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    seen = {s.stageId() for s in stages(store)}
+    made = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return made, sum(s.shuffleWriteRecords() for s in stages(store) if s.stageId() not in seen)
+
+
+def stages(store):
+    found = store.stageList(None, *[getattr(store, f"stageList$default${n}")() for n in range(2, 6)])
+    return [found.apply(k) for k in range(found.size())]
+
+
+def test_neither_texts_nor_postings_are_shuffled(spark, corpus):
+    rows = spark.createDataFrame(corpus.collect(), corpus.schema).coalesce(4)
+    index, n = shuffled(spark, lambda: I.build(rows, "doc", fresh_path(spark, "index")))
+    blocks = index.table("blocks")
+    words, postings = blocks.select("word").distinct().count(), blocks.agg(F.sum("n")).first()[0]
+    assert n <= 4 * words + 10 < index.docs < postings / 10  # words with their counts, a task
+    queries = spark.createDataFrame([(1, ["w250", "rare"])], "query int, words array<string>")
+    found, n = shuffled(spark, lambda: index.top(queries, 3).collect())
+    assert len(found) == 3 and n < blocks.count() / 2
+
+
+def test_a_range_in_several_batches_and_tasks(spark, corpus):
+    """Batches that end within a range give the same blocks; blocks of a range that two tasks read are added up."""
+    index = I.build(corpus, "doc", fresh_path(spark, "index"), size=16)
+    rows = index.table("documents").where("length > 0").orderBy("at").select("at", "words", "length").toArrow()
+    made = [[r for b in I.layout(16, index.mean)(iter(rows.to_batches(n))) for r in b.to_pylist()] for n in (7, 10_000)]
+    assert made[0] == made[1] and len(made[0]) == index.table("blocks").count()
+    halves = [r for part in (rows.slice(0, 1005), rows.slice(1005)) for b in I.layout(16, index.mean)(iter(part.to_batches())) for r in b.to_pylist()]
+    assert len(halves) > len(made[0])
+    other = I.SearchIndex(spark, fresh_path(spark, "index"), index.docs, index.mean, 16)
+    spark.createDataFrame(halves, index.table("blocks").schema).write.parquet(f"{other.path}/blocks")
+    for name in ("documents", "words"):
+        index.table(name).write.parquet(f"{other.path}/{name}")
+    queries = spark.createDataFrame(list(QUERIES.items()), "query int, words array<string>")
+    assert sorted(other.top(queries, 10).collect()) == sorted(index.top(queries, 10).collect())
+
+
+def test_many_queries_in_lots(spark, corpus, monkeypatch):
+    """Queries in several lots, and nothing broadcast."""
+    index = I.build(corpus, "doc", fresh_path(spark, "index"), size=16)
+    queries = spark.createDataFrame(list(QUERIES.items()), "query int, words array<string>")
+    expected = sorted(index.top(queries, 10).collect())
+    monkeypatch.setattr(I, "AT_A_TIME", 2)
+    monkeypatch.setattr(I, "BROADCAST_ROWS", 3)
+    assert expected and sorted(index.top(queries, 10).collect()) == expected

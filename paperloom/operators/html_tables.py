@@ -1,9 +1,8 @@
-"""HTML tables inside Markdown text as rows: nesting resolved by levels, spans by a fold, all in expressions over a text.
+"""HTML tables inside Markdown text as rows: nesting and spans resolved in a text's own row.
 
-A text is one row all along, so nothing is shuffled or sorted: its tags are marked by control characters (those that a text
-has itself are escaped first), running sums over the tags of tables give each its depth, and levels are contracted from the
-deepest up: the tables of a level, found by their marks, become one line of text each, an item of the cell around them. Only
-cells of outermost tables become rows.
+A text is one row all along, so nothing is shuffled or sorted: a stack over its tags (``functions.tables``, over Arrow batches)
+gives its outermost tables, with each table in a cell as a line of that cell's text. Only cells of outermost tables become
+rows. Cells that come as rows (``grids``) are laid out by a fold over a table's rows.
 
 Defined cases: a null text has no tables; a table that is never closed, and with it all up to the document's end, stays as
 it is; a closing tag without an opening one is ignored; a table in no cell of the table around it goes; cells that aren't
@@ -12,41 +11,37 @@ closed end where the next cell or row begins; documents are told apart by ``doc`
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from ..functions.html import unescaped
-from ..functions.text import once
-from .grid import LEFT, UP, pipe_table
+from ..functions import tables as T
+from ..functions.tables import LEFT, TAG, UP
+from ..functions.text import by_row, once
 
-TAG = r"(?i)</?(?:table|tr|t[dh])(?=[\s/>])[^>]*>"
-# How a table inside a cell is written, and the depth of nesting from which only its size is.
-CELL_SEPARATOR, ROW_SEPARATOR, TOO_DEEP, NESTING = " · ", "<br>", " 깊이 초과 생략", 5
-#: Spans beyond these are taken as these, as browsers do.
-MOST_COLUMNS, MOST_ROWS = 1000, 65534
+# Control characters by which tags were marked; they are text like any other now.
+ESCAPE, TABLE, MARKS = "\x01", "\x08", "\x01\x02\x03\x04\x05\x06\x07\x08\x0e"
+#: So many steps are summed up at a time: a fold that appends to an array copies it.
+STRETCH = 512
+CELL = StructType().add("text", StringType()).add("col_span", IntegerType()).add("row_span", IntegerType())
+ARROW_CELL = pa.struct([("text", pa.string()), ("col_span", pa.int32()), ("row_span", pa.int32())])
+HAS_TABLE = r"(?i)<table[\s/>]"
 
 
-# Marks of a tag, a row's and a cell's begin, the end of either, an item in a cell and its end, a table's tag (its
-# begin, with its level, later) and a table's end. ESCAPE and a letter stand for these in a text, and for < in an item.
-ESCAPE, TAGGED, ROW, CELL, END, ITEM, ITEM_END, TABLE, CLOSE = MARKS = "\x01\x02\x03\x04\x05\x06\x07\x08\x0e"
-LETTERS = dict(zip(MARKS, "abcdefghi", strict=True))
-#: So many tags of tables are summed up at a time: a fold that appends to an array copies it.
-STRETCH = 512
+@F.arrow_udf(ArrayType(ArrayType(ArrayType(CELL))))
+def cells_of(texts: pa.Array) -> pa.Array:
+    return by_row(T.tables, pa.list_(pa.list_(pa.list_(ARROW_CELL))), texts)
 
 
-def escaped(text: Column) -> Column:
-    x = text
-    for mark, letter in LETTERS.items():  # ESCAPE itself is the first
-        x = F.replace(x, F.lit(mark), F.lit(ESCAPE + letter))
-    return F.when(text.rlike(f"[{MARKS}]"), x).otherwise(text)
+@F.arrow_udf(ArrayType(ArrayType(ArrayType(StringType()))))
+def rectangles_of(texts: pa.Array) -> pa.Array:
+    return by_row(T.rectangles, pa.list_(pa.list_(pa.list_(pa.string()))), texts)
 
 
-def plain(x: Column) -> Column:
-    """A text without the marks of its tags, as it was before it was escaped."""
-    out = F.translate(x, MARKS[1:], "")
-    for mark, letter in reversed(LETTERS.items()):
-        out = F.replace(out, F.lit(ESCAPE + letter), F.lit(mark))
-    return F.when(x.rlike(f"[{MARKS}]"), out).otherwise(x)
+@F.arrow_udf(StringType())
+def normalized_text(texts: pa.Array) -> pa.Array:
+    return by_row(T.normalized, pa.string(), texts)
 
 
 def depths(steps: Column) -> Column:
@@ -73,145 +68,23 @@ def depths(steps: Column) -> Column:
     return F.when(F.size(steps) > STRETCH, stretched(steps)).otherwise(fold(steps, F.lit(0)))
 
 
-def behind(x: Column) -> Column:
-    """What stands behind the tag that x begins with."""
-    return F.substr(x, F.instr(x, ">") + 1)
-
-
-def parted(text: Column) -> Column:
-    """A text's parts, each from a table's tag to the next (the first before all), tags marked, and the depth in each."""
-    marked = F.regexp_replace(F.regexp_replace(escaped(text), TAG, f"{TAGGED}$0"), f"{TAGGED}(?=</?[tT][aA])", TABLE)
-
-    def with_depths(parts: Column) -> Column:
-        steps = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.when(p.startswith("</"), -1).otherwise(1))
-        return F.struct(parts.alias("parts"), depths(steps).alias("depth"))
-
-    return once(F.split(marked, TABLE, -1), with_depths)
-
-
-def outermost(parted: Column) -> Column:
-    """Array of (begin, end): the parts with the begin and the end tag of each outermost table that is closed."""
-    depth = parted["depth"]
-    at = F.sequence(F.lit(0), F.size(depth) - 1)
-    change = lambda before, now: F.filter(at, lambda i: (i > 0) & (F.get(depth, i) == now) & (F.get(depth, i - 1) == before))
-    pairs = F.arrays_zip(change(0, 1).alias("begin"), change(1, 0).alias("end"))
-    return F.filter(pairs, lambda x: x["end"].isNotNull())
-
-
-def inner(parted: Column, begin: Column, end: Column) -> Column:
-    """All inside an outermost table, tags of tables in it replaced by marks with their levels; those too deep are left out."""
-    parts, depth = parted["parts"], parted["depth"]
-    deepest = NESTING + 2
-
-    def marked(p: Column, i: Column) -> Column:
-        now, before = F.get(depth, begin + i), F.get(depth, begin + i - 1)
-        opened = F.when(now <= deepest, F.concat(F.lit(TABLE), now.cast("string"), behind(p)))
-        closed = F.when(before <= deepest, F.concat(F.lit(CLOSE), before.cast("string"), behind(p))).when(now == deepest, behind(p))
-        return F.when(i == 0, behind(p)).when(now > before, opened).otherwise(closed)
-
-    x = F.array_join(F.transform(F.slice(parts, begin + 1, end - begin), marked), "")
-    for pattern, mark in (("(?=<[tT][rR])", ROW), ("(?=<[tT][dDhH])", CELL), ("</[^>]*>", END)):
-        x = F.regexp_replace(x, TAGGED + pattern, mark)
-    return x
-
-
 def exploded(rows: DataFrame, keys: list[str], array: str, at: str, entry: str) -> DataFrame:
     """Entries of an array that was just computed; the filter that Spark puts before a plain explode computes it once more."""
     return rows.select(*keys, F.posexplode_outer(array).alias(at, entry)).where(F.col(at).isNotNull())
 
 
 def placed_tags(documents: DataFrame, doc: list[str], text: str) -> DataFrame:
-    """doc, top (from 1), html: what stands in each outermost table that is closed, tags marked, tables in it contracted."""
-    found = documents.where(F.col(text).rlike(r"(?i)<table[\s/>]")).select(*doc, once(parted(F.col(text)), contents).alias("_t"))
-    return exploded(found, doc, "_t", "top", "html").withColumn("top", F.col("top") + 1)
-
-
-def contents(parted: Column) -> Column:
-    return F.transform(outermost(parted), lambda x: contracted(inner(parted, x["begin"], x["end"])))
-
-
-def span(tag: Column, name: str, most: int) -> Column:
-    value = F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*[\"']?\s*(\d{{1,9}})", 1).try_cast("int")
-    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(value, F.lit(1))))
-
-
-def inline(html: Column) -> Column:
-    """A cell's own markup on one line: blocks and breaks as <br>, emphasis as Markdown, other tags gone, entities read."""
-    entities = lambda x: F.when(x.contains("&"), unescaped(x)).otherwise(x)
-
-    def without_tags(x: Column) -> Column:
-        x = F.regexp_replace(x, r"(?i)</(?:p|div|h[1-6]|ul|ol|li|blockquote|pre)\s*>|<br\s*/?>", "\n")
-        x = F.regexp_replace(F.regexp_replace(x, r"(?i)</?(?:strong|b)(?:\s[^>]*)?>", "**"), r"(?i)</?(?:em|i)(?:\s[^>]*)?>", "*")
-        x = once(F.regexp_replace(x, r"</?[a-zA-Z][^>]*>", ""), entities)
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+\z", ""), "\n", "<br>")
-
-    on_a_line = lambda x: once(F.trim(F.regexp_replace(x, r"\s+", " ")), lambda x: F.when(x.contains("<"), without_tags(x)).otherwise(entities(x)))
-    return once(html, lambda x: F.when(x.rlike(r"[\s<&]"), on_a_line(x)).otherwise(x))
-
-
-def row_texts(html: Column) -> Column:
-    """Rows of a table as texts: cells before the first row's begin are a row of their own."""
-    return once(F.split(html, ROW, -1), lambda r: F.when(F.get(r, F.lit(0)).contains(CELL), r).otherwise(F.slice(r, F.lit(2), F.size(r))))
-
-
-def cell_texts(row: Column) -> Column:
-    """Cells of a row, each from its tag to the first end of a cell or row behind it."""
-    return F.transform(F.filter(F.split(row, CELL, -1), lambda _, i: i > 0), lambda c: F.substring_index(c, END, 1))
-
-
-def cell_line(cell: Column) -> Column:
-    """A cell's own text and the tables in it, in order, without what is empty."""
-    item = f"{ITEM}([^{ITEM_END}]*+){ITEM_END}"
-
-    def with_items(x: Column) -> Column:
-        every = F.concat(F.array(inline(F.regexp_replace(x, item, ""))), F.regexp_extract_all(x, F.lit(item), 1))
-        return F.array_join(F.filter(every, lambda x: x != ""), ROW_SEPARATOR)
-
-    return once(behind(cell), lambda x: F.when(x.contains(ITEM), with_items(x)).otherwise(inline(x)))
-
-
-def flattened(html: Column, depth: Column) -> Column:
-    """A table in a cell as text: its size, then its rows."""
-
-    def whole(rows: Column) -> Column:
-        first = F.when(F.size(rows) > 0, F.size(cell_texts(F.get(rows, F.lit(0))))).otherwise(0)
-        size = F.concat(F.lit("(표 "), F.size(rows).cast("string"), F.lit("×"), first.cast("string"), F.lit(")"))
-        lines = F.transform(rows, lambda r: F.array_join(F.transform(cell_texts(r), cell_line), CELL_SEPARATOR))
-        return F.when(depth >= NESTING, F.concat(size, F.lit(TOO_DEEP))).otherwise(F.array_join(F.concat(F.array(size), lines), ROW_SEPARATOR))
-
-    return F.replace(once(row_texts(html), whole), F.lit("<"), F.lit(f"{ESCAPE}y"))
-
-
-def contracted(html: Column) -> Column:
-    """What stands in an outermost table with each table in it as an item: level after level, from the deepest."""
-
-    def level(x: Column, n: Column) -> Column:
-        pattern = F.concat(F.lit(TABLE), n.cast("string"), F.lit(f"([^{TABLE}{CLOSE}]*+){CLOSE}"), n.cast("string"))
-        put = lambda before, table: F.when(table.isNull(), before).otherwise(F.concat(before, F.lit(ITEM), flattened(table, n - 2), F.lit(ITEM_END)))
-        made = F.array_join(F.zip_with(F.split(x, pattern, -1), F.regexp_extract_all(x, pattern, 1), put), "")
-        return F.when(x.contains(F.concat(F.lit(TABLE), n.cast("string"))), made).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(NESTING + 2), F.lit(2), F.lit(-1)), html, level)
-
-
-def row_cells(html: Column) -> Column:
-    """Rows of an outermost table, each an array of (text, col_span, row_span); marks in a text are still escaped."""
-
-    def cell(c: Column) -> Column:
-        tag = F.substring_index(c, ">", 1)
-        spans = lambda name, most: F.when(tag.rlike(rf"(?i)\s{name}"), span(tag, name, most)).otherwise(1)
-        text = F.replace(cell_line(c), F.lit(f"{ESCAPE}y"), F.lit("<"))
-        return F.struct(text.alias("text"), spans("colspan", MOST_COLUMNS).alias("col_span"), spans("rowspan", MOST_ROWS).alias("row_span"))
-
-    return F.transform(row_texts(html), lambda r: F.transform(cell_texts(r), cell))
+    """doc, top (from 1), rows: the cells (text, col_span, row_span) of each outermost table that is closed."""
+    found = documents.where(F.col(text).rlike(HAS_TABLE)).select(*doc, cells_of(F.col(text)).alias("_t"))
+    return exploded(found, doc, "_t", "top", "rows").withColumn("top", F.col("top") + 1)
 
 
 def top_cells(placed: DataFrame, doc: list[str]) -> DataFrame:
     """doc, top (number of an outermost table), row, cell, text, col_span, row_span; cell -1 marks a row's begin."""
-    rows = exploded(placed.withColumn("_r", row_cells(F.col("html"))), [*doc, "top"], "_r", "row", "_c")
+    rows = exploded(placed, [*doc, "top"], "rows", "row", "_c")
     begins = rows.selectExpr(*doc, "top", "row", "-1 AS cell", "cast(null AS string) AS text", "cast(null AS int) AS col_span", "cast(null AS int) AS row_span")
     each = exploded(rows, [*doc, "top", "row"], "_c", "cell", "_c")
-    return begins.unionByName(each.select(*doc, "top", "row", "cell", plain(F.col("_c.text")).alias("text"), "_c.col_span", "_c.row_span"))
+    return begins.unionByName(each.select(*doc, "top", "row", "cell", "_c.text", "_c.col_span", "_c.row_span"))
 
 
 def placed_rows(rows: Column) -> Column:
@@ -289,29 +162,10 @@ def grids(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def tables(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
     """Outermost tables of each document as rectangles: doc, top (from 1), row, col, text."""
-    lines = placed_tags(documents, doc, text).select(*doc, "top", once(row_cells(F.col("html")), rectangle).alias("_lines"))
-    return positions(lines, [*doc, "top"], "_lines").withColumn("text", plain(F.col("text")))
+    found = documents.where(F.col(text).rlike(HAS_TABLE)).select(*doc, rectangles_of(F.col(text)).alias("_t"))
+    return positions(exploded(found, doc, "_t", "top", "_lines").withColumn("top", F.col("top") + 1), [*doc, "top"], "_lines")
 
 
 def normalized(documents: DataFrame, doc: list[str], text: str = "text") -> DataFrame:
     """doc and the text with each outermost table as a pipe table; one without cells, and all else, stays as it is."""
-
-    def whole(parted: Column) -> Column:
-        parts = parted["parts"]
-        joined = lambda start, end: F.array_join(F.slice(parts, start + 1, end - start), "")
-
-        def written(found: Column) -> Column:
-            def piece(x: Column, k: Column) -> Column:
-                """A table and what stands behind it up to the next."""
-                then = F.coalesce(F.get(found, k + 1)["begin"], F.size(parts))
-                made = once(once(row_cells(contracted(inner(parted, x["begin"], x["end"]))), rectangle), pipe_table)
-                last, rest = F.get(parts, x["end"]), joined(x["end"] + 1, then)
-                return once(made, lambda m: F.when(m.isNull(), F.concat(joined(x["begin"], x["end"]), last, rest)).otherwise(F.concat(m, behind(last), rest)))
-
-            first = F.coalesce(F.get(found, F.lit(0))["begin"], F.size(parts))
-            return F.concat(joined(F.lit(0), first), F.array_join(F.transform(found, piece), ""))
-
-        return plain(once(outermost(parted), written))
-
-    made = F.when(F.col(text).rlike(r"(?i)<table[\s/>]"), once(parted(F.col(text)), whole)).otherwise(F.col(text))
-    return documents.select(*doc, made.alias(text))
+    return documents.select(*doc, normalized_text(F.col(text)).alias(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +21,12 @@ AROUND = ("'x </table> y <td>' || CASE WHEN l_orderkey % 3 = 0 THEN '<table></ta
 
 
 def nested(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{LINE} AS line", f"{AROUND[0]} AS head", f"{AROUND[1]} AS tail")
-    rows = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "line"))).alias("_l"), F.first("head").alias("head"), F.first("tail").alias("tail"))
-    return rows.select("l_orderkey", F.concat("head", F.array_join(F.transform("_l", lambda x: x["line"]), ""), "tail").alias("text"))
+    """Lines are composed behind the shuffle, of the few columns that they are made of."""
+    keys = ["l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(*keys, "l_quantity", "l_returnflag", "l_linestatus")).alias("_l"))
+    own = re.sub(r"\b(l_\w+)", r"x.\1", LINE)
+    lines = F.array_sort(F.expr(f"transform(_l, x -> struct({', '.join(f'x.{k}' for k in keys)}, {own} AS line))"))
+    return rows.select("l_orderkey", F.concat(F.expr(AROUND[0]), F.array_join(F.transform(lines, lambda x: x["line"]), ""), F.expr(AROUND[1])).alias("text"))
 
 
 @query("""

@@ -8,7 +8,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import tables as one_text
 from paperloom.operators import html_tables as T
+from paperloom.plans import nested_queries
 
 TOKEN = re.compile(T.TAG)
 
@@ -202,3 +204,59 @@ def test_depths_in_stretches(spark):
         for s in r["steps"]:
             expected.append(max(0, expected[-1] + s))
         assert r["found"] == expected
+
+
+def test_texts_with_tables_are_those_of_the_stack(soups):
+    """Whole texts: pipe tables where tables were, all else as it was."""
+
+    def written(text):
+        """By the places at which outermost tables begin and end."""
+        out, depth, begin, at = [], 0, 0, 0
+        for m in TOKEN.finditer(text):
+            if m[0].lower().startswith("<table"):
+                begin = begin if depth else m.start()
+                depth += 1
+            elif m[0].lower().startswith("</table") and depth:
+                depth -= 1
+                if not depth:
+                    lines = rectangle([[(text_of(c), c["w"], c["h"]) for c in row] for row in outermost(text[begin : m.end()])[0]])
+                    if any(lines):
+                        cells = [[re.sub(r"^(?:<br>)+|(?:<br>)+\Z", "", c.strip(" ")).replace("|", "\\|") for c in line] for line in lines]
+                        cells.insert(1, ["---"] * len(cells[0]))
+                        out += [text[at:begin], "\n".join(f"| {' | '.join(line)} |" for line in cells)]
+                        at = m.end()
+        return "".join([*out, text[at:]])
+
+    found = {r["doc"]: r["text"] for r in T.normalized(soups.select("doc", "text"), ["doc"]).collect()}
+    rows = soups.collect()
+    assert len(found) == len(rows) and sum("| ---" in (x or "") for x in found.values()) > 50
+    for r in rows:
+        assert found[r["doc"]] == (None if r["text"] is None else written(r["text"])), r["text"]
+
+
+def test_a_text_is_resolved_once(spark, sf):
+    """One call a text and nothing folded beside it; what a query's shuffle carries are columns, not the lines made of them."""
+    docs = spark.range(10).selectExpr("id AS doc", "'<table><tr><td>x</td></tr></table>' AS text")
+    for made, name in ((T.normalized(docs, ["doc"]), "normalized_text("), (T.tables(docs, ["doc"]), "rectangles_of(")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"ArrowEvalPython \[" + re.escape(name), plan)) == 1 and "lambdafunction" not in plan
+    plan = nested_queries.nested(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning(l_orderkey", 1)[1]
+    assert "l_partkey" in below and "rowspan" not in below
+
+
+def test_markup_in_one_pass_is_that_of_one_after_the_other():
+    rng = random.Random(5)
+    bits = ["<", "</", ">", "b", "p", " ", "\n", "<b>", "</p>", "<br/>", "<i x>", "&lt;", "&amp;lt;", "<span>", "<3>", "a", "\t", "  ", "strong", "<!"]
+    for _ in range(20_000):
+        x = "".join(rng.choices(bits, k=rng.randint(0, 12)))
+        assert one_text.inline(x) == clean(x), x
+
+
+def test_deep_tables_and_many_cells():
+    deep = "<table><tr><td>x" * 5000 + "</td></tr></table>" * 5000
+    assert one_text.normalized(deep).endswith("(표 1×1) 깊이 초과 생략 |\n| --- |")
+    assert one_text.normalized(deep + "<table>") == one_text.normalized(deep) + "<table>" and one_text.normalized("<table>" + deep) == "<table>" + deep
+    many = "<table>" + "<tr>" + "<td>a</td>" * 1000 + "<td rowspan=70000 colspan=9999>b</table>"
+    assert [[c[1:] for c in row][-1] for row in one_text.tables(many)[0]] == [(1000, 65534)]
+    assert one_text.normalized(None) is None and one_text.normalized("") == "" and one_text.tables(None) == []
